@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe
+from . import base, bpe, gif
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,22 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as GIFs in a table, read back and decoded."""
+    docs = base.load(spark, sf_dir, "documents")
+    stored = base.written(gif.store_texts(docs), "gif").withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    found = gif.decode_column(stored, others=("n_bytes", "media_bytes", "media_sha256"), channels=1)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(pixels, length(pixels) - 15, 16)")).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.concat_ws(",", F.col("greys").cast("array<string>")).alias("feature"),
+        F.size("frames").alias("n_frames"),
+    )
