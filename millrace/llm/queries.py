@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, gif
+from . import base, bpe, gif, language, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,18 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", F.col("greys").cast("array<string>")).alias("feature"),
         F.size("frames").alias("n_frames"),
     )
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of all documents over a byte-level vocabulary."""
+    return token_counts.token_counts(base.load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learnt from three quarters of them."""
+    docs = base.load(spark, sf_dir, "documents")
+    held_out = base.crc_mod("doc_id", 4) == 2
+    model = language.fit(docs, ~held_out)
+    return language.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
