@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, gif, language, token_counts
+from . import base, bpe, gif, language, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = base.crc_mod("doc_id", 4) == 2
     model = language.fit(docs, ~held_out)
     return language.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of all documents, learnt from four fifths of the positive labels."""
+    docs, labels = base.load(spark, sf_dir, "documents"), base.load(spark, sf_dir, "labels")
+    held_out = base.crc_mod("doc_id", 5) == 0
+    scored = quality.score(docs, quality.fit(docs, labels, ~held_out))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
