@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, gif, language, quality, token_counts
+from . import base, bpe, gif, language, quality, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = base.crc_mod("doc_id", 5) == 0
     scored = quality.score(docs, quality.fit(docs, labels, ~held_out))
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: by the fixed patterns, and with what the random field adds."""
+    docs = base.load(spark, sf_dir, "documents")
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return secrets.find(docs, secrets.fit(docs)).select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans")
+    )
