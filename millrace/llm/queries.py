@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, gif, language, quality, secrets, token_counts
+from . import base, bpe, gif, language, quality, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,27 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(docs, secrets.fit(docs)).select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans")
     )
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    records = warc.read(warc.write(warc.plan(base.load(spark, sf_dir, "pages")))).filter("error is null")
+    number = lambda c: F.nullif(F.regexp_extract(c, r"page:(-?\d+)>", 1), F.lit("")).cast("long")
+    return records.select(
+        number("record_id").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        F.when(F.col("record_type") == "revisit", F.substring_index("payload_digest", ":", -1)).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
+ORACLES["op1_warc"] = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+m AS (SELECT digest, min(page_id) AS least FROM d WHERE n >= 100 GROUP BY digest)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+  CASE WHEN m.least <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m.least <> d.page_id THEN m.least END AS refers_to
+FROM d LEFT JOIN m ON d.digest = m.digest AND d.n >= 100
+"""
