@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, gif, language, quality, secrets, token_counts, warc
+from . import base, bpe, gif, language, quality, secrets, simhash, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,10 @@ SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_dige
   CASE WHEN m.least <> d.page_id THEN m.least END AS refers_to
 FROM d LEFT JOIN m ON d.digest = m.digest AND d.n >= 100
 """
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-duplicate groups of all documents."""
+    found = simhash.groups(base.load(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
