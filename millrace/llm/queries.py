@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, gif, language, quality, secrets, simhash, token_counts, warc
+from . import base, bpe, decontaminate, gif, language, quality, secrets, simhash, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate groups of all documents."""
     found = simhash.groups(base.load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item that any document holds a copy of."""
+    return decontaminate.find(base.load(spark, sf_dir, "documents"), base.load(spark, sf_dir, "benchmark"))
