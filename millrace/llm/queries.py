@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, decontaminate, gif, language, quality, secrets, simhash, token_counts, warc
+from . import base, bpe, decontaminate, gif, language, quality, secrets, simhash, suffix_tree, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item that any document holds a copy of."""
     return decontaminate.find(base.load(spark, sf_dir, "documents"), base.load(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all documents, learnt from four fifths of them."""
+    docs = base.load(spark, sf_dir, "documents")
+    held_out = F.coalesce(base.crc_mod("doc_id", 5) == 1, F.lit(False))
+    tree, vocabulary = suffix_tree.fit(docs.filter(~held_out))
+    return suffix_tree.score(docs, tree, vocabulary, kept={"held_out": held_out})
