@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_sample, map_texts
+from .base import bounded_sample, map_texts, tune
 
 _UPPER, _LOWER, _DIGIT = (bytes(range(ord(a), ord(b) + 1)) for a, b in ("AZ", "az", "09"))
 _STOPS, _SPACES = b".,;:!?'\"()-", b" \t\n\r\x0b\x0c"
@@ -173,3 +173,20 @@ def score(docs: DataFrame, model: Network, key: str = "doc_id", text: str = "tex
         return lambda texts: [pa.array(model.score(np.array([features(t) for t in texts]).reshape(-1, FEATURES)))]
 
     return map_texts(docs, build, "score double", key, text)
+
+
+def accepted(docs: DataFrame, model: Network, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """docs whose texts score `threshold` or more. All columns stay; null and empty texts are judged like blank ones."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    tune(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            x = np.array([features(t if isinstance(t, str) else None) for t in texts]).reshape(-1, FEATURES)
+            yield pd.Series(model.score(x) >= threshold)
+
+    return docs.filter(good(F.col(text)))

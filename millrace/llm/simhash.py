@@ -201,3 +201,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     special = special.withColumn("grouped", F.lit(True))
     joined = marked.join(special, "fp", "left")
     return joined.select(F.col("doc").alias(key), "fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group: that with the smallest key.
+
+    All columns stay. Rows with a null key can't be told apart and stay. Of repeated rows with one key one stays.
+    """
+    found = written(groups(docs, key, text).select(key, "component_id").filter(F.col(key).isNotNull()), "members")
+    copies = written(found.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "copies")
+    kept = docs.join(copies, key, "left_anti")
+    repeated = found.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1").select(key)
+    if repeated.isEmpty():
+        return kept
+    once = kept.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    return once.unionByName(kept.filter(F.col(key).isNull()))
