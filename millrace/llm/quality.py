@@ -9,11 +9,13 @@ first scorer, of the shares of unlabelled and of positive rows above the thresho
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,10 +179,6 @@ def score(docs: DataFrame, model: Network, key: str = "doc_id", text: str = "tex
 
 def accepted(docs: DataFrame, model: Network, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """docs whose texts score `threshold` or more. All columns stay; null and empty texts are judged like blank ones."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     tune(docs.sparkSession)
 
     @F.pandas_udf("boolean")
