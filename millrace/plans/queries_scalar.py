@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ def _orders(name: str, expr: str, oracle: str | None = None) -> None:
     sql(name, f"SELECT {_K}, {expr} AS v FROM {{orders}}", f"SELECT {_K}, {oracle or expr} AS v FROM orders")
 
 
-def _column(name: str, source: str, key: str, made: Column, oracle: str) -> None:
-    """A query that applies a helper of the library to one table."""
+def _column(name: str, source: str, key: str, made: Callable[[], Column], oracle: str) -> None:
+    """A query that applies a helper of the library to one table. The column is made when the query runs."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, source).select(key, made.alias("v"))
+        return table(spark, sf_dir, source).select(key, made().alias("v"))
 
     QUERIES[name], ORACLES[name] = run, f"SELECT {key}, {oracle} AS v FROM {source}"
 
@@ -49,8 +51,8 @@ _orders("fn_cast_int_bool", "CAST(o_custkey % 2 AS BOOLEAN)")
 _orders("fn_try_cast", "TRY_CAST(SUBSTRING(o_orderpriority, 3, 4) AS BIGINT)")
 _orders("fn_power", "ROUND(POWER(o_custkey, 2), 3)")
 _orders("fn_sign", "CAST(SIGN(o_custkey - 700) AS INT)", "CAST(SIGN(o_custkey - 700) AS INT)")
-_column("fn_safe_div", "orders", _K, S.safe_div(F.col("o_totalprice"), F.col("o_custkey") % 5), "CASE WHEN o_custkey % 5 = 0 THEN 0.0 ELSE o_totalprice / (o_custkey % 5) END")
-_column("fn_safe_mod", "orders", _K, S.safe_mod(F.col("o_orderkey"), F.col("o_custkey") % 5), "CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE o_orderkey % (o_custkey % 5) END")
+_column("fn_safe_div", "orders", _K, lambda: S.safe_div(F.col("o_totalprice"), F.col("o_custkey") % 5), "CASE WHEN o_custkey % 5 = 0 THEN 0.0 ELSE o_totalprice / (o_custkey % 5) END")
+_column("fn_safe_mod", "orders", _K, lambda: S.safe_mod(F.col("o_orderkey"), F.col("o_custkey") % 5), "CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE o_orderkey % (o_custkey % 5) END")
 _orders("fn_div_null", "TRY_DIVIDE(o_totalprice, o_custkey % 5)", "CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice / (o_custkey % 5) END")
 
 # conditions
@@ -75,32 +77,30 @@ _orders("fn_concat_op", "o_orderstatus || ':' || o_orderpriority")
 _orders("fn_trim_spaces", "TRIM('  ' || o_orderstatus || ' ')")
 _orders("fn_reverse", "REVERSE(o_orderpriority)")
 _orders("fn_position", "CAST(POSITION('E' IN o_orderpriority) AS BIGINT)")
-_column("fn_octet_length", "documents", "doc_id", S.byte_length(F.col("text")), "CAST(strlen(text) AS BIGINT)")
-_column("fn_char_length", "documents", "doc_id", F.length("text").cast("bigint"), "CAST(length(text) AS BIGINT)")
-_column("fn_trim", "orders", _K, S.trim_ws(F.concat(F.lit("\t \n"), F.col("o_orderpriority"), F.lit(" \r\n"))), "o_orderpriority")
-_column("fn_substr_clamp", "orders", _K, S.substr(F.col("o_orderpriority"), -2, 4), "SUBSTRING(o_orderpriority, 1, 4)")
-_column("fn_substr_rest", "orders", _K, S.substr(F.col("o_orderpriority"), 3, -1), "SUBSTRING(o_orderpriority, 3)")
+_column("fn_octet_length", "documents", "doc_id", lambda: S.byte_length(F.col("text")), "CAST(strlen(text) AS BIGINT)")
+_column("fn_char_length", "documents", "doc_id", lambda: F.length("text").cast("bigint"), "CAST(length(text) AS BIGINT)")
+_column("fn_trim", "orders", _K, lambda: S.trim_ws(F.concat(F.lit("\t \n"), F.col("o_orderpriority"), F.lit(" \r\n"))), "o_orderpriority")
+_column("fn_substr_clamp", "orders", _K, lambda: S.substr(F.col("o_orderpriority"), -2, 4), "SUBSTRING(o_orderpriority, 1, 4)")
+_column("fn_substr_rest", "orders", _K, lambda: S.substr(F.col("o_orderpriority"), 3, -1), "SUBSTRING(o_orderpriority, 3)")
 
 
 # dates and times
-def _events(name: str, made: Column, oracle: str) -> None:
+def _events(name: str, made: Callable[[], Column], oracle: str) -> None:
     _column(name, "events", "event_id", made, oracle)
 
 
-_TS = F.col("ts")
 for _name, _part in {"year": "year", "month": "month", "day": "day", "hour": "hour", "minute": "minute", "dow": "isodow", "doy": "doy"}.items():
-    _events(f"fn_{_name}", S.extract(_name, _TS), f"CAST(EXTRACT({_part} FROM ts) AS BIGINT)")
-_events("fn_second", S.extract("second", _TS), "CAST(FLOOR(EXTRACT(SECOND FROM ts)) AS BIGINT)")
-_events("fn_epoch", S.extract("epoch", _TS), "epoch_us(ts)")
+    _events(f"fn_{_name}", lambda name=_name: S.extract(name, F.col("ts")), f"CAST(EXTRACT({_part} FROM ts) AS BIGINT)")
+_events("fn_second", lambda: S.extract("second", F.col("ts")), "CAST(FLOOR(EXTRACT(SECOND FROM ts)) AS BIGINT)")
+_events("fn_epoch", lambda: S.extract("epoch", F.col("ts")), "epoch_us(ts)")
 for _unit in ("second", "minute", "hour", "day", "month", "year"):
-    _events(f"fn_trunc_{_unit}", S.date_trunc(_unit, _TS), f"CAST(date_trunc('{_unit}', ts) AS TIMESTAMP)")
-_FROM = F.lit("2024-01-15 10:30:30").cast("timestamp_ntz")
-_SINCE = "TIMESTAMP '2024-01-15 10:30:30'"
+    _events(f"fn_trunc_{_unit}", lambda unit=_unit: S.date_trunc(unit, F.col("ts")), f"CAST(date_trunc('{_unit}', ts) AS TIMESTAMP)")
+_SINCE = "2024-01-15 10:30:30"
 for _unit, _micros in {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}.items():
-    _events(f"fn_datediff_{_unit}", S.date_diff(_unit, _FROM, _TS), f"CAST(floor((epoch_us(ts) - epoch_us({_SINCE})) / {_micros}) AS BIGINT)")
+    _events(f"fn_datediff_{_unit}", lambda unit=_unit: S.date_diff(unit, F.lit(_SINCE).cast("timestamp_ntz"), F.col("ts")), f"CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{_SINCE}')) / {_micros}) AS BIGINT)")
 for _unit in ("month", "year"):
-    _events(f"fn_datediff_{_unit}", S.date_diff(_unit, _FROM, _TS), f"date_diff('{_unit}', {_SINCE}, ts)")
-_events("fn_timestamp_plus", _TS + F.expr("INTERVAL 90 MINUTES"), "ts + INTERVAL 90 MINUTE")
-_events("fn_timestamp_compare", _TS >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), "ts >= TIMESTAMP '2024-01-10 00:00:00'")
-_events("fn_current_date_order", F.current_date() >= F.to_date(_TS), "current_date >= CAST(ts AS DATE)")
-_events("fn_current_timestamp_order", F.current_timestamp() > _TS.cast("timestamp"), "now()::TIMESTAMP > ts")
+    _events(f"fn_datediff_{_unit}", lambda unit=_unit: S.date_diff(unit, F.lit(_SINCE).cast("timestamp_ntz"), F.col("ts")), f"date_diff('{_unit}', TIMESTAMP '{_SINCE}', ts)")
+_events("fn_timestamp_plus", lambda: F.col("ts") + F.expr("INTERVAL 90 MINUTES"), "ts + INTERVAL 90 MINUTE")
+_events("fn_timestamp_compare", lambda: F.col("ts") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), "ts >= TIMESTAMP '2024-01-10 00:00:00'")
+_events("fn_current_date_order", lambda: F.current_date() >= F.to_date(F.col("ts")), "current_date >= CAST(ts AS DATE)")
+_events("fn_current_timestamp_order", lambda: F.current_timestamp() > F.col("ts").cast("timestamp"), "now()::TIMESTAMP > ts")
