@@ -13,9 +13,10 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ def base_spans(text: str) -> list[Span]:
 _EDGE = "\"'`,;.!?()[]{}<>|%$#&*"
 _INNER = re.compile(r"""^[\w"'.-]{0,40}?[=:]["'`]*(.+)$""")
 _HEXED, _CODE, _NUMBER, _DOTTED = (re.compile(x).fullmatch for x in (r"[0-9a-fA-F]+", r"[A-Za-z0-9+/_=.-]+", r"[0-9().+:/-]+", r"\w+(\.\w+)+"))
+_NAMES = re.compile("|".join(KEYWORDS)).search
+_NAMED = {"key", "auth", "bearer", "credential", "credentials", "pwd"}
 _RUNS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+")
 OWN, NEAR = 22, 5  # features of a token, and those that its neighbours see
 FILE = 3
@@ -66,20 +69,30 @@ def shape(token: str) -> tuple[list[int], list[int]]:
     a, b = inner(token)
     core, low = token[a:b], token.lower()
     n = len(core)
-    digits, upper, lower = sum(map(str.isdigit, core)), sum(map(str.isupper, core)), sum(map(str.islower, core))
-    mixed = len(_RUNS.findall(core)) if n < 400 else 99
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(core[:400]).values()) if n else 0.0
-    keyword = any(k in low for k in KEYWORDS) or low.strip(_EDGE + ":=") in ("key", "auth", "bearer", "credential", "credentials", "pwd")
+    digits, upper, lower = sum(map(str.isdigit, core)), core != core.lower(), core != core.upper()
+    # runs and entropy are looked at where there are digits: plain words, however varied, are no keys
+    mixed = len(_RUNS.findall(core)) if digits and n < 400 else 99 if digits else 0
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(core[:400]).values()) if digits else 0.0
+    keyword = bool(_NAMES(low)) or low.strip(_EDGE + ":=") in _NAMED
     assigns = token.endswith(("=", ":"))
     tests = (
-        True, 8 <= n < 16, 16 <= n < 24, 24 <= n < 48, n >= 48, digits > 0, upper > 0 and lower > 0, digits > 0 and upper + lower > 0,
+        True, 8 <= n < 16, 16 <= n < 24, 24 <= n < 48, n >= 48, digits > 0, upper and lower, digits > 0 and (upper or lower),
         n >= 12 and bool(_HEXED(core)) and digits < n, bool(_CODE(core)), bool(_NUMBER(core)), "@" in token, bool(_DOTTED(core)),
         mixed >= 4, mixed >= 8, bits >= 3.0, bits >= 3.6, bits >= 4.2, a > 0 and token[a - 1] in "\"'`", a > 0 and token[a - 1] in "=:" , keyword, "_" in core or "-" in core,
     )
-    near = (keyword, assigns, token in ("=", ":", ":=", "=>"), digits > 0 and upper + lower > 0 and n >= 12, token.endswith((".", "!", "?")))
+    near = (keyword, assigns, token in ("=", ":", ":=", "=>"), digits > 0 and (upper or lower) and n >= 12, token.endswith((".", "!", "?")))
     return [k for k, t in enumerate(tests) if t], [k for k, t in enumerate(near) if t]
 
 
+def plain_class(token: str) -> tuple | None:
+    """For a word of letters, with a stop behind it or not: all that its features depend on. None for other tokens."""
+    word = token if token.isalpha() else token[:-1] if token[-1] in ".,;!?" and token[:-1].isalpha() else None
+    if word is None or _NAMES(low := word.lower()) or low in _NAMED or "AKIA" in word:
+        return None
+    n = len(word)
+    return n >= 8, n >= 12, n >= 16, n >= 24, n >= 48, word != low, word != word.upper(), word.isascii(), low.isascii() and not low.strip("abcdef"), token[-1]
+
+
 def file_features(text: str) -> np.ndarray:
     """Of the whole text: code-like punctuation, pairs of names and values, and shortness."""
     return np.array([text.count("{") + text.count(";") > len(text) / 200, " = " in text or "=\"" in text, len(text) < 500], dtype=np.float64)
@@ -93,6 +106,7 @@ class Crf:
     right: np.ndarray  # of the token after
     file: np.ndarray  # FILE x 3
     steps: np.ndarray  # 3 x 3, from tag to tag
+    plain: dict = field(default_factory=dict)  # rows of classes of plain words
 
     def slack(self) -> float:
         """The most that neighbouring tags can favour another tag over O."""
@@ -103,6 +117,13 @@ class Crf:
 
     def row(self, token: str) -> np.ndarray:
         """A token's share in its own tag scores and in those of its neighbours: 4 x 3."""
+        if (kind := plain_class(token)) is None:
+            return self.full_row(token)
+        if kind not in self.plain:
+            self.plain[kind] = self.full_row(token)
+        return self.plain[kind]
+
+    def full_row(self, token: str) -> np.ndarray:
         own, near = shape(token)
         return np.stack([self.own[own].sum(axis=0), self.left[near].sum(axis=0), self.left2[near].sum(axis=0), self.right[near].sum(axis=0)])
 
@@ -357,10 +378,6 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 
 def redacted(docs: DataFrame, model: Crf, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its texts replaced by the mark; all rows and columns stay, null texts stay null."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
