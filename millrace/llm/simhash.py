@@ -23,6 +23,7 @@ from .components import stars
 
 SHINGLE, SEED, DISTANCE, FANOUT = 3, 42, 3, 8
 FRONTIER = 1 << 20  # pairs of a query and a node that are held at once
+HOT, LEVELS = 100_000, 4  # fingerprints from which a bucket is cut again, and how often that can be
 CHUNK = 1 << 16  # shingles that are held at once
 _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], dtype=np.int64)
 
@@ -164,11 +165,54 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b) fingerprints that are linked through buckets, enough of them to connect what is connected.
 
     distinct: a column fp of distinct fingerprints. A group of m fingerprints in a bucket gives m - 1 rows
-    instead of its pairs, so near copies never make rows by the square of their number.
+    instead of its pairs, so near copies never make rows by the square of their number. A bucket with more than
+    HOT fingerprints is cut again: its fingerprints agree in one block and differ in at most `distance` of the
+    other bits, so they agree in one block of those too. No pair is lost, whatever the buckets' sizes.
     """
-    bounds = [64 * k // (distance + 1) for k in range(distance + 2)]
-    blocks = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)).alias("v")) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))])
-    dealt = distinct.select("fp", F.explode(blocks).alias("b")).select("fp", (F.col("b.v") * 64 + F.col("b.k")).alias("bucket"))
+    out = None
+    dealt = _deal(distinct.select("fp", F.lit(-1).cast("long").alias("free"), F.lit(0).cast("long").alias("bucket")), [-1], distance)
+    frees = [f for f, _ in _blocks(-1, distance)]
+    for level in range(LEVELS):
+        hot = dealt.groupBy("bucket").count().filter(F.col("count") > HOT).select("bucket")
+        if level == LEVELS - 1 or hot.isEmpty():
+            found = _compare(dealt, distance)
+            return found if out is None else out.unionByName(found)
+        hot = written(hot, "hot")
+        found = _compare(dealt.join(hot, "bucket", "left_anti"), distance)
+        out = found if out is None else out.unionByName(found)
+        dealt = _deal(dealt.join(hot, "bucket", "left_semi"), frees, distance)
+        frees = [g for f in frees for g, _ in _blocks(f, distance)]
+    return out
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _blocks(free: int, distance: int) -> list[tuple[int, int]]:
+    """The free bits cut into distance + 1 blocks: (bits that stay free, the block) of each, as signed masks."""
+    bits = [b for b in range(64) if free >> b & 1]
+    cut = [bits[len(bits) * k // (distance + 1) : len(bits) * (k + 1) // (distance + 1)] for k in range(distance + 1)]
+    whole = sum(1 << b for b in bits)
+    masks = [sum(1 << b for b in c) for c in cut]
+    return [(_signed(whole & ~m), _signed(m)) for m in masks]
+
+
+def _deal(rows: DataFrame, frees: list[int], distance: int) -> DataFrame:
+    """(fp, free, bucket): each fingerprint in the buckets of the blocks that its free bits are cut into.
+
+    A bucket's number is a hash of the one it came from and of the block's bits. Should two buckets share a number,
+    they are compared with one another as well, which changes nothing: every pair is checked by its distance.
+    """
+    parts = [(free, kept, mask) for free in frees for kept, mask in _blocks(free, distance)]
+    structs = F.array(*[F.struct(F.lit(f).cast("long").alias("of"), F.lit(k).cast("long").alias("free"), F.lit(m).cast("long").alias("mask")) for f, k, m in parts])
+    blocks = F.filter(structs, lambda s: s["of"] == F.col("free")) if len(frees) > 1 else structs
+    dealt = rows.select("fp", "bucket", F.explode(blocks).alias("b"))
+    return dealt.select("fp", F.col("b.free").alias("free"), F.xxhash64("bucket", "b.mask", F.col("fp").bitwiseAND(F.col("b.mask"))).alias("bucket"))
+
+
+def _compare(dealt: DataFrame, distance: int) -> DataFrame:
+    """The links inside the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, codes = [], []
@@ -180,7 +224,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             for lo in range(0, len(a), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)].view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    return dealt.repartition("bucket").mapInArrow(run, "a long, b long")
+    return dealt.select("fp", "bucket").repartition("bucket").mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:

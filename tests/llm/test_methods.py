@@ -170,6 +170,26 @@ def test_groups_of_planted_copies(spark):
     assert len(set(want.values())) < len(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 5, 40])
+def test_hot_buckets_are_cut_without_loss(spark, monkeypatch, hot):
+    from millrace.llm.components import stars
+
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(11)
+    base = rng.getrandbits(64)
+    codes = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)}
+    fps = dict(enumerate(sorted(codes)))
+    signed = [c - (1 << 64) if c >> 63 else c for c in fps.values()]
+    star = {r["u"]: r["v"] for r in stars(simhash.links(spark.createDataFrame([(c,) for c in signed], "fp long"))).collect()}
+    got = {}
+    for k, c in enumerate(signed):
+        got.setdefault(star.get(c, c), set()).add(k)
+    want = {}
+    for k, g in plain_components(fps).items():
+        want.setdefault(g, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_chain_of_links(spark):
     from millrace.llm.components import stars
 
