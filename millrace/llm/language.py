@@ -119,17 +119,20 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 1000, most_bytes: int = 1 << 16, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def fit(docs: DataFrame, learn: Column, per_language: int = 1000, most_bytes: int = 1 << 16, most_languages: int = 400, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Train on about per_language texts, of no more than most_bytes each, of every language among the rows where learn holds.
 
+    No more than most_languages are learnt, those with the most rows: the sample is bounded by these three.
+
     The rows are chosen by a hash of the key. A fifth of them is kept apart, to choose the sharpness of the
     posterior and each language's rejection limit (the 0.995 quantile of its texts' cross-entropy). Rows with
     a null key, text or language, and texts without letters, teach nothing.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), learn.alias("w")).filter("w and k is not null and t is not null and l is not null")
-    # the languages are a small set of names; their counts need no text
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # the counts need no text; the most frequent languages are learnt, ties by name
+    often = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most_languages)
+    counts = {r["l"]: r["n"] for r in often.collect()}
     if not counts:
         raise ValueError("no row to learn a language from")
     share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1 << 30, int((1 << 30) * per_language / n)))])
