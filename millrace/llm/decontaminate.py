@@ -22,7 +22,7 @@ from .base import slices, tune, written
 
 N = 3  # words of a seed
 SIMILARITY = 0.8  # of its words, what a copy keeps at least: it may have 1 - SIMILARITY edits a word
-THRESHOLD = 0.6  # of the score, from which a passage counts as a copy; an edit costs a match and a penalty
+THRESHOLD = 0.5  # of the score, from which a passage counts as a copy; an edit costs a match and a penalty, chance passages stay below 0.3
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 BLOCK = 32 << 20  # bytes of test items that are sent to the workers at once
 words = regex.compile(r"[\p{L}\p{N}]+").findall
