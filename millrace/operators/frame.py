@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import csv, tables
+from . import rows
 from .joins import equi_join
 
 #: The suffix that each aggregate gives to its result's name.
@@ -77,6 +78,26 @@ def lit(value: float | int | str | bool) -> Expr:
     return Expr(F.lit(value))
 
 
+class Series:
+    """One column, brought to the client when it is asked for."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df, self.name = df, df.columns[0]
+
+    def __len__(self) -> int:
+        return self.df.count()
+
+    def to_list(self) -> list:
+        return [r[0] for r in self.df.collect()]
+
+    def to_numpy(self):
+        return self.df.toPandas()[self.name].to_numpy()
+
+    def __repr__(self) -> str:
+        some = [r[0] for r in self.df.limit(11).collect()]
+        return f"Series({self.name}: {', '.join(map(str, some[:10]))}{', ...' if len(some) > 10 else ''})"
+
+
 class Grouped:
     def __init__(self, df: DataFrame, keys: tuple[str, ...]) -> None:
         self._df, self._keys = df, keys
@@ -121,9 +142,43 @@ class Frame:
     def head(self, n: int = 5) -> Frame:
         return Frame(self.df.limit(n))
 
+    def tail(self, n: int, *order: str) -> Frame:
+        """The last n rows by order."""
+        return Frame(rows.tail(self.df, n, *order))
+
     def distinct(self) -> Frame:
         return Frame(self.df.distinct())
 
+    def union(self, other: Frame, all: bool = True) -> Frame:
+        out = self.df.union(other.df)
+        return Frame(out if all else out.distinct())
+
+    def intersect(self, other: Frame, all: bool = False) -> Frame:
+        return Frame(self.df.intersectAll(other.df) if all else self.df.intersect(other.df))
+
+    def subtract(self, other: Frame, all: bool = False) -> Frame:
+        return Frame(self.df.exceptAll(other.df) if all else self.df.subtract(other.df))
+
+    def rename(self, *names: str) -> Frame:
+        return Frame(self.df.toDF(*names))
+
+    def cast(self, **types: str) -> Frame:
+        return Frame(self.df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()}))
+
+    def window(self, partition: list[str], order: list[str], before: int | None = None, after: int | None = 0, **made: Column) -> Frame:
+        """Further columns computed over each partition in order, in frames of rows from `before` ahead to `after` behind (None: all)."""
+        w = Window.partitionBy(*partition)
+        if order:
+            w = w.orderBy(*[F.col(c).asc_nulls_last() for c in order])
+        framed = w.rowsBetween(Window.unboundedPreceding if before is None else -before, Window.unboundedFollowing if after is None else after)
+        whole = {"row_number", "rank", "dense_rank", "ntile", "lag", "lead", "percent_rank", "cume_dist"}
+        ranks = {n for n, c in made.items() if str(c).removeprefix("Column<'").split("(")[0].lower() in whole}
+        return Frame(self.df.withColumns({n: c.over(w if n in ranks else framed) for n, c in made.items()}))
+
+    def materialize(self) -> Frame:
+        """A barrier: the plan so far is computed once, to the checkpoint folder if one is set and to memory and disk otherwise."""
+        return Frame(self.df.checkpoint() if self.df.sparkSession.sparkContext.getCheckpointDir() else self.df.persist())
+
     # results: these run the plan and bring its rows to the client
     def __len__(self) -> int:
         return self.df.count()
@@ -132,30 +187,27 @@ class Frame:
     def shape(self) -> tuple[int, int]:
         return len(self), len(self.columns)
 
-    def __getitem__(self, name: str) -> list:
-        return [r[0] for r in self.df.select(name).collect()]
+    def __getitem__(self, name: str) -> Series:
+        return Series(self.df.select(name))
 
     def collect(self) -> Frame:
         """The same table, held in memory or on disk once it has been computed."""
         return Frame(self.df.persist())
 
     def to_dict(self) -> dict[str, list]:
-        rows = self.df.collect()
-        return {c: [r[k] for r in rows] for k, c in enumerate(self.columns)}
+        found = self.df.collect()
+        return {c: [r[k] for r in found] for k, c in enumerate(self.columns)}
 
     def to_pandas(self):
         return self.df.toPandas()
 
-    def to_numpy(self, name: str):
-        return self.df.select(name).toPandas()[name].to_numpy()
-
     def text(self, n: int = 10) -> str:
         """The first n rows in a box, with each column's type."""
-        rows = [[("" if v is None else str(v)) for v in r] for r in self.df.limit(n).collect()]
+        body = [[("" if v is None else str(v)) for v in r] for r in self.df.limit(n).collect()]
         head = [[c for c, _ in self.df.dtypes], [k for _, k in self.df.dtypes]]
-        widths = [max(map(len, x)) for x in zip(*head, *rows, strict=True)]
+        widths = [max(map(len, x)) for x in zip(*head, *body, strict=True)]
         rule = "+".join("-" * (w + 2) for w in widths)
-        lines = [" | ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)) for r in (*head, *rows)]
+        lines = [" | ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)) for r in (*head, *body)]
         return "\n".join([*(f" {x} " for x in lines[:2]), rule, *(f" {x} " for x in lines[2:])])
 
     __str__ = text

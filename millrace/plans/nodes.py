@@ -298,3 +298,38 @@ class Pipeline:
                 tell(k, "failed")
                 break
         return out
+
+
+def refresh(spark: SparkSession, pipeline: Pipeline, widgets: list[dict], most: int = 500) -> dict[str, list[dict]]:
+    """Run a dashboard's source pipeline and give each widget {"id", "node"} the first rows of its node, at most `most`."""
+    out = pipeline.run(spark)
+    if out.error:
+        raise NodeError(f"{out.failed}: {out.error}")
+    return {w["id"]: [r.asDict() for r in _df(out.results[w["node"]]).limit(most).collect()] for w in widgets}
+
+
+def _pdf_text(value: str) -> bytes:
+    return value.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+
+
+@node
+def pdf_render(spark: SparkSession, settings: dict, data: Data) -> Data:
+    """The first max_rows rows as a plain table in a PDF document, under `pdf`."""
+    df, size, step = _df(data), 8, 11
+    rows = [[str(v) if v is not None else "" for v in r] for r in df.limit(settings.get("max_rows", 500)).collect()]
+    widths = [min(30, max(map(len, c))) for c in zip(df.columns, *rows, strict=True)]
+    lines = ["  ".join(v[:w].ljust(w) for v, w in zip(r, widths, strict=True)) for r in (df.columns, *rows)]
+    per_page = (792 - 100) // step
+    pages = [lines[k : k + per_page] for k in range(0, len(lines), per_page)]
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(pages))) + b"] /Count %d >>" % len(pages), b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"]
+    for k, page in enumerate(pages):
+        title = [_pdf_text(settings.get("title", "Report"))] if k == 0 else [b""]
+        body = b"BT /F1 %d Tf %d TL 40 750 Td " % (size, step) + b" ".join(b"(%s) Tj T*" % t for t in [*title, *map(_pdf_text, page)]) + b" ET"
+        objects += [b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (5 + 2 * k), b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body)]
+    out, places = b"%PDF-1.4\n", []
+    for k, o in enumerate(objects):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (k + 1, o)
+    table = b"".join(b"%010d 00000 n \n" % p for p in places)
+    out += b"xref\n0 %d\n0000000000 65535 f \n%strailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, table, len(objects) + 1, len(out))
+    return {**data, "pdf": out}

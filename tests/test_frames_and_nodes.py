@@ -17,18 +17,29 @@ def people(spark):
 def test_frame(people):
     out = people.filter((col("v") > 1) & ~(col("v") == 2)).group_by("k").agg(col("v").sum(), col("w").mean(), col("v").count().alias("n")).sort("k")
     assert out.to_dict() == {"k": ["a", None], "v_sum": [3, 4], "w_mean": [6.0, None], "n": [1, 1]}
-    assert people.shape == (4, 3) and people["v"][:1] == [1] and len(people.head(2)) == 2
+    assert people.shape == (4, 3) and people["v"].to_list()[:1] == [1] and len(people["v"]) == 4 and people["v"].to_numpy()[3] == 4 and "v: 1, 2" in repr(people["v"]) and len(people.head(2)) == 2
     assert people.select("k", col("v") * 2 + 1, (-col("v")).abs().alias("z"), 1 / col("v")).columns == ["k", "_e1", "z", "_e3"]
-    assert people.sort("w", descending=True)["v"] == [4, 3, 2, 1]
+    assert people.sort("w", descending=True)["v"].to_list() == [4, 3, 2, 1]
     assert people.select(lit(1) / (col("v") - 1)).collect().to_dict()["_e0"][0] is None
     assert "bigint" in str(people)
     with pytest.raises(TypeError):
         people.group_by("k").agg(col("v"))
 
 
+def test_frame_sets_and_windows(people):
+    a = people.select("k")
+    assert len(a.union(a)) == 8 and len(a.union(a, all=False)) == 3 and len(a.intersect(a)) == 3 and len(a.subtract(a.filter(col("k") == "a"))) == 2
+    assert people.tail(2, "v")["v"].to_list() == [3, 4] and people.rename("x", "y", "z").columns == ["x", "y", "z"]
+    assert people.cast(v="string").df.dtypes[1] == ("v", "string")
+    w = people.window(["k"], ["v"], rn=F.row_number(), run=F.sum("v"), before_it=F.lag("v")).sort("v").to_dict()
+    assert w["rn"] == [1, 1, 2, 1] and w["run"] == [1, 2, 4, 4] and w["before_it"] == [None, None, 1, None]
+    assert people.window(["k"], [], after=None, n=F.count("v")).sort("v")["n"].to_list() == [2, 1, 2, 1]
+    assert len(people.materialize()) == 4
+
+
 def test_joins(people, spark):
     right = Engine(spark).frame([("a", "x"), ("c", "y")], "k string, u string")
-    assert people.join(right, "k").to_dict()["v"] == [1, 3]
+    assert sorted(people.join(right, "k").to_dict()["v"]) == [1, 3]
     left = people.join(right, "k", "left")
     assert left.columns == ["k", "v", "w", "u"] and len(left) == 4
     assert set(zero_fill(left.df, ["u"]).select("u").toPandas()["u"]) == {"x", ""}
@@ -130,3 +141,29 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["start"], r["n"]) for r in spark.table("windows").collect()} == batch
+
+
+def test_dashboard_and_pdf(spark, tmp_path):
+    from millrace.plans.nodes import refresh
+
+    path = _csv(tmp_path, "d.csv", "id,val\n" + "".join(f"r{k},{k}\n" for k in range(20)))
+    p = Pipeline({"nodes": [{"id": "s", "type": "csv_source", "config": {"file_path": path}}]})
+    assert len(refresh(spark, p, [{"id": "w", "node": "s"}], most=7)["w"]) == 7
+    pdf = NODES["pdf_render"](spark, {"title": "A (b)"}, p.cache["s"])["pdf"]
+    assert pdf.startswith(b"%PDF-1.4") and pdf.rstrip().endswith(b"%%EOF") and b"(A \\(b\\)) Tj" in pdf and b"r19" in pdf
+
+
+def test_shell(spark, tmp_path):
+    from millrace.cli import Shell
+    from millrace.plans.session import EngineSession
+
+    shell = Shell(EngineSession(spark))
+    assert shell.feed("CREATE TABLE t (a INT);") == "" and shell.feed("INSERT INTO t") == "" and shell.feed("VALUES (1), (NULL);") == ""
+    assert shell.feed(".tables") == "t" and ".quit" in shell.feed(".help") and "MB" in shell.feed(".mem")
+    shell.feed(".mode csv")
+    assert shell.feed("SELECT a FROM t ORDER BY a;") == "a\n1\n" + '""' or shell.feed("SELECT a FROM t ORDER BY a;").startswith("a\n1")
+    shell.feed(".mode json")
+    assert shell.feed("SELECT a FROM t WHERE a = 1;") == '{"a": 1}'
+    shell.feed(".timer on")
+    assert shell.feed("SELECT a FROM t WHERE a = 1;").endswith(" s") and shell.feed("SELECT nope FROM t;").startswith("error")
+    assert shell.feed(".quit") is None

@@ -57,6 +57,36 @@ def test_select(session, sql, want):
     assert got(session, sql) == want
 
 
+@pytest.mark.parametrize(
+    ("sql", "names"),
+    [
+        ("SELECT SUM(val), COUNT(*), id + 1, t.id, 'x', id AS k, val v FROM t GROUP BY id, val", ["sum(val)", "count(*)", "id + 1", "id", "'x'", "k", "v"]),
+        ("SELECT CASE WHEN id > 1 THEN 2 END, val IS NULL, ROW_NUMBER() OVER (ORDER BY id) FROM t", ["case when id > 1 then 2 end", "val is null", "row_number() over (order by id)"]),
+        ("SELECT * FROM t a JOIN t b ON a.id = b.id", ["id", "val", "name"]),
+        ("WITH a AS (SELECT id + 1 AS j FROM t) SELECT MAX(j) FROM a", ["max(j)"]),
+        ("SELECT id * 2 FROM t UNION SELECT id FROM t", ["id * 2"]),
+    ],
+)
+def test_names_of_columns(session, sql, names):
+    assert session.execute(sql).columns == names
+
+
+def test_order_by_an_aggregates_input(session):
+    assert got(session, "SELECT name, SUM(val) FROM t WHERE name IS NOT NULL GROUP BY name ORDER BY val DESC LIMIT 2") == [("b", 20.0), ("a", 10.5)]
+
+
+def test_show_and_describe(session):
+    assert got(session, "SHOW TABLES") == [("t",)]
+    assert got(session, "DESCRIBE t") == [("id", "bigint"), ("val", "double"), ("name", "string")]
+
+
+def test_table_functions_over_partitions(session, tmp_path):
+    from millrace.sources.tables import save_parted
+
+    save_parted(session.spark.sql("SELECT id, CAST('2024-01-0' || (id % 2 + 1) AS DATE) AS date FROM range(10)"), str(tmp_path), "data")
+    assert got(session, f"SELECT date, COUNT(*) AS n FROM read_parted('{tmp_path}', 'data') GROUP BY date ORDER BY date")[0][1] == 5
+
+
 def test_script_and_names(session):
     assert session.script("CREATE TABLE u AS SELECT id FROM t WHERE id < 3; INSERT INTO u SELECT id + 10 FROM t WHERE id = 1; SELECT id FROM u ORDER BY id").collect() == [(1,), (2,), (11,)]
     assert session.table_names() == ["t", "u"]
