@@ -10,6 +10,7 @@ whole group as soon as they exceed k.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,16 +248,205 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     return joined.select(F.col("doc").alias(key), "fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+# near copies by similarity: wider sketches find them, the texts' own shingles decide
+
+WIDTH, SIMILARITY = 5, 0.8
+WORDS = 4  # 64-bit parts of each sketch
+RECALL = 0.99  # of pairs at the similarity, those that meet in a bucket
+_STEP, *_MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of hashes of hashes (the splitmix64 finaliser)."""
+    h = h + np.uint64(_STEP * (k + 1) % (1 << 64))
+    h = (h ^ h >> np.uint64(30)) * _MIX[0]
+    h = (h ^ h >> np.uint64(27)) * _MIX[1]
+    return h ^ h >> np.uint64(31)
+
+
+def _bits(h: np.ndarray) -> int:
+    counts = np.zeros((8, 256), dtype=np.int64)
+    for lo in range(0, len(h), CHUNK):
+        octets = h[lo : lo + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
+        counts += np.bincount(octets.ravel(), minlength=2048).reshape(8, 256)
+    return int(np.packbits(2 * (counts @ _BITS).ravel() > len(h), bitorder="little").view("<u8")[0])
+
+
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Distinct 64-bit hashes of the text's shingles, sorted; of fewer words the whole sequence, of none nothing."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(b" ".join(words))], dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    first, last = [0, *(ends[:-width] + 1).tolist()], ends[width - 1 :].tolist()
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(first, last, strict=True)), dtype=np.uint64, count=len(first)))
+
+
+def sketch(text: str | None, width: int = WIDTH) -> list[int]:
+    """WORDS parts over the text's distinct words, then WORDS over its distinct shingles, as signed integers."""
+    words = set((text or "").encode().lower().split())
+    single = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+    shingles = shingle_hashes(text, width)
+    return [_signed(_bits(_mixed(h, k))) for h in (single, shingles) for k in range(WORDS)]
+
+
+def differing(similarity: float) -> float:
+    """The share of a sketch's bits that differ between two sets of equal size with this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a minimum spanning forest, found by rounds of least edges; ties go to the earlier edge."""
+    forest, taken = Forest(n), []
+    live = np.arange(len(a))
+    top = np.iinfo(np.int64).max
+    while len(live):
+        ra, rb = forest.roots(a[live]), forest.roots(b[live])
+        apart = ra != rb
+        live, ra, rb = live[apart], ra[apart], rb[apart]
+        if not len(live):
+            break
+        rank = weight[live].astype(np.int64) << 40 | live
+        best = np.full(n, top)
+        np.minimum.at(best, ra, rank)
+        np.minimum.at(best, rb, rank)
+        chosen = np.unique(best[best < top]) & ((1 << 40) - 1)
+        taken.append(chosen)
+        forest.link(a[chosen], b[chosen])
+    return np.concatenate(taken) if taken else np.empty(0, np.int64)
+
+
+def nearest_links(keys: np.ndarray, nodes: np.ndarray, codes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that may reach the similarity: in each bucket a spanning forest of the least distances, one edge fewer than nodes.
+
+    codes: a row of WORDS parts for each node. Connectedness at any smaller distance survives in such a forest.
+    """
+    _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = count[back] > 1
+    keys, nodes, codes = keys[shared], nodes[shared], codes[shared]
+    if not len(keys):
+        return nodes, nodes
+    p, bits = differing(similarity), 64 * WORDS
+    most = int(bits * p + 2.5 * np.sqrt(bits * p * (1 - p)))
+    index = HammingIndex(keys, codes[:, 0].copy())
+    codes, nodes = codes[index.order], nodes[index.order]
+    ends = [np.empty(0, np.int64)] * 3
+    held: list[list[np.ndarray]] = [[x] for x in ends]
+    size = 0
+
+    def settle() -> None:
+        nonlocal held, size
+        a, b, w = (np.concatenate(x) for x in held)
+        keep = np.sort(spanning(len(nodes), a, b, w))
+        held, size = [[a[keep]], [b[keep]], [w[keep]]], 0
+
+    for a, b in index.pairs(int(64 * p + 4 * np.sqrt(64 * p * (1 - p)))):
+        w = np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1, dtype=np.int64)
+        near = w <= most
+        for x, new in zip(held, (a[near], b[near], w[near]), strict=True):
+            x.append(new)
+        size += int(near.sum())
+        if size > FRONTIER:
+            settle()
+    settle()
+    return nodes[held[0][0]], nodes[held[1][0]]
+
+
+def text_digest(text: str | None) -> str:
+    return hashlib.blake2b((text or "").encode(), digest_size=16).hexdigest()
+
+
+PARTS = [f"p{k}" for k in range(2 * WORDS)]
+
+
+def candidates(nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """(a, b): pairs of nodes (node long, p0, p1, ... the parts of its sketch) that may have the similarity.
+
+    Two nodes meet if one block of bits of their word sketches is equal. Blocks are as long as the number of nodes
+    asks for, and so many that RECALL of the pairs at the similarity meet somewhere. In a bucket a spanning forest of
+    least distances is kept, so a group of m near copies gives m - 1 pairs there, and none is left unconnected.
+    """
+    size = max(16, int(np.ceil(np.log2(max(2, nodes.count())))))
+    # an edit touches `width` shingles but one word, so the sets of words differ that much less; repeated words add some
+    kept = (2 * similarity / (1 + similarity)) ** (1 / width)
+    p = 1.25 * float(np.arccos(kept) / np.pi)
+    keys = []
+    for k in range(int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - p) ** size)))):
+        masks = [0] * WORDS  # each block draws its bits from the whole word sketch
+        for bit in np.random.default_rng(k).choice(64 * WORDS, size, replace=False).tolist():
+            masks[bit >> 6] |= 1 << (bit & 63)
+        keys.append(F.xxhash64(F.lit(k), *[F.col(PARTS[j]).bitwiseAND(F.lit(_signed(m)).cast("long")) for j, m in enumerate(masks)]))
+    dealt = nodes.select("node", *PARTS[WORDS:], F.explode(F.array(*keys)).alias("bucket"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns] for b in batches]
+        if held:
+            node, *own, bucket = (np.concatenate([h[k] for h in held]) for k in range(WORDS + 2))
+            a, b = nearest_links(bucket, node, np.stack(own, axis=1).view(np.uint64), similarity)
+            for lo in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (a, b)], ["a", "b"])
+
+    pairs = dealt.repartition("bucket").mapInArrow(run, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """(a, b): candidate pairs whose sets of shingles have this Jaccard similarity or more, compared exactly.
+
+    rows: (doc, t); nodes: (node, digest, least, parts), one for each distinct text, `least` being a document that has it.
+    Only the texts of candidates are read again.
+    """
+    pairs = written(candidates(nodes, similarity, width), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest", F.col("least").alias("doc")), "node")
+    ends = written(ends, "ends")
+    build = lambda: lambda texts: [list(map(text_digest, texts)), [shingle_hashes(t, width).view(np.int64) for t in texts]]
+    sets = map_texts(rows.join(ends.select("doc").distinct(), "doc", "left_semi"), build, "digest string, s array<long>", "doc", "t")
+    sets = written(sets.join(ends.select("node", "digest"), "digest").select("node", "s").dropDuplicates(["node"]), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each group: that with the smallest key.
 
-    All columns stay. Rows with a null key can't be told apart and stay. Of repeated rows with one key one stays.
+    Documents are grouped if their texts are equal, if their fingerprints are linked as in `groups`, or if their
+    sets of five-word shingles have the similarity or more, and through others that are. All columns stay. Rows with a
+    null key can't be told apart and stay. Repeated rows with one key are one document, of which one row stays; an
+    empty table stays empty.
     """
-    found = written(groups(docs, key, text).select(key, "component_id").filter(F.col(key).isNotNull()), "members")
-    copies = written(found.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "copies")
-    kept = docs.join(copies, key, "left_anti")
-    repeated = found.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1").select(key)
-    if repeated.isEmpty():
-        return kept
-    once = kept.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return once.unionByName(kept.filter(F.col(key).isNull()))
+    tune(docs.sparkSession)
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
+
+    def build():
+        def step(texts: list) -> list:
+            fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+            parts = np.array([sketch(t) for t in texts], dtype=np.int64).reshape(-1, len(PARTS))
+            return [list(map(text_digest, texts)), pa.array(fps), *(pa.array(parts[:, k].copy()) for k in range(len(PARTS)))]
+
+        return step
+
+    marked = written(map_texts(rows, build, "digest string, fp long, " + ", ".join(f"{p} long" for p in PARTS), "doc", "t"), "marked")
+    # equal texts have equal marks, so any of them will do
+    each = marked.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("fp", *PARTS)])
+    nodes = written(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    star = stars(links(nodes.select("fp").distinct()))
+    rooted = nodes.select("node", "fp").join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    by_fingerprint = rooted.join(heads, "root").filter("node <> b").select(F.col("node").alias("a"), "b")
+    joined = stars(by_fingerprint.unionByName(similar(rows, nodes, similarity)))
+
+    placed = nodes.select("node", "digest", "least", "n").join(joined.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = placed.groupBy("root").agg(F.min("least").alias("kept"))
+    grouped = placed.join(first, "root").filter("n > 1 or least <> kept").select("digest", "kept")
+    copies = written(marked.select("doc", "digest").join(grouped, "digest").filter("doc <> kept").select(F.col("doc").alias(key)).distinct(), "copies")
+    out = docs.join(copies, key, "left_anti")
+    if marked.groupBy("doc").count().filter("count > 1").isEmpty():
+        return out
+    once = out.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    return once.unionByName(out.filter(F.col(key).isNull()))

@@ -190,6 +190,54 @@ def test_hot_buckets_are_cut_without_loss(spark, monkeypatch, hot):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def shingles(text, width=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        n, m = 30, rng.integers(0, 90)
+        a, b, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        got = simhash.spanning(n, a, b, w)
+        parent, weight, edges = list(range(n)), 0, 0
+        find = lambda x: x if parent[x] == x else find(parent[x])  # noqa: E731, B023
+        for k in np.argsort(w, kind="stable"):
+            x, y = find(a[k]), find(b[k])
+            if x != y:
+                parent[x], weight, edges = y, weight + w[k], edges + 1
+        assert len(got) == edges and w[got].sum() == weight
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(5000)]
+    rows = []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        rows.append(" ".join(base))
+        for _ in range(rng.choice((0, 1, 1, 30 if g == 0 else 2))):
+            copy = base[:]
+            for _ in range(int(len(copy) * rng.choice((0.005, 0.015, 0.02, 0.1, 0.3)))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    sets = [shingles(t) for t in rows]
+    parent = list(range(len(rows)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for k, a in enumerate(sets):
+        for j, b in enumerate(sets[:k]):
+            if len(a & b) >= 0.8 * len(a | b) and find(k) != find(j):
+                x, y = find(k), find(j)
+                parent[max(x, y)] = min(x, y)
+    want = {k for k in range(len(rows)) if find(k) == k}
+    got = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    fps = plain_components({k: plain_fingerprint(t) for k, t in enumerate(rows)})
+    assert all(fps[k] != k for k in want - got)  # what else goes is linked by its fingerprint
+    assert len(got - want) <= 1 and len(want) < len(rows)
+
+
 def test_chain_of_links(spark):
     from millrace.llm.components import stars
 
