@@ -161,7 +161,7 @@ def test_shell(spark, tmp_path):
     assert shell.feed("CREATE TABLE t (a INT);") == "" and shell.feed("INSERT INTO t") == "" and shell.feed("VALUES (1), (NULL);") == ""
     assert shell.feed(".tables") == "t" and ".quit" in shell.feed(".help") and "MB" in shell.feed(".mem")
     shell.feed(".mode csv")
-    assert shell.feed("SELECT a FROM t ORDER BY a;") == "a\n1\n" + '""' or shell.feed("SELECT a FROM t ORDER BY a;").startswith("a\n1")
+    assert shell.feed("SELECT a FROM t ORDER BY a;").splitlines()[:2] == ["a", "1"]
     shell.feed(".mode json")
     assert shell.feed("SELECT a FROM t WHERE a = 1;") == '{"a": 1}'
     shell.feed(".timer on")
