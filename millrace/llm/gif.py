@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .base import map_texts, tune
 
@@ -250,40 +251,41 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return map_texts(docs, build, "n_bytes long, media binary", key, text)
 
 
-FRAME = "struct<x:int,y:int,width:int,height:int,delay_ms:int,disposal:int,transparent:int>"
+FRAME = "struct<start_ms:int,delay_ms:int,x:int,y:int,width:int,height:int,disposal:int,transparent:int,colours:array<int>>"
 
 
 def decode_column(df: DataFrame, key: str = "doc_id", media: str = "media", others: tuple[str, ...] = (), channels: int = 3) -> DataFrame:
-    """(key, *others, frames, pixels, colours, greys, error): each GIF's timed frames and histograms.
+    """(key, *others, frames, pixels, greys, error): each GIF's timed frames and histograms.
 
-    frames: place, delay, disposal and transparent index of each; pixels: what each frame's area shows, row by
-    row, frame after frame, with the first `channels` of RGBA; colours: how many of these pixels fall into each
-    of 64 colours (two bits of red, green, blue); greys: the same for 16 levels of grey. Media that is null or
-    can't be decoded gives nulls and says why in error.
+    frames: when each begins and how long it stays, its place, disposal and transparent index, and colours: how many
+    pixels of its area, as shown, fall into each of 64 colours (two bits of red, green, blue). pixels: what the frames'
+    areas show, row by row, frame after frame, with the first `channels` of RGBA; greys: how many of these pixels
+    fall into each of 16 levels of grey. Media that is null or can't be decoded gives nulls and says why in error.
     """
     tune(df.sparkSession)
     df = df.select(key, *others, media)
     kinds = dict(df.dtypes)
     head = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *others))
-    schema = f"{head}, frames array<{FRAME}>, pixels binary, colours array<long>, greys array<long>, error string"
-    kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("x", "y", "width", "height", "delay_ms", "disposal", "transparent")]))
+    schema = f"{head}, frames array<{FRAME}>, pixels binary, greys array<long>, error string"
+    kind = pa.list_(pa.struct([*((n, pa.int32()) for n in ("start_ms", "delay_ms", "x", "y", "width", "height", "disposal", "transparent")), ("colours", pa.list_(pa.int32()))]))
 
     def one(data: bytes | None) -> tuple:
         if data is None:
-            return None, None, None, None, "null"
+            return None, None, None, "null"
         try:
-            found, parts = [], []
-            colours, greys = np.zeros(64, np.int64), np.zeros(16, np.int64)
+            found, parts, start = [], [], 0
+            greys = np.zeros(16, np.int64)
             for f in frames(data):
                 rgba = f.shown().reshape(-1, 4)
-                found.append({"x": f.x, "y": f.y, "width": f.width, "height": f.height, "delay_ms": 10 * f.delay_cs, "disposal": f.disposal, "transparent": f.transparent})
-                parts.append(np.ascontiguousarray(rgba[:, :channels]).tobytes())
                 r, g, b = rgba[:, 0], rgba[:, 1], rgba[:, 2]
-                colours += np.bincount((r >> 6) << 4 | (g >> 6) << 2 | b >> 6, minlength=64)
+                colours = np.bincount((r >> 6) << 4 | (g >> 6) << 2 | b >> 6, minlength=64).tolist()
+                found.append({"start_ms": start, "delay_ms": 10 * f.delay_cs, "x": f.x, "y": f.y, "width": f.width, "height": f.height, "disposal": f.disposal, "transparent": f.transparent, "colours": colours})
+                start += 10 * f.delay_cs
+                parts.append(np.ascontiguousarray(rgba[:, :channels]).tobytes())
                 greys += np.bincount(((r.astype(np.uint16) + g + b) // 48).astype(np.uint8), minlength=16)
-            return found, b"".join(parts), colours.tolist(), greys.tolist(), None
+            return found, b"".join(parts), greys.tolist(), None
         except (ValueError, IndexError, struct.error) as e:
-            return None, None, None, None, str(e)
+            return None, None, None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +293,12 @@ def decode_column(df: DataFrame, key: str = "doc_id", media: str = "media", othe
                 part = batch.slice(lo, 256)
                 rows = [one(x) for x in part.column(part.num_columns - 1).to_pylist()]
                 made = list(zip(*rows, strict=True))
-                kinds = (kind, pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
-                yield pa.RecordBatch.from_arrays(part.columns[:-1] + [pa.array(x, t) for x, t in zip(made, kinds, strict=True)], [key, *others, "frames", "pixels", "colours", "greys", "error"])
+                kinds = (kind, pa.binary(), pa.list_(pa.int64()), pa.string())
+                yield pa.RecordBatch.from_arrays(part.columns[:-1] + [pa.array(x, t) for x, t in zip(made, kinds, strict=True)], [key, *others, "frames", "pixels", "greys", "error"])
 
     return df.mapInArrow(run, schema)
+
+
+def frame_rows(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row for each frame of decoded media: (key, frame, start_ms, delay_ms, place, disposal, transparent, colours)."""
+    return decoded.select(key, F.posexplode("frames").alias("frame", "f")).select(key, "frame", "f.*")

@@ -489,6 +489,15 @@ def test_gif_rules():
     assert tall[:, 0, 0].tolist() == [255, 0]
 
 
+def test_timed_frames_and_colours(spark):
+    media = _gif(2, 1, _image(0, 0, 2, 1, [0, 1]), _image(1, 0, 1, 1, [3]))
+    decoded = gif.decode_column(spark.createDataFrame([(1, bytearray(media))], "doc_id long, media binary"))
+    assert bytes(decoded.first()["pixels"]) == bytes([255, 0, 0, 0, 255, 0, 255, 255, 255])
+    a, b = gif.frame_rows(decoded).orderBy("frame").collect()
+    assert (a["start_ms"], a["delay_ms"], b["start_ms"], b["x"]) == (0, 50, 50, 1)
+    assert {k: n for k, n in enumerate(a["colours"]) if n} == {0b110000: 1, 0b001100: 1} and b["colours"][63] == 1
+
+
 @pytest.mark.parametrize("bad", [b"", b"GIF89a", b"PNG", _gif(1, 1)[:-1], gif.write_gif(b" " * 192)[:-30]])
 def test_gif_damage_is_reported(spark, bad):
     row = gif.decode_column(spark.createDataFrame([(1, bytearray(bad)), (2, None)], "doc_id long, media binary")).collect()
