@@ -363,12 +363,29 @@ def text_digest(text: str | None) -> str:
 PARTS = [f"p{k}" for k in range(2 * WORDS)]
 
 
+def _spread(dealt: DataFrame) -> DataFrame:
+    """(…, bucket) with each bucket of more than HOT rows as several that hold HOT at most, any two of its rows meeting in one.
+
+    Such a bucket is cut into g chunks and every two chunks make a bucket, so its rows are repeated g times: the work
+    is spread over tasks of bounded memory, and no pair is lost.
+    """
+    hot = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > HOT)
+    if hot.isEmpty():
+        return dealt
+    hot = written(hot.select("bucket", F.ceil(F.col("rows") * 2 / HOT).cast("int").alias("g")), "hot")
+    mine, other = F.pmod(F.xxhash64("node"), F.col("g")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    cut = dealt.join(hot, "bucket").withColumn("mine", mine).withColumn("other", other)
+    key = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
+    return dealt.join(hot, "bucket", "left_anti").select(*dealt.columns).unionByName(cut.withColumn("bucket", key).select(*dealt.columns))
+
+
 def candidates(nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """(a, b): pairs of nodes (node long, p0, p1, ... the parts of its sketch) that may have the similarity.
 
     Two nodes meet if one block of bits of their word sketches is equal. Blocks are as long as the number of nodes
     asks for, and so many that RECALL of the pairs at the similarity meet somewhere. In a bucket a spanning forest of
     least distances is kept, so a group of m near copies gives m - 1 pairs there, and none is left unconnected.
+    Buckets of more than HOT nodes are cut up without loss.
     """
     size = max(16, int(np.ceil(np.log2(max(2, nodes.count())))))
     # an edit touches `width` shingles but one word, so the sets of words differ that much less; repeated words add some
@@ -390,7 +407,7 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY, width: int = WI
             for lo in range(0, len(a), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (a, b)], ["a", "b"])
 
-    pairs = dealt.repartition("bucket").mapInArrow(run, "a long, b long")
+    pairs = _spread(dealt).repartition("bucket").mapInArrow(run, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

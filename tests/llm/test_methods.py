@@ -210,7 +210,9 @@ def test_spanning_forest():
         assert len(got) == edges and w[got].sum() == weight
 
 
-def test_near_copies_by_similarity(spark):
+@pytest.mark.parametrize("hot", [100_000, 6])
+def test_near_copies_by_similarity(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(13)
     words = [f"w{k}" for k in range(5000)]
     rows = []
@@ -351,6 +353,12 @@ def test_edited_copies_are_found_and_prose_is_not(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(texts, st.text("aB_é 0²—中.\x1c\x85Σİ", max_size=30)))
+def test_words_are_runs_of_letters_and_digits(text):
+    assert [w.decode() for w in decontaminate.words(text)] == decontaminate._FIND(text.lower())
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 200)
     items = [(k, " ".join(f"i{k}x{j}" for j in range(12))) for k in range(20)]
