@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,20 @@ SIMILARITY = 0.8  # of its words, what a copy keeps at least: it may have 1 - SI
 THRESHOLD = 0.5  # of the score, from which a passage counts as a copy; an edit costs a match and a penalty, chance passages stay below 0.3
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 BLOCK = 32 << 20  # bytes of test items that are sent to the workers at once
-words = regex.compile(r"[\p{L}\p{N}]+").findall
+_FIND = regex.compile(r"[\p{L}\p{N}]+").findall
+_ODD = regex.compile(r"[^\p{L}\p{N}\x00-\x7f]").search
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def words(text: str) -> list[bytes]:
+    """Runs of letters and digits, in lower case, as UTF-8.
+
+    Most texts have no other characters beyond ASCII, so blanking ASCII's other bytes and splitting does the same as the pattern.
+    """
+    text = text.lower()
+    if text.isascii() or not _ODD(text):
+        return text.encode().translate(_PLAIN).split()
+    return [w.encode() for w in _FIND(text)]
 
 
 @dataclass
@@ -34,17 +48,17 @@ class Items:
 
     ids: list
     tokens: list[np.ndarray]
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     grams: np.ndarray  # sorted distinct keys of n-grams
     places: list[list[tuple[int, int]]]  # of each: (item, position)
     width: int
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
-        vocabulary: dict[str, int] = {}
+        vocabulary: dict[bytes, int] = {}
         ids, tokens, places = [], [], defaultdict(list)
         for key, text in rows:
-            own = words((text or "").lower())
+            own = words(text or "")
             if own:
                 ids.append(key)
                 tokens.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in own], dtype=np.int64))
@@ -72,9 +86,8 @@ class Items:
             known &= part >= 0
         return np.where(known, key, -1)
 
-    def numbers(self, own: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in own), dtype=np.int64, count=len(own))
+    def numbers(self, own: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.get, own, repeat(-1)), dtype=np.int64, count=len(own))
 
     def hits(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, n-gram's number) wherever the text has one of the items' n-grams."""
@@ -210,7 +223,7 @@ def _counter(shared):
         for batch in batches:
             for t in batch.column(0):
                 if t.is_valid:
-                    _, k = items.hits(items.numbers(words(t.as_py().lower())))
+                    _, k = items.hits(items.numbers(words(t.as_py())))
                     total[np.unique(k)] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["gram", "docs"])
@@ -225,7 +238,7 @@ def _finder(shared, seeded, similarity: float, threshold: float, key: str):
             for part in slices(batch, 1):
                 at, rows = [], []
                 for k, t in enumerate(part.column(1).to_pylist()):
-                    for row in leaks(items, seeded.value, items.numbers(words(t.lower())), similarity, threshold) if t else ():
+                    for row in leaks(items, seeded.value, items.numbers(words(t)), similarity, threshold) if t else ():
                         at.append(k)
                         rows.append((items.ids[row[0]], *row[1:]))
                 if rows:
