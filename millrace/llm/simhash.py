@@ -425,7 +425,8 @@ def similar(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, w
     sets = written(sets.join(ends.select("node", "digest"), "digest").select("node", "s").dropDuplicates(["node"]), "shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    # written, so that nothing downstream keeps Spark from splitting the partitions of a text with many near copies
+    return written(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
