@@ -243,5 +243,12 @@ class Engine:
     def load(self, path: str) -> Frame:
         return Frame(tables.load_table(self.spark, path))
 
+    splay_save, splay_load = save, load
+
+    def mem_stats(self) -> dict[str, int]:
+        """Bytes that the driver's JVM uses and may use."""
+        r = self.spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+        return {"used": r.totalMemory() - r.freeMemory(), "most": r.maxMemory()}
+
     def part_load(self, root: str, table: str) -> Frame:
         return Frame(tables.read_parted(self.spark, root, table))

@@ -83,12 +83,12 @@ def filter_node(spark: SparkSession, settings: dict, data: Data) -> Data:
 
 @node
 def groupby(spark: SparkSession, settings: dict, data: Data) -> Data:
-    """Group by keys and aggregate columns, each as column_op."""
+    """Group by keys and aggregate columns; results are named column_kind, averages column_mean."""
     made = []
     for a in settings["aggs"]:
         if a["op"] not in AGGREGATES:
             raise NodeError(f"no such aggregate: {a['op']}")
-        made.append(AGGREGATES[a["op"]](a["column"]).alias(f"{a['column']}_{a['op']}"))
+        made.append(AGGREGATES[a["op"]](a["column"]).alias(f"{a['column']}_{'mean' if a['op'] == 'avg' else a['op']}"))
     return _with(data, _df(data).groupBy(*settings["keys"]).agg(*made))
 
 
@@ -132,7 +132,7 @@ def formula_column(text: str, columns: list[str]) -> Column:
 def formula(spark: SparkSession, settings: dict, data: Data) -> Data:
     """Add a column computed by arithmetic."""
     df = _df(data)
-    return _with(data, df.withColumn(settings.get("output", "result"), formula_column(settings["expression"], df.columns)))
+    return _with(data, df.withColumn(settings.get("output_name", "result"), formula_column(settings["expression"], df.columns)))
 
 
 @node
@@ -160,10 +160,10 @@ _ALLOWED = {f.__name__: f for f in (abs, all, any, bool, dict, enumerate, float,
 
 @node
 def script(spark: SparkSession, settings: dict, data: Data) -> Data:
-    """Run the author's Python over a copy of the dictionary; it leaves its result in `output`. Frames stay lazy."""
-    scope = {"__builtins__": dict(_ALLOWED), "data": dict(data), "F": F}
+    """Run the author's Python over a copy of the dictionary, `input`; it leaves its result in `output`. Frames stay lazy."""
+    scope = {"__builtins__": dict(_ALLOWED), "input": dict(data), "output": {}, "F": F}
     exec(compile(settings["code"], "<script>", "exec"), scope)  # noqa: S102
-    out = scope.get("output", scope["data"])
+    out = scope["output"]
     if not isinstance(out, dict):
         raise NodeError("a script leaves a dictionary")
     return out
@@ -173,25 +173,32 @@ def script(spark: SparkSession, settings: dict, data: Data) -> Data:
 def conditional(spark: SparkSession, settings: dict, data: Data) -> Data:
     """Mark the branch that a value of the dictionary takes."""
     value, other = data.get(settings["field"]), settings["value"]
+    if value is None:
+        raise NodeError(f"there is no {settings['field']}")
     if settings["operator"] not in COMPARE:
         raise NodeError(f"no such comparison: {settings['operator']}")
     if isinstance(other, str) and isinstance(value, (int, float)):
         other = float(other)
-    return {**data, "branch": "true" if value is not None and COMPARE[settings["operator"]](value, other) else "false"}
+    met = bool(COMPARE[settings["operator"]](value, other))
+    return {**data, "branch": "true" if met else "false", "condition_met": met}
 
 
 @node
 def dict_transform(spark: SparkSession, settings: dict, data: Data) -> Data:
-    """Drop, then pick, then rename entries, or columns where there is a table."""
+    """Drop, then pick, then rename entries of the dictionary."""
     drop, pick, rename = settings.get("drop", []), settings.get("pick"), settings.get("rename", {})
-    if isinstance(data.get("df"), DataFrame):
-        df = data["df"].drop(*drop)
-        df = df.select(*pick) if pick else df
-        return _with(data, df.withColumnsRenamed(rename))
     out = {k: v for k, v in data.items() if k not in drop and (not pick or k in pick)}
     return {rename.get(k, k): v for k, v in out.items()}
 
 
+@node
+def columns(spark: SparkSession, settings: dict, data: Data) -> Data:
+    """Drop, then pick, then rename columns of the table."""
+    df = _df(data).drop(*settings.get("drop", []))
+    df = df.select(*settings["pick"]) if settings.get("pick") else df
+    return _with(data, df.withColumnsRenamed(settings.get("rename", {})))
+
+
 @node
 def grid(spark: SparkSession, settings: dict, data: Data) -> Data:
     """The first page of rows, and how many rows there are."""
@@ -202,17 +209,19 @@ def grid(spark: SparkSession, settings: dict, data: Data) -> Data:
 @node
 def chart(spark: SparkSession, settings: dict, data: Data) -> Data:
     """The options of a bar, line, pie or scatter chart of at most max_points points."""
-    kind = settings.get("chart_type", "bar")
+    kind, df = settings.get("chart_type", "bar"), _df(data)
     if kind not in ("bar", "line", "pie", "scatter"):
         raise NodeError(f"no such chart: {kind}")
-    rows = _df(data).select(settings["x"], settings["y"]).limit(settings.get("max_points", 500)).collect()
-    xs, ys = [r[0] for r in rows], [r[1] for r in rows]
+    x, y = settings.get("x_column") or df.columns[0], settings.get("y_column") or df.columns[-1]
+    points = [(r[0], r[1]) for r in df.select(x, y).limit(settings.get("max_points", 500)).collect()]
+    options: dict[str, Any] = {"title": {"text": settings.get("title", "")}}
     if kind == "pie":
-        series = {"type": kind, "data": [{"name": x, "value": y} for x, y in zip(xs, ys, strict=True)]}
-        return {**data, "chart": {"series": [series]}}
-    if kind == "scatter":
-        return {**data, "chart": {"xAxis": {"type": "value"}, "series": [{"type": kind, "data": [list(p) for p in zip(xs, ys, strict=True)]}]}}
-    return {**data, "chart": {"xAxis": {"type": "category", "data": xs}, "series": [{"type": kind, "data": ys}]}}
+        options["series"] = [{"type": kind, "data": [{"name": a, "value": b} for a, b in points]}]
+    elif kind == "scatter":
+        options |= {"xAxis": {"type": "value"}, "yAxis": {"type": "value"}, "series": [{"type": kind, "data": [list(p) for p in points]}]}
+    else:
+        options |= {"xAxis": {"type": "category", "data": [a for a, _ in points]}, "yAxis": {"type": "value"}, "series": [{"type": kind, "data": [b for _, b in points]}]}
+    return {**data, "chart_type": kind, "options": options}
 
 
 @node
@@ -227,12 +236,12 @@ def export(spark: SparkSession, settings: dict, data: Data) -> Data:
     """Write the table as CSV or JSON, one file a task."""
     df, kind = _df(data), settings.get("format", "csv")
     if kind == "csv":
-        write_csv(df, settings["path"])
+        write_csv(df, settings["output_path"])
     elif kind == "json":
-        df.write.mode("overwrite").json(settings["path"])
+        df.write.mode("overwrite").json(settings["output_path"])
     else:
         raise NodeError(f"no such format: {kind}")
-    return {**data, "path": settings["path"]}
+    return {**data, "path": settings["output_path"], "format": kind}
 
 
 @dataclass
@@ -314,9 +323,11 @@ def _pdf_text(value: str) -> bytes:
 
 @node
 def pdf_render(spark: SparkSession, settings: dict, data: Data) -> Data:
-    """The first max_rows rows as a plain table in a PDF document, under `pdf`."""
+    """The first max_rows rows of some or all columns as a plain table in a PDF document, under `pdf`."""
     df, size, step = _df(data), 8, 11
-    rows = [[str(v) if v is not None else "" for v in r] for r in df.limit(settings.get("max_rows", 500)).collect()]
+    if chosen := [c.strip() for c in settings.get("columns", "").split(",") if c.strip()]:
+        df = df.select(*chosen)
+    rows = [[str(v) if v is not None else "" for v in r] for r in df.limit(settings.get("max_rows", 1000)).collect()]
     widths = [min(30, max(map(len, c))) for c in zip(df.columns, *rows, strict=True)]
     lines = ["  ".join(v[:w].ljust(w) for v, w in zip(r, widths, strict=True)) for r in (df.columns, *rows)]
     per_page = (792 - 100) // step

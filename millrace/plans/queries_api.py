@@ -183,7 +183,7 @@ def pipe_filter_groupby_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @frame("SELECT o_orderkey, (o_totalprice - o_custkey) * 2 / 4 AS score FROM orders")
 def pipe_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, [
-        ("src", "table_source", {"path": f"{sf_dir}/orders.parquet"}), ("f", "formula", {"expression": "(o_totalprice - o_custkey) * 2 / 4", "output": "score"}), ("d", "dict_transform", {"pick": ["o_orderkey", "score"]}),
+        ("src", "table_source", {"path": f"{sf_dir}/orders.parquet"}), ("f", "formula", {"expression": "(o_totalprice - o_custkey) * 2 / 4", "output_name": "score"}), ("d", "columns", {"pick": ["o_orderkey", "score"]}),
     ])
 
 
@@ -196,7 +196,7 @@ def pipe_query_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipe_query_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, [
         ("src", "table_source", {"path": f"{sf_dir}/nation.parquet"}),
-        ("q", "query", {"filter": {"column": "n_regionkey", "operator": "eq", "value": "2"}, "sort": {"columns": [{"name": "n_name"}]}}), ("d", "dict_transform", {"rename": {"n_nationkey": "key", "n_name": "name"}}),
+        ("q", "query", {"filter": {"column": "n_regionkey", "operator": "eq", "value": "2"}, "sort": {"columns": [{"name": "n_name"}]}}), ("d", "columns", {"rename": {"n_nationkey": "key", "n_name": "name"}}),
     ])
 
 
@@ -205,8 +205,8 @@ def pipe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(
         spark,
         [
-            ("r", "table_source", {"path": f"{sf_dir}/region.parquet"}), ("rk", "dict_transform", {"rename": {"r_regionkey": "k"}}), ("n", "table_source", {"path": f"{sf_dir}/nation.parquet"}),
-            ("nk", "dict_transform", {"rename": {"n_regionkey": "k"}}), ("j", "join", {"keys": ["k"]}), ("d", "dict_transform", {"pick": ["k", "n_name", "r_name"]}),
+            ("r", "table_source", {"path": f"{sf_dir}/region.parquet"}), ("rk", "columns", {"rename": {"r_regionkey": "k"}}), ("n", "table_source", {"path": f"{sf_dir}/nation.parquet"}),
+            ("nk", "columns", {"rename": {"n_regionkey": "k"}}), ("j", "join", {"keys": ["k"]}), ("d", "columns", {"pick": ["k", "n_name", "r_name"]}),
         ],
         [{"source": "r", "target": "rk"}, {"source": "n", "target": "nk"}, {"source": "nk", "target": "j"}, {"source": "rk", "target": "j", "as": "right"}, {"source": "j", "target": "d"}],
     )

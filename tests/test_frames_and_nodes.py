@@ -26,6 +26,18 @@ def test_frame(people):
         people.group_by("k").agg(col("v"))
 
 
+def test_engine_storage(people, spark, tmp_path):
+    from millrace.sources.tables import save_parted
+
+    with Engine(spark) as e:
+        e.splay_save(people, str(tmp_path / "t"))
+        assert len(e.splay_load(str(tmp_path / "t"))) == 4 and e.mem_stats()["used"] > 0
+        e.write_csv(people, str(tmp_path / "c"))
+        assert sorted(e.read_csv(str(tmp_path / "c"))["v"].to_list()) == [1, 2, 3, 4]
+        save_parted(people.df.withColumn("part", F.col("v") % 2), str(tmp_path / "p"), "t", key="part")
+        assert e.part_load(str(tmp_path / "p"), "t").columns == ["part", "k", "v", "w"]
+
+
 def test_frame_sets_and_windows(people):
     a = people.select("k")
     assert len(a.union(a)) == 8 and len(a.union(a, all=False)) == 3 and len(a.intersect(a)) == 3 and len(a.subtract(a.filter(col("k") == "a"))) == 2
@@ -81,7 +93,7 @@ def test_pipeline(spark, tmp_path):
             {"id": "src", "type": "csv_source", "config": {"file_path": left}},
             {"id": "flt", "type": "filter", "config": {"column": "val", "operator": "ge", "value": "2"}},
             {"id": "jn", "type": "join", "config": {"right_file": right, "keys": ["id"]}},
-            {"id": "fx", "type": "formula", "config": {"expression": "-val * 2 + score / 4", "output": "z"}},
+            {"id": "fx", "type": "formula", "config": {"expression": "-val * 2 + score / 4", "output_name": "z"}},
             {"id": "srt", "type": "sort", "config": {"columns": [{"name": "id", "descending": True}]}},
             {"id": "out", "type": "grid", "config": {"page_size": 1}},
         ],
@@ -110,15 +122,20 @@ def test_other_nodes(spark, tmp_path, people):
     assert NODES["query"](spark, {"sql": "WHERE v > 2 ORDER BY v DESC"}, data)["df"].collect()[0]["v"] == 4
     assert NODES["query"](spark, {"filter": {"column": "k", "operator": "eq", "value": "a"}, "groupby": {"keys": ["k"], "aggs": [{"column": "v", "op": "avg"}]}}, data)["df"].collect() == [("a", 2.0)]
     assert NODES["conditional"](spark, {"field": "n", "operator": "gt", "value": "3"}, {"n": 5})["branch"] == "true"
+    assert NODES["columns"](spark, {"drop": ["w"], "rename": {"k": "key"}}, data)["df"].columns == ["key", "v"]
+    assert NODES["groupby"](spark, {"keys": ["k"], "aggs": [{"column": "v", "op": "avg"}]}, data)["df"].columns == ["k", "v_mean"]
+    with pytest.raises(NodeError):
+        NODES["conditional"](spark, {"field": "m", "operator": "gt", "value": "3"}, {"n": 5})
+    assert NODES["script"](spark, {"code": "output = {'m': input['n'] + 1}"}, {"n": 1}) == {"m": 2}
     assert NODES["dict_transform"](spark, {"drop": ["x"], "rename": {"y": "z"}}, {"x": 1, "y": 2}) == {"z": 2}
     assert NODES["script"](spark, {"code": "output = {'n': sum([1, 2])}"}, {})["n"] == 3
     with pytest.raises(NameError):
         NODES["script"](spark, {"code": "open('x')"}, {})
     for kind in ("bar", "line", "scatter", "pie"):
-        assert NODES["chart"](spark, {"x": "k", "y": "v", "chart_type": kind}, data)["chart"]["series"][0]["type"] == kind
+        assert NODES["chart"](spark, {"x_column": "k", "y_column": "v", "chart_type": kind}, data)["options"]["series"][0]["type"] == kind
     assert NODES["stat_card"](spark, {"column": "v", "op": "max"}, data)["value"] == 4
     for kind in ("csv", "json"):
-        NODES["export"](spark, {"path": str(tmp_path / kind), "format": kind}, data)
+        NODES["export"](spark, {"output_path": str(tmp_path / kind), "format": kind}, data)
     assert spark.read.json(str(tmp_path / "json")).count() == 4
     assert {m["id"] for m in metadata()} >= {"filter", "groupby", "join"}
 
