@@ -65,7 +65,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, heade
         multiline = any(line.count('"') % 2 for line in lines)
     parsed = list(csv.reader(lines if not multiline else iter("\n".join(lines).splitlines(keepends=True)), delimiter=delimiter))
     names = parsed[0] if header else [f"V{k + 1}" for k in range(len(parsed[0]))]
-    body = parsed[1 if header else 0 :]
+    body = [row for row in parsed[1:] if row != names] if header else parsed  # each file of a directory begins with the header
     kinds = types or infer(body[:-1] if multiline and len(body) > 1 else body, len(names))
     if len(kinds) != len(names):
         raise ValueError(f"{len(kinds)} types for {len(names)} columns")
