@@ -35,6 +35,11 @@ def got(session, sql):
         ("SELECT name, COUNT(*) FROM t GROUP BY name HAVING COUNT(*) > 1", [("a", 2)]),
         ("SELECT COUNT(val), COUNT(DISTINCT val), SUM(val) FROM t", [(4, 3, 55.75)]),
         ("SELECT name FROM t WHERE id = 4", [("it's",)]),
+        ("SELECT CONCAT('it''s ', TRIM(' x '), REPLACE(name, '''', '-'), '!') FROM t WHERE id = 4", [("it's xit-s!",)]),
+        (
+            "SELECT EXTRACT(YEAR FROM CAST('2024-05-06' AS DATE)), TRIM(BOTH ' ' FROM ' a '), CONCAT('a', DATE_TRUNC('day', CAST('2024-05-06 07:08:09' AS TIMESTAMP))) FROM t WHERE id = 1",
+            [(2024, "a", "a2024-05-06 00:00:00")],
+        ),
         ("SELECT id / 0, id % 0 FROM t WHERE id = 1", [(None, None)]),
         ("SELECT id FROM t WHERE name IS NULL", [(5,)]),
         ("SELECT COALESCE(name, 'none') FROM t WHERE id = 5", [("none",)]),
