@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .base import map_texts
 
 #: Entries kept in each memo of a worker. Only speed depends on it.
-MEMO = 300_000
+MEMO = 200_000
 END = "</w>"
 #: Finds a character outside the blocks on whose letters, digits and white space all Unicode versions in use agree.
 UNSURE = regex.compile(r"[^\u0000-\u052f\u2000-\u206f\u20a0-\u20bf\u2190-\u2bff\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]").search
@@ -109,19 +109,23 @@ class WordBpe:
                     heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
         return tuple(i for i, keep in zip(ids, alive, strict=True) if keep)
 
+    def fragment(self, raw: bytes, ends: bool, keep: bool) -> tuple[int, ...]:
+        """Ids of a fragment. Those of cut words are kept; a word in one piece is kept as a word."""
+        if (ids := self.fragments.get((raw, ends))) is None:
+            ids = (self.merged if len(raw) < 48 else self.merged_long)(raw, ends)
+            if keep and len(raw) < 200:
+                if len(self.fragments) >= MEMO:
+                    self.fragments.clear()
+                self.fragments[raw, ends] = ids
+        return ids
+
     def word(self, word: str) -> tuple[int, ...]:
         raw = word.encode()
+        cuts = self.cuts(raw)
         out: list[int] = []
         start = 0
-        for cut in [*self.cuts(raw), len(raw)]:
-            key = (raw[start:cut], cut == len(raw))
-            if (ids := self.fragments.get(key)) is None:
-                if len(self.fragments) >= MEMO:
-                    self.fragments.clear()
-                ids = (self.merged if cut - start < 48 else self.merged_long)(*key)
-                if cut - start < 200:
-                    self.fragments[key] = ids
-            out += ids
+        for cut in [*cuts, len(raw)]:
+            out += self.fragment(raw[start:cut], cut == len(raw), bool(cuts))
             start = cut
         if len(self.words) >= MEMO:
             self.words.clear()

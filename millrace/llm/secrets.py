@@ -29,7 +29,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 B, I, O = range(3)
-MEMO = 250_000
+MEMO = 150_000
 Span = tuple[int, str, int]  # start, kind, end
 
 

@@ -23,7 +23,7 @@ from .base import map_texts, tune, written
 from .components import stars
 
 SHINGLE, SEED, DISTANCE, FANOUT = 3, 42, 3, 8
-FRONTIER = 1 << 20  # pairs of a query and a node that are held at once
+FRONTIER = 1 << 18  # pairs of a query and a node that are held at once
 HOT, LEVELS = 100_000, 4  # fingerprints from which a bucket is cut again, and how often that can be
 CHUNK = 1 << 16  # shingles that are held at once
 _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], dtype=np.int64)
@@ -132,7 +132,7 @@ class Forest:
 
     def roots(self, x: np.ndarray) -> np.ndarray:
         r = self.parent[x]
-        while (up := self.parent[r]).tolist() != r.tolist():
+        while not np.array_equal(up := self.parent[r], r):
             r = up
         return r
 
