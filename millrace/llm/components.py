@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from .base import written
 
 
+def _apart(least: DataFrame) -> DataFrame:
+    """An aggregate as a table of its own. Joined with it, a hub's rows can be split or met by a broadcast, as its size is known;
+    straight from the aggregate they would all stay in the task that their key was dealt to."""
+    return written(least, "least")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Each node passes the least node around it to its greater neighbours. edges: distinct (u, v) with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node passes its least smaller neighbour to the other smaller ones."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = _apart(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

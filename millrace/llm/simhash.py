@@ -241,8 +241,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     star = stars(links(distinct.select("fp"), distance))
     rooted = distinct.join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size"))
+    whole = written(whole.filter("size > 1"), "whole")
     # a fingerprint that stands alone needs no row: its component is its own document
-    special = written(rooted.join(whole.filter("size > 1"), "root").select("fp", "component_id"), "groups")
+    special = written(rooted.join(whole, "root").select("fp", "component_id"), "groups")
     special = special.withColumn("grouped", F.lit(True))
     joined = marked.join(special, "fp", "left")
     return joined.select(F.col("doc").alias(key), "fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
@@ -455,12 +456,12 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
 
     star = stars(links(nodes.select("fp").distinct()))
     rooted = nodes.select("node", "fp").join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    heads = written(rooted.groupBy("root").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "heads")
     by_fingerprint = rooted.join(heads, "root").filter("node <> b").select(F.col("node").alias("a"), "b")
     joined = stars(by_fingerprint.unionByName(similar(rows, nodes, similarity)))
 
     placed = nodes.select("node", "digest", "least", "n").join(joined.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = placed.groupBy("root").agg(F.min("least").alias("kept"))
+    first = written(placed.groupBy("root").agg(F.min("least").alias("kept")), "first")
     grouped = placed.join(first, "root").filter("n > 1 or least <> kept").select("digest", "kept")
     copies = written(marked.select("doc", "digest").join(grouped, "digest").filter("doc <> kept").select(F.col("doc").alias(key)).distinct(), "copies")
     out = docs.join(copies, key, "left_anti")
