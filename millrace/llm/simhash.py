@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_texts, tune, written
+from .base import bounded_sample, map_texts, tune, written
 from .components import stars
 
 SHINGLE, SEED, DISTANCE, FANOUT = 3, 42, 3, 8
@@ -249,28 +249,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     return joined.select(F.col("doc").alias(key), "fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
 
 
-# near copies by similarity: wider sketches find them, the texts' own shingles decide
+# near copies by similarity: rare shingles find them, whole sets of shingles decide
 
 WIDTH, SIMILARITY = 5, 0.8
-WORDS = 4  # 64-bit parts of each sketch
-RECALL = 0.99  # of pairs at the similarity, those that meet in a bucket
-_STEP, *_MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th of a family of hashes of hashes (the splitmix64 finaliser)."""
-    h = h + np.uint64(_STEP * (k + 1) % (1 << 64))
-    h = (h ^ h >> np.uint64(30)) * _MIX[0]
-    h = (h ^ h >> np.uint64(27)) * _MIX[1]
-    return h ^ h >> np.uint64(31)
-
-
-def _bits(h: np.ndarray) -> int:
-    counts = np.zeros((8, 256), dtype=np.int64)
-    for lo in range(0, len(h), CHUNK):
-        octets = h[lo : lo + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
-        counts += np.bincount(octets.ravel(), minlength=2048).reshape(8, 256)
-    return int(np.packbits(2 * (counts @ _BITS).ravel() > len(h), bitorder="little").view("<u8")[0])
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -287,19 +268,6 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(first, last, strict=True)), dtype=np.uint64, count=len(first)))
 
 
-def sketch(text: str | None, width: int = WIDTH) -> list[int]:
-    """WORDS parts over the text's distinct words, then WORDS over its distinct shingles, as signed integers."""
-    words = set((text or "").encode().lower().split())
-    single = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-    shingles = shingle_hashes(text, width)
-    return [_signed(_bits(_mixed(h, k))) for h in (single, shingles) for k in range(WORDS)]
-
-
-def differing(similarity: float) -> float:
-    """The share of a sketch's bits that differ between two sets of equal size with this Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Numbers of the edges of a minimum spanning forest, found by rounds of least edges; ties go to the earlier edge."""
     forest, taken = Forest(n), []
@@ -321,104 +289,44 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nda
     return np.concatenate(taken) if taken else np.empty(0, np.int64)
 
 
-def nearest_links(keys: np.ndarray, nodes: np.ndarray, codes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes that may reach the similarity: in each bucket a spanning forest of the least distances, one edge fewer than nodes.
-
-    codes: a row of WORDS parts for each node. Connectedness at any smaller distance survives in such a forest.
-    """
-    _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-    shared = count[back] > 1
-    keys, nodes, codes = keys[shared], nodes[shared], codes[shared]
-    if not len(keys):
-        return nodes, nodes
-    p, bits = differing(similarity), 64 * WORDS
-    most = int(bits * p + 2.5 * np.sqrt(bits * p * (1 - p)))
-    index = HammingIndex(keys, codes[:, 0].copy())
-    codes, nodes = codes[index.order], nodes[index.order]
-    ends = [np.empty(0, np.int64)] * 3
-    held: list[list[np.ndarray]] = [[x] for x in ends]
-    size = 0
-
-    def settle() -> None:
-        nonlocal held, size
-        a, b, w = (np.concatenate(x) for x in held)
-        keep = np.sort(spanning(len(nodes), a, b, w))
-        held, size = [[a[keep]], [b[keep]], [w[keep]]], 0
-
-    for a, b in index.pairs(int(64 * p + 4 * np.sqrt(64 * p * (1 - p)))):
-        w = np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1, dtype=np.int64)
-        near = w <= most
-        for x, new in zip(held, (a[near], b[near], w[near]), strict=True):
-            x.append(new)
-        size += int(near.sum())
-        if size > FRONTIER:
-            settle()
-    settle()
-    return nodes[held[0][0]], nodes[held[1][0]]
-
-
 def text_digest(text: str | None) -> str:
     return hashlib.blake2b((text or "").encode(), digest_size=16).hexdigest()
 
 
-PARTS = [f"p{k}" for k in range(2 * WORDS)]
+ROWS, GROWTH = 16, 8  # nodes up to which a bucket is compared at once, and the growth of hubs from round to round in larger ones
 
 
-def _spread(dealt: DataFrame) -> DataFrame:
-    """(…, bucket) with each bucket of more than HOT rows as several that hold HOT at most, any two of its rows meeting in one.
+def common_shingles(rows: DataFrame, width: int = WIDTH, sample: int = 4000, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in several of a sample of texts, sorted, and how common each is. They only set an order: see `prefix`."""
+    some = bounded_sample(rows, "doc", sample, 7)
+    sets = map_texts(some, lambda: lambda texts: [[shingle_hashes(t, width).view(np.int64) for t in texts]], "s array<long>", "doc", "t")
+    counts = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "s").limit(most).toArrow()
+    s, n = counts["s"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
 
-    Such a bucket is cut into g chunks and every two chunks make a bucket, so its rows are repeated g times: the work
-    is spread over tasks of bounded memory, and no pair is lost.
-    """
-    hot = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > HOT)
-    if hot.isEmpty():
-        return dealt
-    hot = written(hot.select("bucket", F.ceil(F.col("rows") * 2 / HOT).cast("int").alias("g")), "hot")
-    mine, other = F.pmod(F.xxhash64("node"), F.col("g")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    cut = dealt.join(hot, "bucket").withColumn("mine", mine).withColumn("other", other)
-    key = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
-    return dealt.join(hot, "bucket", "left_anti").select(*dealt.columns).unionByName(cut.withColumn("bucket", key).select(*dealt.columns))
-
-
-def candidates(nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """(a, b): pairs of nodes (node long, p0, p1, ... the parts of its sketch) that may have the similarity.
-
-    Two nodes meet if one block of bits of their word sketches is equal. Blocks are as long as the number of nodes
-    asks for, and so many that RECALL of the pairs at the similarity meet somewhere. In a bucket a spanning forest of
-    least distances is kept, so a group of m near copies gives m - 1 pairs there, and none is left unconnected.
-    Buckets of more than HOT nodes are cut up without loss.
-    """
-    size = max(16, int(np.ceil(np.log2(max(2, nodes.count())))))
-    # an edit touches `width` shingles but one word, so the sets of words differ that much less; repeated words add some
-    kept = (2 * similarity / (1 + similarity)) ** (1 / width)
-    p = 1.25 * float(np.arccos(kept) / np.pi)
-    keys = []
-    for k in range(int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - p) ** size)))):
-        masks = [0] * WORDS  # each block draws its bits from the whole word sketch
-        for bit in np.random.default_rng(k).choice(64 * WORDS, size, replace=False).tolist():
-            masks[bit >> 6] |= 1 << (bit & 63)
-        keys.append(F.xxhash64(F.lit(k), *[F.col(PARTS[j]).bitwiseAND(F.lit(_signed(m)).cast("long")) for j, m in enumerate(masks)]))
-    dealt = nodes.select("node", *PARTS[WORDS:], F.explode(F.array(*keys)).alias("bucket"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in b.columns] for b in batches]
-        if held:
-            node, *own, bucket = (np.concatenate([h[k] for h in held]) for k in range(WORDS + 2))
-            a, b = nearest_links(bucket, node, np.stack(own, axis=1).view(np.uint64), similarity)
-            for lo in range(0, len(a), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (a, b)], ["a", "b"])
+def prefix(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of the set's shingles in one order for all sets, rare ones first: two sets of the similarity share one of them.
 
-    pairs = _spread(dealt).repartition("bucket").mapInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    Such sets share at least similarity * len(h) shingles, so all but that many, and one more, are enough.
+    """
+    if not len(h):
+        return h
+    known, n = common
+    rank = np.zeros(len(h), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        rank = np.where(known[at] == h, n[at], 0)
+    return h[np.lexsort((h, rank))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]]
 
 
-def similar(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """(a, b): candidate pairs whose sets of shingles have this Jaccard similarity or more, compared exactly.
+def similar(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """(a, b): those of the pairs of nodes whose sets of shingles have this Jaccard similarity or more, compared exactly.
 
-    rows: (doc, t); nodes: (node, digest, least, parts), one for each distinct text, `least` being a document that has it.
-    Only the texts of candidates are read again.
+    rows: (doc, t); nodes: (node, digest, least), one for each distinct text, `least` being a document that has it.
+    Only the texts of pairs are read again.
     """
-    pairs = written(candidates(nodes, similarity, width), "candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest", F.col("least").alias("doc")), "node")
     ends = written(ends, "ends")
     build = lambda: lambda texts: [list(map(text_digest, texts)), [shingle_hashes(t, width).view(np.int64) for t in texts]]
@@ -427,7 +335,41 @@ def similar(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, w
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     # written, so that nothing downstream keeps Spark from splitting the partitions of a text with many near copies
-    return written(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
+    return written(both.filter(common + 1e-9 >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
+
+
+def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linked: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """(u, v) as from `stars`: the components of the nodes over the links and over all pairs of the similarity.
+
+    prefixes: (node, size, prefix); linked: pairs of nodes that are together in any case.
+    A bucket holds the nodes that have one shingle in their prefixes, and every pair of the similarity meets in one.
+    In each round some of a bucket's nodes, its hubs, are compared exactly with all others there that are not in
+    their component yet, and then leave it. Buckets whose nodes are all in one component are done. So a pair is left out
+    only if its ends are connected already by checked pairs, its sizes or places in the order rule it out, or it fails
+    the check. Groups of near copies are connected by their first hubs, at a row for each node; hubs grow by GROWTH.
+    """
+    dealt = prefixes.select("node", "size", F.posexplode("prefix").alias("pos", "s"))
+    roots, tested, hubs = stars(linked), None, 1
+    chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    while True:
+        placed = dealt.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        each = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(F.struct(chance, "node")).alias("first"))
+        open_ = written(each.filter("lo < hi").select("s", "m", F.col("first.node").alias("first")), "buckets")
+        if open_.isEmpty():
+            return roots
+        hub = (F.col("m") <= ROWS) | (F.col("node") == F.col("first")) | (chance * F.col("m") < F.lit(hubs << 30))
+        placed = written(placed.join(open_, "s").select("s", "node", "size", "pos", "root", hub.alias("hub")), "open")
+        other = placed.filter("hub").select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "root")])
+        # at the first shingle that two sets share, no more than what follows can be shared as well
+        most = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2"))
+        met = placed.join(other, "s").filter(F.col("root") != F.col("root2")).filter(~F.col("hub") | (F.col("node") < F.col("node2")))
+        met = met.filter(most + 1e-9 >= (F.col("size") + F.col("size2")) * (similarity / (1 + similarity)))
+        pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not pairs.isEmpty():
+            roots = stars(roots.toDF("a", "b").unionByName(similar(rows, pairs, nodes, similarity, width)))
+        dealt, hubs = placed.filter("not hub").select("node", "size", "pos", "s"), hubs * GROWTH
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -441,24 +383,30 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     tune(docs.sparkSession)
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
 
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
+
     def build():
+        common = shared.value
+
         def step(texts: list) -> list:
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            parts = np.array([sketch(t) for t in texts], dtype=np.int64).reshape(-1, len(PARTS))
-            return [list(map(text_digest, texts)), pa.array(fps), *(pa.array(parts[:, k].copy()) for k in range(len(PARTS)))]
+            sets = [shingle_hashes(t) for t in texts]
+            return [list(map(text_digest, texts)), pa.array(fps), list(map(len, sets)), [prefix(h, similarity, common).view(np.int64) for h in sets]]
 
         return step
 
-    marked = written(map_texts(rows, build, "digest string, fp long, " + ", ".join(f"{p} long" for p in PARTS), "doc", "t"), "marked")
+    marked = written(map_texts(rows, build, "digest string, fp long, size int, prefix array<long>", "doc", "t"), "marked")
     # equal texts have equal marks, so any of them will do
-    each = marked.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("fp", *PARTS)])
+    each = marked.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"), F.max("fp").alias("fp"))
     nodes = written(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    own = marked.select(F.col("doc").alias("least"), "digest", "size", "prefix")
+    prefixes = written(nodes.select("node", "digest", "least").join(own, ["digest", "least"]).select("node", "size", "prefix"), "prefixes")
 
     star = stars(links(nodes.select("fp").distinct()))
     rooted = nodes.select("node", "fp").join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
     heads = written(rooted.groupBy("root").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "heads")
     by_fingerprint = rooted.join(heads, "root").filter("node <> b").select(F.col("node").alias("a"), "b")
-    joined = stars(by_fingerprint.unionByName(similar(rows, nodes, similarity)))
+    joined = joined_similar(rows, nodes, prefixes, by_fingerprint, similarity)
 
     placed = nodes.select("node", "digest", "least", "n").join(joined.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = written(placed.groupBy("root").agg(F.min("least").alias("kept")), "first")
