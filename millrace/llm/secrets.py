@@ -54,6 +54,7 @@ _NAMED = {"key", "auth", "bearer", "credential", "credentials", "pwd"}
 _RUNS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+")
 OWN, NEAR = 22, 5  # features of a token, and those that its neighbours see
 FILE = 3
+LONG = 12  # characters from which a token without digits can be a key
 
 
 def inner(token: str) -> tuple[int, int]:
@@ -70,9 +71,10 @@ def shape(token: str) -> tuple[list[int], list[int]]:
     core, low = token[a:b], token.lower()
     n = len(core)
     digits, upper, lower = sum(map(str.isdigit, core)), core != core.lower(), core != core.upper()
-    # runs and entropy are looked at where there are digits: plain words, however varied, are no keys
-    mixed = len(_RUNS.findall(core)) if digits and n < 400 else 99 if digits else 0
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(core[:400]).values()) if digits else 0.0
+    # runs and entropy of the whole token, but for short ones without digits, which are words
+    varied = digits > 0 or n >= LONG
+    mixed = len(_RUNS.findall(core)) if varied else 0
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(core).values()) if varied else 0.0
     keyword = bool(_NAMES(low)) or low.strip(_EDGE + ":=") in _NAMED
     assigns = token.endswith(("=", ":"))
     tests = (
@@ -85,12 +87,12 @@ def shape(token: str) -> tuple[list[int], list[int]]:
 
 
 def plain_class(token: str) -> tuple | None:
-    """For a word of letters, with a stop behind it or not: all that its features depend on. None for other tokens."""
+    """For a short word of letters, with a stop behind it or not: all that its features depend on. None for other tokens."""
     word = token if token.isalpha() else token[:-1] if token[-1] in ".,;!?" and token[:-1].isalpha() else None
-    if word is None or _NAMES(low := word.lower()) or low in _NAMED or "AKIA" in word:
+    if word is None or len(word) >= LONG or _NAMES(low := word.lower()) or low in _NAMED or "AKIA" in word:
         return None
     n = len(word)
-    return n >= 8, n >= 12, n >= 16, n >= 24, n >= 48, word != low, word != word.upper(), word.isascii(), low.isascii() and not low.strip("abcdef"), token[-1]
+    return n >= 8, word != low, word != word.upper(), word.isascii(), low.isascii() and not low.strip("abcdef"), token[-1]
 
 
 def file_features(text: str) -> np.ndarray:
@@ -196,7 +198,7 @@ def _synthetic(rng: random.Random) -> str:
     return rng.choice([
         lambda: of("0123456789abcdef", rng.choice((32, 40, 64))), lambda: of("0123456789ABCDEF", rng.choice((32, 40))), lambda: of(abc + "+/", 40), lambda: of(abc, rng.randint(20, 44)),
         lambda: "AKIA" + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: f"{of('abcdefghijklmnopqrstuvwxyz', 3)}_{of(abc, 36)}", lambda: f"{of('abcdefgh', 2)}-{of(abc, 20)}-{of(abc, 12)}",
-        lambda: f"ey{of(abc, 18)}.ey{of(abc, 30)}.{of(abc + '_-', 43)}",
+        lambda: f"ey{of(abc, 18)}.ey{of(abc, 30)}.{of(abc + '_-', 43)}", lambda: of(abc[:52], rng.randint(20, 44)), lambda: f"{of(abc[26:52], 3)}_{of(abc[:52], 36)}",
     ])()
 
 

@@ -322,6 +322,19 @@ def test_field_finds_new_secrets_and_spares_prose(documents):
     assert added <= 0.03 * len(held)
 
 
+def test_keys_without_digits_are_told_from_long_words(documents):
+    whole = [d["text"] for d in documents]
+    scan, rng, hits, words = secrets.scanner(secrets.train(whole[::2])), random.Random(6), 0, 0
+    held = whole[1::2]
+    for t in held:
+        value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(32))
+        texts = [f"{t} it said {x} and more words after it" for x in (value, "getInternationalizationSettings")]
+        found = [[s for s in both if s[0] >= len(t)] for _, both in scan(texts)]
+        hits += bool(found[0])
+        words += bool(found[1])
+    assert hits >= 0.85 * len(held) and words <= 0.1 * len(held), (hits, words, len(held))
+
+
 def test_redaction():
     assert secrets.redact("abcdefgh", [(1, "hex", 3), (2, "crf", 5), (6, "hex", 7)], "#") == "a#f#h"
 
