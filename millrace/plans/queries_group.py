@@ -55,6 +55,7 @@ def product_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _name in ("stddev_samp", "stddev_pop", "var_samp", "var_pop", "stddev", "variance"):
     sql(f"agg_{_name}" if _name in ("stddev", "variance") else _name, f"SELECT l_returnflag, ROUND({_name}(l_quantity), 6) AS v FROM {{lineitem}} GROUP BY l_returnflag")
 sql("stddev_single_row", "SELECT o_orderkey, STDDEV_SAMP(o_totalprice) AS v, VAR_POP(o_totalprice) AS p FROM {orders} WHERE o_orderkey < 50 GROUP BY o_orderkey")
+sql("stddev_single_row_all", "SELECT o_orderkey, STDDEV_SAMP(o_totalprice) AS v, VAR_POP(o_totalprice) AS p FROM {orders} GROUP BY o_orderkey")
 sql("agg_filter_sum", "SELECT o_orderstatus, ROUND(SUM(o_totalprice) FILTER (WHERE o_custkey < 300), 2) AS v FROM {orders} GROUP BY o_orderstatus")
 sql("agg_filter_count", "SELECT o_orderstatus, COUNT(*) FILTER (WHERE o_totalprice > 100000.0) AS n FROM {orders} GROUP BY o_orderstatus")
 sql("agg_filter_count_float_compat", "SELECT o_orderstatus, CAST(COUNT(*) FILTER (WHERE o_totalprice > 100000.0) AS DOUBLE) AS n FROM {orders} GROUP BY o_orderstatus")
