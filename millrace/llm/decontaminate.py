@@ -14,12 +14,13 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import slices, tune, written
+from .base import slices, tune
 
 N = 3  # words of a seed
 SIMILARITY = 0.8  # of its words, what a copy keeps at least: it may have 1 - SIMILARITY edits a word
@@ -204,16 +205,22 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     schema = f"`{key}` {kind}, item_id {item_kind}, score double, first_word int, last_word int"
     source = docs.select(key, text)
     out = None
+    for shared, seeded in _prepared(docs, benchmark, text, item, item_text, similarity):
+        found = source.mapInArrow(_finder(shared, seeded, similarity, threshold, key), schema)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def _prepared(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, similarity: float) -> Iterator[tuple]:
+    """For each block of test items: the items and the seeds chosen by all documents' counts, as broadcasts of bounded size."""
+    context = docs.sparkSession.sparkContext
     for rows in _blocks(benchmark, item, item_text):
-        shared = spark.sparkContext.broadcast(items := Items.of(rows))
-        counted = source.select(text).mapInArrow(_counter(shared), "gram int, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+        shared = context.broadcast(items := Items.of(rows))
+        counted = docs.select(text).mapInArrow(_counter(shared), "gram int, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
         frequency = np.zeros(len(items.grams), dtype=np.int64)
         for r in counted.collect():  # a number for each n-gram of the block
             frequency[r["gram"]] = r["docs"]
-        seeded = spark.sparkContext.broadcast(seeds(items, frequency, similarity))
-        found = source.mapInArrow(_finder(shared, seeded, similarity, threshold, key), schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+        yield shared, context.broadcast(seeds(items, frequency, similarity))
 
 
 def _counter(shared):
@@ -249,7 +256,25 @@ def _finder(shared, seeded, similarity: float, threshold: float, key: str):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that hold a copy of a test item. All columns stay; rows with a null key stay."""
-    bad = written(find(docs, benchmark, key, text).select(F.col(key)).filter(F.col(key).isNotNull()).distinct(), "leaks")
-    return docs.join(bad, key, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that hold a copy of a test item, as `find` defines it.
+
+    Each row is judged by its own text, whatever its key: rows with null keys go as well, and rows that share a key
+    are judged apart. All columns and all other rows stay. Test items come in blocks, each of which is met with what
+    the blocks before have left; nothing is joined.
+    """
+    tune(docs.sparkSession)
+    out = docs
+    for shared, seeded in _prepared(docs, benchmark, text, item, item_text, similarity):
+        out = out.filter(~_holds(shared, seeded, similarity, threshold)(F.col(text)))
+    return out
+
+
+def _holds(shared, seeded, similarity: float, threshold: float):
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        items: Items = shared.value
+        for texts in batches:
+            yield pd.Series([bool(t) and isinstance(t, str) and any(True for _ in leaks(items, seeded.value, items.numbers(words(t)), similarity, threshold)) for t in texts], dtype=bool)
+
+    return holds

@@ -85,7 +85,8 @@ def test_decontamination(docs, nothing, spark):
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, items).collect()}
     assert found == {(1, 1), (1, 4), (5, 1), (5, 4), (None, None)}
     assert decontaminate.find(nothing, items).count() == 0 and decontaminate.find(docs, items.limit(0)).count() == 0
-    assert sorted(r["doc_id"] or -1 for r in decontaminate.clean(docs, items).collect()) == [-1, 2, 3, 4, 7, 8, 9, 10, 11]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == [2, 3, 4, 7, 8, 9, 10, 11]
+    assert decontaminate.clean(docs, items).columns == docs.columns and decontaminate.clean(nothing, items).count() == 0
 
 
 def test_filters_keep_columns(docs, nothing):
