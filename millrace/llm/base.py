@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +27,10 @@ def tune(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in (root, *paths) if p)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):  # a caller's smaller batches stay
+        now = int(re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{name}")) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 @cache
@@ -35,16 +39,39 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_dir()}"
+    """The folder that driver and executors share (spark.checkpoint.dir). Where that is unset, one of our own on a
+    single machine, and an error on a cluster, whose executors would each write to a disk of their own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{_own_dir()}"
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
+    """Write df as Parquet to the shared folder and read it back: lineage ends there and a lost executor costs no recomputation.
+
+    All tables of an application are in one folder of its own. `discard` deletes a table once it is no longer needed.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made and that nothing reads any more; others are left alone."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            spark = t.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import discard, written
 
 
 def _apart(least: DataFrame) -> DataFrame:
@@ -14,18 +14,18 @@ def _apart(least: DataFrame) -> DataFrame:
     return written(least, "least")
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Each node passes the least node around it to its greater neighbours. edges: distinct (u, v) with u > v."""
+def _large(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node passes the least node around it to its greater neighbours. edges: distinct (u, v) with u > v. Also the table of least nodes."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    """Each node passes its least smaller neighbour to the other smaller ones."""
+def _small(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node passes its least smaller neighbour to the other smaller ones. Also the table of least nodes."""
     least = _apart(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def stars(links: DataFrame, most: int = 60) -> DataFrame:
@@ -33,7 +33,7 @@ def stars(links: DataFrame, most: int = 60) -> DataFrame:
 
     links: two columns of one integer type; order, repeats, loops and nulls do not matter. Hubs are met by
     aggregates with partial sums and by joins whose large partitions Spark splits; nothing is collected, and
-    each round ends in shared storage. An empty table gives an empty one.
+    each round ends in shared storage, from which the round before is deleted. An empty table gives an empty one.
     """
     a, b = links.columns
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v"))).distinct()
@@ -43,5 +43,9 @@ def stars(links: DataFrame, most: int = 60) -> DataFrame:
         if tuple(now) == before or now[0] == 0:
             return edges
         before = tuple(now)
-        edges = written(_small(_large(edges)), "links")
+        large, least = _large(edges)
+        small, least2 = _small(large)
+        after = written(small, "links")
+        discard(edges, least, least2)
+        edges = after
     raise RuntimeError(f"no end after {most} rounds")

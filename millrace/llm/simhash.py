@@ -10,7 +10,6 @@ whole group as soon as they exceed k.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_sample, map_texts, tune, written
+from .base import bounded_sample, discard, map_texts, tune, written
 from .components import stars
 
 SHINGLE, SEED, DISTANCE, FANOUT = 3, 42, 3, 8
@@ -268,31 +267,6 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(first, last, strict=True)), dtype=np.uint64, count=len(first)))
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Numbers of the edges of a minimum spanning forest, found by rounds of least edges; ties go to the earlier edge."""
-    forest, taken = Forest(n), []
-    live = np.arange(len(a))
-    top = np.iinfo(np.int64).max
-    while len(live):
-        ra, rb = forest.roots(a[live]), forest.roots(b[live])
-        apart = ra != rb
-        live, ra, rb = live[apart], ra[apart], rb[apart]
-        if not len(live):
-            break
-        rank = weight[live].astype(np.int64) << 40 | live
-        best = np.full(n, top)
-        np.minimum.at(best, ra, rank)
-        np.minimum.at(best, rb, rank)
-        chosen = np.unique(best[best < top]) & ((1 << 40) - 1)
-        taken.append(chosen)
-        forest.link(a[chosen], b[chosen])
-    return np.concatenate(taken) if taken else np.empty(0, np.int64)
-
-
-def text_digest(text: str | None) -> str:
-    return hashlib.blake2b((text or "").encode(), digest_size=16).hexdigest()
-
-
 ROWS, GROWTH = 16, 8  # nodes up to which a bucket is compared at once, and the growth of hubs from round to round in larger ones
 
 
@@ -324,18 +298,20 @@ def prefix(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarra
 def similar(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """(a, b): those of the pairs of nodes whose sets of shingles have this Jaccard similarity or more, compared exactly.
 
-    rows: (doc, t); nodes: (node, digest, least), one for each distinct text, `least` being a document that has it.
+    rows: (doc, digest, t); nodes: (node, digest, least), one for each distinct text, `least` being a document that has it.
     Only the texts of pairs are read again.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest", F.col("least").alias("doc")), "node")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("digest").alias("d"), "least"), "node")
     ends = written(ends, "ends")
-    build = lambda: lambda texts: [list(map(text_digest, texts)), [shingle_hashes(t, width).view(np.int64) for t in texts]]
-    sets = map_texts(rows.join(ends.select("doc").distinct(), "doc", "left_semi"), build, "digest string, s array<long>", "doc", "t")
-    sets = written(sets.join(ends.select("node", "digest"), "digest").select("node", "s").dropDuplicates(["node"]), "shingles")
+    found = rows.join(ends, F.col("doc").eqNullSafe(F.col("least")) & (F.col("digest") == F.col("d"))).select("node", "t")
+    sets = map_texts(found, lambda: lambda texts: [[shingle_hashes(t, width).view(np.int64) for t in texts]], "s array<long>", "node", "t")
+    sets = written(sets.dropDuplicates(["node"]), "shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     # written, so that nothing downstream keeps Spark from splitting the partitions of a text with many near copies
-    return written(both.filter(common + 1e-9 >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
+    out = written(both.filter(common + 1e-9 >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
+    discard(ends, sets)
+    return out
 
 
 def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linked: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
@@ -349,39 +325,49 @@ def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linke
     the check. Groups of near copies are connected by their first hubs, at a row for each node; hubs grow by GROWTH.
     """
     dealt = prefixes.select("node", "size", F.posexplode("prefix").alias("pos", "s"))
-    roots, tested, hubs = stars(linked), None, 1
+    roots, tested, hubs, placed_before = stars(linked), [], 1, None
     chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     while True:
         placed = dealt.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
         each = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(F.struct(chance, "node")).alias("first"))
         open_ = written(each.filter("lo < hi").select("s", "m", F.col("first.node").alias("first")), "buckets")
         if open_.isEmpty():
+            discard(open_, *tested, *([placed_before] if placed_before is not None else []))
             return roots
         hub = (F.col("m") <= ROWS) | (F.col("node") == F.col("first")) | (chance * F.col("m") < F.lit(hubs << 30))
-        placed = written(placed.join(open_, "s").select("s", "node", "size", "pos", "root", hub.alias("hub")), "open")
+        last, placed = placed_before, written(placed.join(open_, "s").select("s", "node", "size", "pos", "root", hub.alias("hub")), "open")
         other = placed.filter("hub").select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "root")])
         # at the first shingle that two sets share, no more than what follows can be shared as well
         most = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2"))
         met = placed.join(other, "s").filter(F.col("root") != F.col("root2")).filter(~F.col("hub") | (F.col("node") < F.col("node2")))
         met = met.filter(most + 1e-9 >= (F.col("size") + F.col("size2")) * (similarity / (1 + similarity)))
         pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        for t in tested:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        pairs = written(pairs, "candidates")
+        tested.append(pairs)
         if not pairs.isEmpty():
-            roots = stars(roots.toDF("a", "b").unionByName(similar(rows, pairs, nodes, similarity, width)))
+            near, old = similar(rows, pairs, nodes, similarity, width), roots
+            roots = stars(old.toDF("a", "b").unionByName(near))
+            discard(near, old)
+        discard(open_, *([last] if last is not None else []))
+        placed_before = placed
         dealt, hubs = placed.filter("not hub").select("node", "size", "pos", "s"), hubs * GROWTH
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each group: that with the smallest key.
-
-    Documents are grouped if their texts are equal, if their fingerprints are linked as in `groups`, or if their
-    sets of five-word shingles have the similarity or more, and through others that are. All columns stay. Rows with a
-    null key can't be told apart and stay. Repeated rows with one key are one document, of which one row stays; an
-    empty table stays empty.
+    """docs with one row of each group: that with the smallest key.
+
+    Rows are grouped if their texts are equal, if their fingerprints are linked as in `groups`, or if their sets of
+    five-word shingles have the similarity or more, and through others that are. All columns stay. It is rows that
+    are judged, not keys: rows with one key and unlike texts all stay. Null keys come after all others, so a row with
+    one goes if it repeats a row that has a key. Of rows with the smallest key but near texts, that with the smallest
+    digest stays; of rows with equal keys and texts, that whose other columns come first as JSON. A null text counts
+    as empty. An empty table stays empty.
     """
     tune(docs.sparkSession)
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
+    digest = lambda t: F.sha2(F.coalesce(t, F.lit("")).cast("binary"), 256)
+    rows = docs.select(F.col(key).alias("doc"), digest(F.col(text)).alias("digest"), F.col(text).alias("t"))
 
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
 
@@ -391,16 +377,20 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
         def step(texts: list) -> list:
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
             sets = [shingle_hashes(t) for t in texts]
-            return [list(map(text_digest, texts)), pa.array(fps), list(map(len, sets)), [prefix(h, similarity, common).view(np.int64) for h in sets]]
+            return [pa.array(fps), list(map(len, sets)), [prefix(h, similarity, common).view(np.int64) for h in sets]]
 
         return step
 
-    marked = written(map_texts(rows, build, "digest string, fp long, size int, prefix array<long>", "doc", "t"), "marked")
+    found = map_texts(rows.select(F.struct("doc", "digest").alias("own"), "t"), build, "fp long, size int, prefix array<long>", "own", "t")
+    marked = written(found.select("own.doc", "own.digest", "fp", "size", "prefix"), "marked")
+    again = written(marked.groupBy("doc", "digest").count().filter("count > 1").select(F.col("doc").alias("doc2"), F.col("digest").alias("digest2")), "again")
+    repeats = not again.isEmpty()
     # equal texts have equal marks, so any of them will do
     each = marked.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"), F.max("fp").alias("fp"))
     nodes = written(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    own = marked.select(F.col("doc").alias("least"), "digest", "size", "prefix")
-    prefixes = written(nodes.select("node", "digest", "least").join(own, ["digest", "least"]).select("node", "size", "prefix"), "prefixes")
+    own = marked.select("doc", F.col("digest").alias("d"), "size", "prefix")
+    prefixes = nodes.join(own, (F.col("digest") == F.col("d")) & F.col("least").eqNullSafe(F.col("doc"))).select("node", "size", "prefix")
+    prefixes = written(prefixes.dropDuplicates(["node"]) if repeats else prefixes, "prefixes")
 
     star = stars(links(nodes.select("fp").distinct()))
     rooted = nodes.select("node", "fp").join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
@@ -409,11 +399,17 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     joined = joined_similar(rows, nodes, prefixes, by_fingerprint, similarity)
 
     placed = nodes.select("node", "digest", "least", "n").join(joined.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = written(placed.groupBy("root").agg(F.min("least").alias("kept")), "first")
-    grouped = placed.join(first, "root").filter("n > 1 or least <> kept").select("digest", "kept")
-    copies = written(marked.select("doc", "digest").join(grouped, "digest").filter("doc <> kept").select(F.col("doc").alias(key)).distinct(), "copies")
-    out = docs.join(copies, key, "left_anti")
-    if marked.groupBy("doc").count().filter("count > 1").isEmpty():
-        return out
-    once = out.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return once.unionByName(out.filter(F.col(key).isNull()))
+    first = written(placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "digest")).alias("kept")), "first")
+    stays = F.col("digest") == F.col("kept.digest")
+    grouped = placed.join(first, "root").filter((F.col("n") > 1) | ~stays).select("digest", stays.alias("stays"), F.col("kept.least").alias("kept"))
+    copies = marked.select("doc", "digest").join(grouped, "digest").filter(~F.col("stays") | ~F.col("doc").eqNullSafe(F.col("kept")))
+    copies = written(copies.select(F.col("doc").alias("doc2"), F.col("digest").alias("digest2")).distinct(), "copies")
+    discard(marked, nodes, prefixes, star, heads, joined, first)
+
+    same = F.col(f"own.{key}").eqNullSafe(F.col("doc2")) & (F.col("digest") == F.col("digest2"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), digest(F.col(text)).alias("digest"))
+    out = packed.join(copies, same, "left_anti")
+    if repeats:
+        once = out.join(again, same, "left_semi").groupBy(F.col(f"own.{key}").alias("k"), "digest").agg(F.min_by("own", F.to_json("own")).alias("own"))
+        out = out.join(again, same, "left_anti").select("own").unionByName(once.select("own"))
+    return out.select("own.*")
