@@ -17,6 +17,8 @@ WIDTH = 192  # samples in a row, the unit to which payloads are padded
 BAND, CANVAS = 256, 4096  # rows of one frame and of the canvas
 CLEAR, STOP, FIRST, MOST = 256, 257, 258, 4096
 DELAY_CS = 10
+#: Of a canvas, and bytes of pixels of one medium and of the rows that a task hands on at once.
+MOST_PIXELS, MOST_BYTES, HELD_BYTES = 1 << 26, 1 << 30, 8 << 20
 
 
 def _schedule(first: int, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,30 +66,40 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits((flat >> shift).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+#: Codes behind a table that is full and has not been cleared: all 12 bits wide.
+_FULL = (np.full(2 * MOST, 12, dtype=np.int64), 12 * np.arange(2 * MOST))
+
+
 def lzw_decode(stream: bytes, size: int, most: int) -> bytes:
-    """Samples of a code stream with least code size `size`; no more than `most`, what a frame can hold."""
+    """Samples of a code stream with least code size `size`; no more than `most`, what a frame can hold.
+
+    The table may stay full for as long as the encoder likes (a deferred clear); its codes then go on at 12 bits.
+    """
     clear, stop = 1 << size, (1 << size) + 1
-    widths, before = _SCHEDULES[size]
     raw = np.frombuffer(stream + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
     bits, at, made = 8 * len(stream), 0, 0
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
+    table: list[bytes] | None = None  # none behind a clear code
+    prev = b""
     while at < bits and made < most:
+        widths, before = _SCHEDULES[size] if table is None else _FULL
         n = int(np.searchsorted(before + widths, bits - at, side="right"))
         where = at + before[:n]
         byte = where >> 3
         codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (where & 7).astype(np.uint32)) & ((1 << widths[:n]) - 1).astype(np.uint32)
         marks = np.flatnonzero((codes == clear) | (codes == stop))
         used = int(marks[0]) if len(marks) else n
-        run = codes[:used].tolist()
+        run, had = codes[:used].tolist(), len(out)
+        if run and table is None:
+            if run[0] >= clear:
+                raise ValueError("a code stream begins with a code that has no entry")
+            table, prev = roots[:], roots[run[0]]
+            out.append(prev)
+            del run[0]
         if run:
-            table = roots[:]
             grow, put = table.append, out.append
-            prev = table[run[0]] if run[0] < clear else None
-            if prev is None:
-                raise ValueError("a code stream begins with a code that has no entry")
-            put(prev)
-            for c in run[1:]:
+            for c in run:
                 if c < len(table):
                     cur = table[c]
                 elif c == len(table) and c < MOST:
@@ -98,14 +110,16 @@ def lzw_decode(stream: bytes, size: int, most: int) -> bytes:
                 if len(table) < MOST:
                     grow(prev + cur[:1])
                 prev = cur
-            made = sum(map(len, out))
-        if not len(marks):
-            if n < len(widths):
+        made += sum(map(len, out[had:]))
+        if len(marks):
+            at += int(before[used] + widths[used])
+            if codes[used] == stop:
                 break
-            raise ValueError("no clear code where the table is long full")
-        at += int(before[used] + widths[used])
-        if codes[used] == stop:
-            break
+            table = None
+        elif n < len(widths):
+            break  # the stream ends without a stop code
+        else:
+            at += int(before[-1] + widths[-1])
     return b"".join(out)[:most]
 
 
@@ -146,14 +160,24 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
     return table, at + 3 * n
 
 
-def frames(data: bytes) -> Iterator[Frame]:
-    """The frames of a GIF in order, each composed by the palette, disposal and transparency rules."""
+#: Pixels that a byte of a code stream can stand for at most: codes of 12 bits, none longer than the table.
+EXPANSION = MOST * 8 // 12 + 1
+
+
+def frames(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """The frames of a GIF in order, each composed by the palette, disposal and transparency rules.
+
+    A frame that claims more pixels than its stored bytes can hold is refused before anything is allocated for it,
+    and so is a canvas of more than most_pixels.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF signature")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
     at, common = 13, None
     if flags & 0x80:
         common, at = _palette(data, at, flags)
+    if width * height > most_pixels:
+        raise ValueError(f"a canvas of {width} x {height} pixels, more than {most_pixels}")
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
     delay = disposal = 0
     transparent = -1
@@ -183,6 +207,8 @@ def frames(data: bytes) -> Iterator[Frame]:
         stream, at = _blocks(data, at + 1)
         if not 2 <= size <= 8:
             raise ValueError(f"least code size {size}")
+        if w * h > EXPANSION * len(stream):
+            raise ValueError("a frame with more pixels than its bytes can hold")
         samples = np.frombuffer(lzw_decode(stream, size, w * h), dtype=np.uint8)
         if len(samples) < w * h:
             raise ValueError("a frame with too few samples")
@@ -192,8 +218,8 @@ def frames(data: bytes) -> Iterator[Frame]:
             rows = np.empty_like(samples)
             rows[order] = samples
             samples = rows
-        kept = canvas.copy() if disposal == 3 else None
         area = canvas[y : y + h, x : x + w]
+        kept = area.copy() if disposal == 3 else None
         samples = samples[: area.shape[0], : area.shape[1]]
         drawn = palette[samples]
         if transparent >= 0:
@@ -205,7 +231,7 @@ def frames(data: bytes) -> Iterator[Frame]:
         if disposal == 2:
             area[:] = 0
         elif disposal == 3:
-            canvas = kept
+            area[:] = kept
         delay, disposal, transparent = 0, 0, -1
 
 
@@ -254,13 +280,15 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 FRAME = "struct<start_ms:int,delay_ms:int,x:int,y:int,width:int,height:int,disposal:int,transparent:int,colours:array<int>>"
 
 
-def decode_column(df: DataFrame, key: str = "doc_id", media: str = "media", others: tuple[str, ...] = (), channels: int = 3) -> DataFrame:
+def decode_column(df: DataFrame, key: str = "doc_id", media: str = "media", others: tuple[str, ...] = (), channels: int = 3, most_pixels: int = MOST_PIXELS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(key, *others, frames, pixels, greys, error): each GIF's timed frames and histograms.
 
     frames: when each begins and how long it stays, its place, disposal and transparent index, and colours: how many
     pixels of its area, as shown, fall into each of 64 colours (two bits of red, green, blue). pixels: what the frames'
     areas show, row by row, frame after frame, with the first `channels` of RGBA; greys: how many of these pixels
-    fall into each of 16 levels of grey. Media that is null or can't be decoded gives nulls and says why in error.
+    fall into each of 16 levels of grey. Media that is null or can't be decoded, whose canvas has more than most_pixels
+    or whose frames show more than most_bytes gives nulls and says why in error. A task holds the pixels of one
+    medium and of about HELD_BYTES more, however much the format packs.
     """
     tune(df.sparkSession)
     df = df.select(key, *others, media)
@@ -273,10 +301,13 @@ def decode_column(df: DataFrame, key: str = "doc_id", media: str = "media", othe
         if data is None:
             return None, None, None, "null"
         try:
-            found, parts, start = [], [], 0
+            found, parts, start, size = [], [], 0, 0
             greys = np.zeros(16, np.int64)
-            for f in frames(data):
+            for f in frames(data, most_pixels):
                 rgba = f.shown().reshape(-1, 4)
+                size += channels * len(rgba)
+                if size > most_bytes:
+                    raise ValueError(f"more than {most_bytes} bytes of pixels")
                 r, g, b = rgba[:, 0], rgba[:, 1], rgba[:, 2]
                 colours = np.bincount((r >> 6) << 4 | (g >> 6) << 2 | b >> 6, minlength=64).tolist()
                 found.append({"start_ms": start, "delay_ms": 10 * f.delay_cs, "x": f.x, "y": f.y, "width": f.width, "height": f.height, "disposal": f.disposal, "transparent": f.transparent, "colours": colours})
@@ -284,17 +315,27 @@ def decode_column(df: DataFrame, key: str = "doc_id", media: str = "media", othe
                 parts.append(np.ascontiguousarray(rgba[:, :channels]).tobytes())
                 greys += np.bincount(((r.astype(np.uint16) + g + b) // 48).astype(np.uint8), minlength=16)
             return found, b"".join(parts), greys.tolist(), None
-        except (ValueError, IndexError, struct.error) as e:
+        except (ValueError, IndexError, MemoryError, struct.error) as e:
             return None, None, None, str(e)
 
+    made = (kind, pa.binary(), pa.list_(pa.int64()), pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows = [one(x) for x in part.column(part.num_columns - 1).to_pylist()]
-                made = list(zip(*rows, strict=True))
-                kinds = (kind, pa.binary(), pa.list_(pa.int64()), pa.string())
-                yield pa.RecordBatch.from_arrays(part.columns[:-1] + [pa.array(x, t) for x, t in zip(made, kinds, strict=True)], [key, *others, "frames", "pixels", "greys", "error"])
+            first, rows, held = 0, [], 0
+
+            def flush(end: int) -> pa.RecordBatch:
+                columns = [c.slice(first, end - first) for c in batch.columns[:-1]]  # noqa: B023
+                return pa.RecordBatch.from_arrays(columns + [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), made, strict=True)], [key, *others, "frames", "pixels", "greys", "error"])  # noqa: B023
+
+            for k, media in enumerate(batch.column(batch.num_columns - 1)):
+                rows.append(one(media.as_py()))
+                held += len(rows[-1][1] or b"")
+                if held >= HELD_BYTES or len(rows) >= 256:
+                    yield flush(k + 1)
+                    first, rows, held = k + 1, [], 0
+            if rows:
+                yield flush(batch.num_rows)
 
     return df.mapInArrow(run, schema)
 
