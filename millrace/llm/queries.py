@@ -134,5 +134,4 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probabilities of all documents, learnt from four fifths of them."""
     docs = base.load(spark, sf_dir, "documents")
     held_out = F.coalesce(base.crc_mod("doc_id", 5) == 1, F.lit(False))
-    tree, vocabulary = suffix_tree.fit(docs.filter(~held_out))
-    return suffix_tree.score(docs, tree, vocabulary, kept={"held_out": held_out})
+    return suffix_tree.fit_and_score(docs, ~held_out, kept={"held_out": held_out})

@@ -1,43 +1,64 @@
-"""Language-model scoring by a probabilistic suffix tree over words.
-
-A state of the tree is a context of up to two words. It is a candidate if it makes up a share `least` of the
-training tokens, and it stays if the next words differ enough from those after its own suffix: the gain in
-log-likelihood must exceed the cost of its parameters (a minimum description length test). A state spells
-out the next words that have a share `share` of its occurrences, smoothed towards its suffix, and leaves
-the rest of its mass to the suffix. A token is scored in the longest state that ends the words before it.
-
-At most 1 / least contexts of a length, and 1 / (least * share) words and pairs of state and word, can reach
-these shares, however large the corpus: only they are sent to the driver and the workers. The counts of all
-other words stay in a table and meet the documents in a join.
+"""Language-model scoring by a probabilistic suffix tree over words, grown level by level on the executors.
+
+A state of the tree is a context of one to `depth` words. Every context that occurs `context` times is a candidate,
+whatever its share of the corpus, and it stays if the next words differ enough from those after its longest suffix
+that stays: the gain in log-likelihood must exceed the cost of its parameters (a minimum description length
+test). A state spells out the next words that follow it `fewest` times, smoothed towards that suffix, and leaves the
+rest of its mass to the suffix. A token is scored in the longest state that ends the words before it.
+
+A context of k + 1 words occurs as often as its first k words are followed by the last, so the counts of one level
+give the candidates of the next, as in frequent-itemset mining. The test is a sum over next words, so it is an
+aggregate with partial sums; nothing is gathered per context. Floors are absolute: the tree grows with the corpus.
+
+Texts are split once, into numbers of frequent words and hashes of the others, and kept in shared storage. Words
+and contexts are known by 63-bit hashes: two of n words or contexts share one with a probability of about
+n^2 / 2^64, and would then be counted as one. What reaches the driver and the workers is bounded: the words
+that make up a share SHARE of the tokens (no more than 1 / SHARE of them), and the tree or a level's candidates in
+blocks of ENTRIES, each of which is met with all texts.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import slices, tune, written
 
-LEAST, SHARE = 2e-4, 5e-3
-FEWEST = 3  # occurrences of a word after a context for it to be spelt out
+DEPTH = 3
+CONTEXT, FEWEST = 64, 8  # occurrences of a context, and of a word after it, from which they are looked at
 PULL = 5.0  # tokens by which a state's own counts are smoothed towards its suffix
+SHARE = 1e-6  # of all tokens, from which a word is sent to the workers by name and not by hash. Only speed depends on it
+ENTRIES = 2_000_000  # candidates, or states and words after them, that are sent to the workers at once
+QUOTA = 2_000_000  # tokens whose pairs of context and word are counted in one task
 END = b" "  # stands for a text's end; no word has white space
-FLUSH = 200_000  # different words or pairs that a task holds before it passes their counts on
+FLUSH = 200_000  # different words that a task holds before it passes their counts on
+HELD = 4_000_000  # pairs of context and word that a task holds before it counts them
+_TOP = 1 << 63
+_ROLL = 7
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def word_hash(word: bytes) -> int:
+    """XXH64 with the highest bit set, which tells it from a frequent word's number."""
+    return xxhash.xxh64_intdigest(word, 42) | _TOP
+
+
+END_HASH = word_hash(END) - (1 << 64)
+
+
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n) over all texts, ends included, counted in the tasks before the shuffle."""
+    """(word, n, h): how often each word occurs in all texts, ends included, counted in the tasks before the shuffle, and its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -57,255 +78,413 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.withColumn("h", F.xxhash64("word").bitwiseOR(F.lit(-_TOP)))
 
 
 @dataclass
 class Symbols:
-    """The words that can be spelt out somewhere, by falling count; the first `contexts` of them can be contexts."""
+    """The frequent words by falling count, with their counts and hashes, and what the rest of the corpus says of all words."""
 
     words: dict[bytes, int]
     counts: np.ndarray
-    contexts: int
-
-    def numbers(self, texts: list) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Tokens of the texts one after another, their numbers (-1 for other words), and how many each text has."""
-        flat: list[bytes] = []
-        lengths = []
-        for t in texts:
-            own = words_of(t)
-            own.append(END)
-            flat += own
-            lengths.append(len(own))
-        get = self.words.get
-        return flat, np.fromiter((get(w, -1) for w in flat), dtype=np.int64, count=len(flat)), np.array(lengths, dtype=np.int64)
-
-
-def contexts(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the word before each token and of the one before that; -1 at a text's beginning."""
-    first = np.cumsum(lengths) - lengths
-    before = np.concatenate(([-1], ids[:-1]))
-    before[first] = -1
-    before2 = np.concatenate(([-1, -1], ids[:-2]))[: len(ids)]
-    before2[first] = -1
-    second = first[lengths > 1] + 1
-    before2[second] = -1
-    return before, before2
-
-
-def pair_counts(docs: DataFrame, text: str, shared, wide) -> DataFrame:
-    """(state, symbol, n): how often each symbol follows each candidate context. wide: the pairs to count as contexts, or None for single words."""
+    hashes: np.ndarray
+    tokens: int
+    distinct: int
+
+    def root_log10(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
+
+
+def encode(docs: DataFrame, shared, text: Column, own: dict[str, Column]) -> DataFrame:
+    """(row, own, tokens, codes, rare): each text as numbers of frequent words (-1: another), with the hashes of the others, and its end.
+
+    codes are 32-bit, in three planes of bytes, which pack better; row is a number of its own.
+    """
+    source = docs.select(F.struct(*[c.alias(n) for n, c in own.items()]).alias("own"), text.cast("string").alias("t"))
+    kind = source.schema["own"].dataType.simpleString()
+
+    def binary(data: bytes, sizes: np.ndarray) -> pa.Array:
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        symbols: Symbols = shared.value
+        get, row = symbols.words.get, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in slices(batch, 1):
+                codes, rare, sizes, others = [], [], [], []
+                for t in part.column(1).to_pylist():
+                    flat = words_of(t)
+                    flat.append(END)
+                    c = np.fromiter((get(w, -1) for w in flat), dtype=np.int32, count=len(flat))
+                    missed = [word_hash(flat[k]) for k in np.flatnonzero(c < 0).tolist()]
+                    codes.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
+                    rare += missed
+                    sizes.append(len(flat))
+                    others.append(len(missed))
+                sizes, n = np.array(sizes, dtype=np.int64), part.num_rows
+                columns = [pa.array(np.arange(row, row + n)), part.column(0), pa.array(sizes), binary(b"".join(codes), 3 * sizes), binary(np.array(rare, dtype=np.uint64).tobytes(), 8 * np.array(others, dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "own", "tokens", "codes", "rare"])
+                row += n
+
+    return source.mapInArrow(run, f"row long, own {kind}, tokens long, codes binary, rare binary")
+
+
+@dataclass
+class Stretch:
+    """The tokens of some texts one after another: frequent words' numbers, all words' hashes, places in their texts."""
+
+    codes: np.ndarray
+    hashes: np.ndarray
+    place: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, codes: list[bytes], rare: list[bytes], symbols: Symbols) -> Stretch:
+        sizes = np.array([len(c) // 3 for c in codes], dtype=np.int64)
+        flat = np.empty((int(sizes.sum()), 4), dtype=np.uint8)
+        at = 0
+        for c, n in zip(codes, sizes.tolist(), strict=True):
+            flat[at : at + n, :3] = np.frombuffer(c, dtype=np.uint8).reshape(3, n).T
+            at += n
+        flat[:, 3] = np.where(flat[:, 2] == 255, 255, 0)  # numbers stay below 0xff0000, as SHARE admits no more words
+        numbers = flat.reshape(-1).view(np.int32).astype(np.int64)
+        hashes = symbols.hashes[np.maximum(numbers, 0)] if len(symbols.hashes) else np.zeros(len(numbers), np.uint64)
+        hashes[numbers < 0] = np.frombuffer(b"".join(rare), dtype=np.uint64)
+        starts = np.cumsum(sizes) - sizes
+        return cls(numbers, hashes, np.arange(len(numbers)) - np.repeat(starts, sizes), starts)
+
+    def contexts(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For one word before each token, two, and so on: whether there are so many, and the hash of these."""
+        h = np.zeros(len(self.hashes), dtype=np.uint64)
+        for k in range(1, depth + 1):
+            before = np.zeros_like(h)
+            before[k:] = self.hashes[:-k]
+            h = h ^ rolled(before, _ROLL * (k - 1))
+            yield self.place >= k, h
+
+
+def rolled(x: np.ndarray, by: int) -> np.ndarray:
+    by %= 64
+    return x << np.uint64(by) | x >> np.uint64(64 - by) if by else x
+
+
+def _rolled(c: Column) -> Column:
+    return F.shiftleft(c, _ROLL).bitwiseOR(F.shiftrightunsigned(c, 64 - _ROLL))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of a 64-bit generator: every bit of the result depends on every bit of x."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _summed(ctx: np.ndarray, sym: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs in order, with their counts."""
+    order = np.lexsort((sym, ctx))
+    ctx, sym = ctx[order], sym[order]
+    fresh = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (sym[1:] != sym[:-1]))))
+    total = np.diff(np.append(fresh, len(ctx))) if n is None else np.add.reduceat(n[order], fresh)
+    return ctx[fresh], sym[fresh], total.astype(np.int64)
+
+
+def _packed(ctx: np.ndarray, sym: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted pairs: differences of contexts, words and counts in planes of bytes, most of which are empty."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(ctx), -1).T).tobytes() for x in (np.diff(ctx, prepend=np.uint64(0)), sym, n)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(24, -1)
+    ctx, sym, n = (np.ascontiguousarray(planes[k : k + 8].T).reshape(-1).view(np.uint64) for k in (0, 8, 16))
+    return np.cumsum(ctx, dtype=np.uint64), sym, n.view(np.int64)
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return k, keys[k] == wanted
+
+
+def _pairs(encoded: DataFrame, shared, level: int, known, context: int, fewest: int) -> DataFrame:
+    """(ctx, sym, n): which words follow each context of `level` words, and how often, from `fewest` times on.
+
+    known: the candidates' hashes, sorted, and counts; None at the first level, where each word is one that has occurred
+    `context` times or may have. Tasks count pairs and deal them out by context, a frequent context's by its words as
+    well, into parts of about QUOTA tokens.
+    """
+    symbols: Symbols = shared.value
+    session = encoded.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 1 + symbols.tokens // QUOTA)
+    rare_too = context < SHARE * symbols.tokens
+    quota = QUOTA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols: Symbols = shared.value
-        width = len(symbols.counts)
-        pairs = wide.value if wide is not None else None
         held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal held, size
-            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, back = np.unique(keys, return_inverse=True)
-            n = np.bincount(back, weights=n).astype(np.int64)
-            held, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(n)], ["state", "symbol", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            ctx, sym, spread = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((sym, ctx))
+            ctx, sym, spread = ctx[order], sym[order], spread[order]
+            fresh = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (sym[1:] != sym[:-1]))))
+            n = np.diff(np.append(fresh, len(ctx)))
+            ctx, sym, spread = ctx[fresh], sym[fresh], spread[fresh]
+            part = ((mixed(ctx) + mixed(sym) % spread) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own = order[a:b]
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[own[0]])], pa.int32()), pa.array([_packed(ctx[own], sym[own], n[own])], pa.binary())], ["part", "blob"])
 
         for batch in batches:
-            for part in slices(batch, 0):
-                _, ids, lengths = symbols.numbers(part.column(0).to_pylist())
-                before, before2 = contexts(ids, lengths)
-                fits = (before >= 0) & (before < symbols.contexts) & (ids >= 0)
-                state = before
-                if pairs is not None:
-                    fits &= (before2 >= 0) & (before2 < symbols.contexts)
-                    key = np.where(fits, before2 * symbols.contexts + before, -1)
-                    state = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                    fits &= pairs[state] == key
+            for piece in slices(batch, 0):
+                s = Stretch.of(piece.column(0).to_pylist(), piece.column(1).to_pylist(), symbols)
+                for fits, ctx in s.contexts(level):
+                    pass
+                if known is None:
+                    before = np.concatenate(([-1], s.codes[:-1]))
+                    total = np.where(before >= 0, symbols.counts[np.maximum(before, 0)], 0) if len(symbols.counts) else np.zeros(len(before), np.int64)
+                    fits = fits & ((total >= context) | (rare_too & (before < 0)))
+                else:
+                    at, found = _at(known.value[0], ctx)
+                    total, fits = known.value[1][at] if len(known.value[1]) else at, fits & found
+                sym = np.where(s.codes >= 0, s.codes.astype(np.uint64), s.hashes)
                 if fits.any():
-                    held.append(np.unique(state[fits] * width + ids[fits], return_counts=True))
+                    held.append((ctx[fits], sym[fits], (1 + total[fits] // quota).astype(np.uint64)))
                     size += len(held[-1][0])
-                    if size > 4 * FLUSH:
-                        yield flush()
+                    if size > HELD:
+                        yield from flush()
+                        held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
-    return docs.select(text).mapInArrow(run, "state long, symbol long, n long").groupBy("state", "symbol").agg(F.sum("n").alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols: Symbols = shared.value
+        blobs: dict[int, list[bytes]] = {}
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                blobs.setdefault(part, []).append(blob)
+        while blobs:
+            ctx, sym, n = (np.concatenate(x) for x in zip(*map(_unpacked, blobs.popitem()[1]), strict=True))
+            ctx, sym, n = _summed(ctx, sym, n)
+            enough = n >= fewest
+            ctx, sym, n = ctx[enough], sym[enough], n[enough]
+            numbered = sym < np.uint64(_TOP)
+            sym[numbered] = symbols.hashes[sym[numbered].astype(np.int64)] if len(symbols.hashes) else 0
+            for lo in range(0, len(ctx), 1 << 16):
+                cut = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(ctx[cut].view(np.int64)), pa.array(sym[cut].view(np.int64)), pa.array(n[cut])], ["ctx", "sym", "n"])
+
+    dealt = encoded.select("codes", "rare").mapInArrow(run, "part int, blob binary").repartition(parts, "part")
+    return dealt.mapInArrow(merge, "ctx long, sym long, n long")
 
 
 @dataclass
 class Tree:
-    """States: 0 is the root; each other has its suffix, a weight for what it leaves to it, and words it spells out."""
+    """states (depth, ctx, last, left): log10 of the weight that each leaves to its suffix. spelt (depth, ctx, last, sym, log): log10 of the
+    words that it spells out. last: the hash of the context's last word. vocabulary (word, n, h): all words."""
 
-    tokens: int
-    distinct: int
-    symbols: Symbols
-    single: np.ndarray  # state of each context of one word, 0 if it has none
-    pairs: np.ndarray  # sorted keys of contexts of two words that are states
-    pair_states: np.ndarray
-    suffix: np.ndarray
-    left: np.ndarray  # log10 of the weight
-    keys: np.ndarray  # sorted: state * number of symbols + symbol
-    logs: np.ndarray  # log10 of its probability
-    root: np.ndarray  # log10 of each symbol's probability in the root
+    symbols: object
+    vocabulary: DataFrame
+    states: DataFrame
+    spelt: DataFrame
+    depth: int
 
-    def root_log10(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def spelt(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether, log10) of the state spelling the symbol out."""
-        if not len(self.keys):
-            return np.zeros(len(state), bool), np.zeros(len(state))
-        key = state * len(self.root) + symbol
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return (self.keys[at] == key) & (symbol >= 0) & (state > 0), self.logs[at]
-
-    def states(self, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
-        """The longest state that ends the words before each token."""
-        k = self.symbols.contexts
-        one = (before >= 0) & (before < k)
-        state = np.where(one, self.single[np.where(one, before, 0)] if k else 0, 0)
-        if len(self.pairs):
-            two = one & (before2 >= 0) & (before2 < k)
-            key = np.where(two, before2 * k + before, -1)
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            state = np.where(self.pairs[at] == key, self.pair_states[at], state)
-        return state
-
-    def log10(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 of each symbol after each state; for a symbol of -1 without its part in the root."""
-        total = np.where(symbol >= 0, self.root[np.maximum(symbol, 0)] if len(self.root) else 0.0, 0.0)
-        found, logs = self.spelt(state, symbol)
-        out = np.where(found, logs, 0.0)
-        open_ = ~found
-        while (open_ & (state > 0)).any():
-            out = np.where(open_ & (state > 0), out + self.left[state], out)
-            state = np.where(open_, self.suffix[state], state)
-            found, logs = self.spelt(state, symbol)
-            found &= open_
-            out = np.where(found, out + logs, out)
-            open_ &= ~found
-        return np.where(open_, out + total, out)
-
-
-def _grow(tree: Tree, context_counts: np.ndarray, suffixes: np.ndarray, state: np.ndarray, symbol: np.ndarray, n: np.ndarray, share: float) -> dict[int, int]:
-    """Add the contexts that pass the test; returns the state of each. context_counts and suffixes: of each context."""
-    enough = n >= np.maximum(FEWEST, share * context_counts[state])
-    state, symbol, n = state[enough], symbol[enough], n[enough]
-    order = np.lexsort((symbol, state))
-    state, symbol, n = state[order], symbol[order], n[order]
-    made: dict[int, int] = {}
-    keys, logs = [tree.keys], [tree.logs]
-    suffix, left = tree.suffix.tolist(), tree.left.tolist()
-    for part in np.split(np.arange(len(state)), np.flatnonzero(np.diff(state)) + 1) if len(state) else []:
-        c, own = int(state[part[0]]), symbol[part]
-        total, seen = float(context_counts[c]), n[part].astype(float)
-        parent = int(suffixes[c])
-        above = 10.0 ** tree.log10(np.full(len(own), parent), own)
-        p = (seen + PULL * above) / (total + PULL)
-        rest, rest_above = 1 - p.sum(), 1 - above.sum()
-        if rest <= 1e-9 or rest_above <= 1e-9:
-            continue
-        gain = (seen * np.log(p / above)).sum() + (total - seen.sum()) * math.log(rest / rest_above)
-        if gain <= 0.5 * (len(own) + 1) * math.log(max(2, tree.tokens)):
-            continue
-        made[c] = len(suffix)
-        keys.append(len(suffix) * len(tree.root) + own)
-        logs.append(np.log10(p))
-        suffix.append(parent)
-        left.append(math.log10(rest / rest_above))
-    tree.keys, tree.logs = np.concatenate(keys), np.concatenate(logs)
-    order = np.argsort(tree.keys)
-    tree.keys, tree.logs = tree.keys[order], tree.logs[order]
-    tree.suffix, tree.left = np.array(suffix), np.array(left)
-    return made
-
-
-def fit(docs: DataFrame, text: str = "text", least: float = LEAST, share: float = SHARE) -> tuple[Tree, DataFrame]:
-    """The tree learnt from all texts of docs, and the table (word, n) of all their words, ends included (as one space)."""
-    spark = docs.sparkSession
-    tune(spark)
-    vocabulary = written(word_counts(docs, text), "words")
+def _symbols(vocabulary: DataFrame):
     tokens, distinct = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first())
-    fewest = max(float(FEWEST), least * share * tokens)
-    often = vocabulary.filter(F.col("n") >= fewest).toArrow()  # no more than 1 / (least * share) rows
+    often = vocabulary.filter(F.col("n") >= SHARE * tokens).select("n", "word").toArrow()  # no more than 1 / SHARE rows
     ranked = sorted(zip(often["n"].to_pylist(), often["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    counts = np.array([n for n, _ in ranked], dtype=np.int64)
-    symbols = Symbols({w.encode(): k for k, (_, w) in enumerate(ranked)}, counts, int((counts >= max(least * tokens, FEWEST)).sum()))
-    none = np.empty(0, np.int64)
-    tree = Tree(tokens, distinct, symbols, np.zeros(symbols.contexts, np.int64), none, none, np.zeros(1, np.int64), np.zeros(1), none, np.empty(0), np.empty(0))
-    tree.root = tree.root_log10(counts)
-    if not symbols.contexts:
-        return tree, vocabulary
-    shared = spark.sparkContext.broadcast(symbols)
-    columns = lambda df: [df[c].to_numpy() for c in ("state", "symbol", "n")]
-    found = columns(pair_counts(docs, text, shared, None).filter(F.col("n") >= fewest).toArrow())  # as many rows at most
-    for c, s in _grow(tree, counts[: symbols.contexts], np.zeros(symbols.contexts, np.int64), *found, share).items():
-        tree.single[c] = s
-    wide = (found[2] >= least * tokens) & (found[1] < symbols.contexts)
-    pairs, size = found[0][wide] * symbols.contexts + found[1][wide], found[2][wide]
-    order = np.argsort(pairs)
-    pairs, size = pairs[order], size[order]
-    if len(pairs):
-        counted = columns(pair_counts(docs, text, shared, spark.sparkContext.broadcast(pairs)).filter(F.col("n") >= fewest).toArrow())
-        made = _grow(tree, size, tree.single[pairs % symbols.contexts], *counted, share)
-        kept = np.array(sorted(made), dtype=np.int64)
-        tree.pairs, tree.pair_states = pairs[kept], np.array([made[k] for k in kept.tolist()], dtype=np.int64)
-    return tree, vocabulary
-
-
-def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, key: str = "doc_id", text: str = "text", kept: dict[str, Column] | None = None) -> DataFrame:
+    words = [w.encode() for _, w in ranked]
+    hashes = np.fromiter(map(word_hash, words), dtype=np.uint64, count=len(words))
+    return vocabulary.sparkSession.sparkContext.broadcast(Symbols({w: k for k, w in enumerate(words)}, np.array([n for n, _ in ranked], dtype=np.int64), hashes, tokens, distinct))
+
+
+def _blocks(rows: int) -> int:
+    return max(1, -(-rows // ENTRIES))
+
+
+def _counted(encoded: DataFrame, shared, level: int, candidates: DataFrame, context: int, fewest: int) -> DataFrame:
+    """The pairs of all candidates of a level, which are sent to the workers in blocks."""
+    if level == 1:
+        return written(_pairs(encoded, shared, 1, None, context, fewest), "pairs")
+    out = []
+    blocks = _blocks(candidates.count())
+    for k in range(blocks):
+        found = candidates.filter(F.pmod(F.xxhash64("ctx"), F.lit(blocks)) == k).select("ctx", "total").toArrow()
+        ctx, total = found["ctx"].to_numpy().view(np.uint64), found["total"].to_numpy()
+        order = np.argsort(ctx)
+        known = encoded.sparkSession.sparkContext.broadcast((ctx[order], total[order]))
+        out.append(written(_pairs(encoded, shared, level, known, context, fewest), "pairs"))
+    whole = out[0]
+    for t in out[1:]:
+        whole = whole.unionByName(t)
+    return whole
+
+
+def _grow(encoded: DataFrame, shared, vocabulary: DataFrame, depth: int, context: int, fewest: int) -> Tree:
+    symbols: Symbols = shared.value
+    session = vocabulary.sparkSession
+    states = session.createDataFrame([], "depth int, ctx long, last long, left double")
+    spelt = session.createDataFrame([], "depth int, ctx long, last long, sym long, log double")
+    long = lambda v: F.lit(v).cast("long")
+    candidates = vocabulary.filter((F.col("n") >= context) & (F.col("h") != long(END_HASH))).select(F.col("h").alias("ctx"), long(0).alias("tail"), F.col("h").alias("last"), F.col("n").alias("total"))
+    above = vocabulary.select(F.col("h").alias("sym"), ((F.col("n") + 0.5) / (symbols.tokens + 0.5 * (symbols.distinct + 1))).alias("above"))
+    keys = ["sym"]
+    for level in range(1, depth + 1):
+        if level > 1 and candidates.isEmpty():
+            break
+        pairs = _counted(encoded, shared, level, candidates, context, fewest).join(candidates, "ctx").join(above, keys)
+        rows = written(pairs.withColumn("p", (F.col("n") + PULL * F.col("above")) / (F.col("total") + PULL)), f"level-{level}")
+        each = rows.groupBy("ctx").agg(
+            F.max("last").alias("last"), F.max("total").alias("total"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), (1 - F.sum("p")).alias("rest"), (1 - F.sum("above")).alias("wide"),
+            F.sum(F.col("n") * F.ln(F.col("p") / F.col("above"))).alias("gain"),
+        )
+        gain = F.col("gain") + (F.col("total") - F.col("n")) * F.ln(F.col("rest") / F.col("wide"))
+        cost = (F.col("m") + 1) * float(0.5 * np.log(max(2, symbols.tokens)))
+        kept = each.filter((F.col("rest") > 1e-9) & (F.col("wide") > 1e-9)).filter(gain > cost)
+        # rounded, as the last bits of a sum depend on its order
+        kept = written(kept.select(F.lit(level).alias("depth"), "ctx", "last", F.round(F.log10(F.col("rest") / F.col("wide")), 12).alias("left")), f"states-{level}")
+        states = states.unionByName(kept)
+        spelt = spelt.unionByName(rows.join(kept.select("ctx"), "ctx").select(F.lit(level).alias("depth"), "ctx", "last", "sym", F.log10("p").alias("log")))
+        # what the next level's contexts, whose tails are these, are held against
+        own = rows.join(kept.select("ctx", F.lit(True).alias("kept")), "ctx", "left")
+        above = own.select(F.col("ctx").alias("tail"), "sym", F.when(F.col("kept"), F.col("p")).otherwise(F.col("above")).alias("above"))
+        wider = lambda c: F.col("sym").bitwiseXOR(_rolled(F.col(c)))
+        candidates = rows.filter((F.col("n") >= context) & (F.col("sym") != long(END_HASH))).select(wider("ctx").alias("ctx"), wider("tail").alias("tail"), F.col("sym").alias("last"), F.col("n").alias("total"))
+        keys = ["tail", "sym"]
+    return Tree(shared, vocabulary, states, spelt, depth)
+
+
+def fit(docs: DataFrame, text: str = "text", depth: int = DEPTH, context: int = CONTEXT, fewest: int = FEWEST) -> Tree:
+    """The tree learnt from all texts of docs."""
+    tune(docs.sparkSession)
+    vocabulary = written(word_counts(docs, text), "words")
+    shared = _symbols(vocabulary)
+    return _grow(written(encode(docs, shared, F.col(text), {"learn": F.lit(True)}), "codes"), shared, vocabulary, depth, context, fewest)
+
+
+class Block:
+    """The states whose last words fall into one block, as sorted arrays."""
+
+    def __init__(self, states: pa.Table, spelt: pa.Table, symbols: Symbols) -> None:
+        column = lambda t, c: t[c].to_numpy().view(np.uint64)
+        keys = _state_keys(states["depth"].to_numpy().astype(np.uint64), column(states, "ctx"))
+        order = np.argsort(keys)
+        self.states, self.left = keys[order], states["left"].to_numpy()[order]
+        keys = _word_keys(_state_keys(spelt["depth"].to_numpy().astype(np.uint64), column(spelt, "ctx")), column(spelt, "sym"))
+        order = np.argsort(keys)
+        self.words, self.logs = keys[order], spelt["log"].to_numpy()[order]
+        self.root = symbols.root_log10(symbols.counts)
+
+    def log10(self, s: Stretch, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each token after the words before it, for one that is not frequent without its part in the root; and whether the root has a part."""
+        out, open_ = np.zeros(len(s.codes)), np.ones(len(s.codes), bool)
+        for level, (fits, ctx) in reversed(list(enumerate(s.contexts(depth), 1))):
+            places = np.flatnonzero(fits & open_)
+            state = _state_keys(np.uint64(level), ctx[places])
+            at, known = _at(self.states, state)
+            places, state, at = places[known], state[known], at[known]
+            k, spelt = _at(self.words, _word_keys(state, s.hashes[places]))
+            if len(places):
+                out[places] += np.where(spelt, self.logs[k] if len(self.logs) else 0.0, self.left[at])
+                open_[places[spelt]] = False
+        rest = open_ & (s.codes >= 0)
+        out[rest] += self.root[s.codes[rest]]
+        return out, open_
+
+
+def _state_keys(depth: np.ndarray | np.uint64, ctx: np.ndarray) -> np.ndarray:
+    return mixed(ctx + depth * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _word_keys(state: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    return mixed(state ^ rolled(sym, 29))
+
+
+def _dealt(last: np.ndarray, blocks: int) -> np.ndarray:
+    return (last >> np.uint64(20)) % np.uint64(blocks)
+
+
+def _score(encoded: DataFrame, tree: Tree, key: str, kept: list[str]) -> DataFrame:
+    session, shared = encoded.sparkSession, tree.symbols
+    depth = tree.depth
+    blocks = _blocks(tree.states.count() + tree.spelt.count())
+    scored = None
+    for number in range(blocks):
+        mine = F.pmod(F.shiftrightunsigned("last", 20), F.lit(blocks)) == number
+        block = session.sparkContext.broadcast(Block(tree.states.filter(mine).toArrow(), tree.spelt.filter(mine).toArrow(), shared.value))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block, number=number) -> Iterator[pa.RecordBatch]:
+            symbols, tree = shared.value, block.value
+            for batch in batches:
+                for part in slices(batch, 1):
+                    s = Stretch.of(part.column(1).to_pylist(), part.column(2).to_pylist(), symbols)
+                    logs, open_ = tree.log10(s, depth)
+                    here = np.ones(len(logs), bool)
+                    if blocks > 1:  # every token is scored in the block of the word before it; first ones in the first
+                        before = np.concatenate(([np.uint64(0)], s.hashes[:-1]))
+                        here = np.where(s.place > 0, _dealt(before, blocks), 0) == number
+                    frequent = s.codes >= 0
+                    root = np.where(frequent, tree.root[np.maximum(s.codes, 0)] if len(tree.root) else 0.0, 0.0)
+                    rare = np.flatnonzero(~frequent & here)
+                    ends = np.searchsorted(rare, np.append(s.starts[1:], len(logs)))
+                    words, times, opens, lists, lo = [], [], [], [0], 0
+                    for hi in ends.tolist():
+                        if hi > lo:
+                            own, back = np.unique(s.hashes[rare[lo:hi]], return_inverse=True)
+                            words.append(own)
+                            times.append(np.bincount(back))
+                            opens.append(np.bincount(back, weights=open_[rare[lo:hi]]).astype(np.int64))
+                            lists.append(lists[-1] + len(own))
+                        else:
+                            lists.append(lists[-1])
+                        lo = hi
+                    joined = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
+                    items = [joined(words, np.uint64).view(np.int64), joined(times, np.int32), joined(opens, np.int32)]
+                    sums = [np.add.reduceat(np.where(here, x, 0), s.starts) for x in (frequent.astype(np.int64), root, logs)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, sums), *(pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(x)) for x in items)], ["row", "known", "base", "log", "h", "times", "open"])
+
+        found = encoded.select("row", "codes", "rare").mapInArrow(run, "row long, known long, base double, log double, h array<long>, times array<int>, open array<int>")
+        scored = found if scored is None else scored.unionByName(found)
+    scored = written(scored, "scored")
+    # words that the workers do not know by name may still be frequent in these texts: Spark splits their share of the join
+    rare = scored.select("row", F.explode(F.arrays_zip("h", "times", "open")).alias("x")).select("row", "x.*")
+    log10 = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (shared.value.tokens + 0.5 * (shared.value.distinct + 1)))
+    sums = rare.join(tree.vocabulary.select("h", "n"), "h", "left").select(
+        "row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("long").alias("known"), (F.col("times") * log10).alias("base"), (F.col("open") * log10).alias("log")
+    )
+    whole = scored.select("row", "known", "base", "log").unionByName(sums)
+    whole = whole.groupBy("row").agg(F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("log").alias("score"))
+    names = encoded.select("row", F.col("own.key").alias(key), *[F.col(f"own.{n}").alias(n) for n in kept], F.col("tokens").alias("n_tokens"))
+    return names.join(whole, "row").select(key, *kept, "n_tokens", "n_known", F.lit(shared.value.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text", kept: dict[str, Column] | None = None) -> DataFrame:
     """(key, *kept, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
     Tokens are the text's words, A-Z in lower case, and one end. base_score is the root's, score the tree's log10
     probability of the text. A null or empty text is its end alone. Null keys and repeated rows are kept, an
     empty table gives an empty one. kept: further columns to carry along.
     """
-    spark = docs.sparkSession
-    tune(spark)
+    tune(docs.sparkSession)
     kept = kept or {}
-    source = docs.select(F.struct(F.col(key).alias("key"), *[c.alias(n) for n, c in kept.items()]).alias("own"), F.col(text).alias("t"))
-    kind = source.schema["own"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(tree)
+    return _score(written(encode(docs, tree.symbols, F.col(text), {"key": F.col(key), **kept}), "codes"), tree, key, list(kept))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        tree: Tree = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in slices(batch, 1):
-                flat, ids, lengths = tree.symbols.numbers(part.column(1).to_pylist())
-                logs = tree.log10(tree.states(*contexts(ids, lengths)), ids)
-                root = np.where(ids >= 0, tree.root[np.maximum(ids, 0)] if len(tree.root) else 0.0, 0.0)
-                starts = np.cumsum(lengths) - lengths
-                rare_words, rare_counts, lists = [], [], [0]
-                rare = np.flatnonzero(ids < 0)
-                ends = np.searchsorted(rare, starts + lengths)
-                lo = 0
-                for hi in ends.tolist():
-                    own = Counter(map(flat.__getitem__, rare[lo:hi].tolist()))
-                    rare_words += own
-                    rare_counts += own.values()
-                    lists.append(len(rare_words))
-                    lo = hi
-                offsets = pa.array(lists, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + len(lengths))), part.column(0), pa.array(lengths), pa.array(np.add.reduceat((ids >= 0).astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(root, starts)), pa.array(np.add.reduceat(logs, starts)),
-                        pa.ListArray.from_arrays(offsets, pa.array(rare_words, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(offsets, pa.array(rare_counts, pa.int32())),
-                    ],
-                    ["row", "own", "tokens", "known", "base", "log", "words", "times"],
-                )
-                row += len(lengths)
-
-    local = written(source.mapInArrow(run, f"row long, own {kind}, tokens long, known long, base double, log double, words array<string>, times array<int>"), "scored")
-    rare = local.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    log10 = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (tree.tokens + 0.5 * (tree.distinct + 1)))
-    # words that are not spelt out anywhere are rare, so no key of this join is hot
-    sums = rare.join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.col("times") * log10).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"))
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return local.drop("words", "times").join(sums, "row", "left").select(
-        F.col("own.key").alias(key), *[F.col(f"own.{n}").alias(n) for n in kept], F.col("tokens").alias("n_tokens"), (F.col("known") + seen).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("log") + more).alias("score"),
-    )
+def fit_and_score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", kept: dict[str, Column] | None = None, depth: int = DEPTH, context: int = CONTEXT, fewest: int = FEWEST) -> DataFrame:
+    """`score` of all docs by the tree that is learnt from those where learn holds; every text is split into words twice, not once a level."""
+    tune(docs.sparkSession)
+    kept = kept or {}
+    learn = F.coalesce(learn, F.lit(False))
+    vocabulary = written(word_counts(docs.filter(learn), text), "words")
+    shared = _symbols(vocabulary)
+    encoded = written(encode(docs, shared, F.col(text), {"key": F.col(key), **kept, "__learn": learn}), "codes")
+    tree = _grow(encoded.filter(F.col("own").getField("__learn")), shared, vocabulary, depth, context, fewest)
+    return _score(encoded, tree, key, list(kept))

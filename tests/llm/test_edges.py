@@ -27,7 +27,7 @@ def nothing(docs):
 
 
 def tree_scores(df):
-    return suffix_tree.score(df, *suffix_tree.fit(df), kept={"held_out": F.lit(False)})
+    return suffix_tree.score(df, suffix_tree.fit(df), kept={"held_out": F.lit(False)})
 
 
 def languages(df):

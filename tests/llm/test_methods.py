@@ -461,44 +461,90 @@ def test_scores(spark, documents):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_tree_is_a_distribution_and_matches_brute_force(spark):
+class PlainTree:
+    """The same tree by brute force, contexts being tuples of words, the last one the most recent."""
+
+    def __init__(self, train, depth, context, fewest, pull=suffix_tree.PULL):
+        self.depth, self.counts, follow = depth, Counter(), {}
+        for t in train:
+            words = [*t.encode().lower().split(), b" "]
+            self.counts.update(words)
+            for k, w in enumerate(words):
+                for d in range(1, min(k, depth) + 1):
+                    follow.setdefault(tuple(words[k - d : k]), Counter())[w] += 1
+        self.tokens = sum(self.counts.values())
+        self.kept, self.left, seen = {}, {}, {(): {w: self.root(w) for w in self.counts}}
+        for ctx in sorted(follow, key=len):
+            total = sum(follow[ctx].values())
+            own = {w: n for w, n in follow[ctx].items() if n >= fewest}
+            if total < context or not own:
+                continue
+            above = {w: seen[ctx[1:]][w] for w in own}
+            p = {w: (n + pull * above[w]) / (total + pull) for w, n in own.items()}
+            rest, wide = 1 - sum(p.values()), 1 - sum(above.values())
+            gain = sum(n * math.log(p[w] / above[w]) for w, n in own.items()) + (total - sum(own.values())) * math.log(rest / wide) if min(rest, wide) > 1e-9 else 0
+            keep = gain > 0.5 * (len(own) + 1) * math.log(self.tokens)
+            seen[ctx] = p if keep else above
+            if keep:
+                self.kept[ctx], self.left[ctx] = p, rest / wide
+
+    def root(self, w):
+        return (self.counts[w] + 0.5) / (self.tokens + 0.5 * (len(self.counts) + 1))
+
+    def probability(self, before, w):
+        p = 1.0
+        for d in range(min(self.depth, len(before)), 0, -1):
+            ctx = tuple(before[-d:])
+            if ctx in self.kept:
+                if w in self.kept[ctx]:
+                    return p * self.kept[ctx][w]
+                p *= self.left[ctx]
+        return p * self.root(w)
+
+    def score(self, text):
+        words = [*text.encode().lower().split(), b" "]
+        return sum(math.log10(self.probability(words[:k], w)) for k, w in enumerate(words))
+
+
+def test_word_hash_is_sparks(spark):
+    words = ["a", "straße", " ", "x" * 100]
+    rows = spark.createDataFrame([(w,) for w in words], "word string").selectExpr("xxhash64(word) | (1L << 63) h").collect()
+    assert [r["h"] & (1 << 64) - 1 for r in rows] == [suffix_tree.word_hash(w.encode()) for w in words]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_tree_of_four_words_is_as_by_brute_force(spark, monkeypatch, small):
+    if small:  # blocks of the tree and of candidates, frequent contexts cut, words known by their hashes only
+        for name, value in (("ENTRIES", 100), ("QUOTA", 150), ("SHARE", 0.03), ("HELD", 500)):
+            monkeypatch.setattr(suffix_tree, name, value)
     rng = random.Random(8)
-    follow = {a: rng.sample("abcdefg", 2) for a in "abcdefg"}
+    after = {}
     train = []
-    for k in range(300):
+    for k in range(500):
         w = [rng.choice("abcdefg")]
-        while len(w) < 20:
-            w.append(rng.choice(follow.get(w[-1], "ab")) if rng.random() < 0.8 else rng.choice("abcdefgxyz"))
-        train.append((k, " ".join(w)))
-    df = spark.createDataFrame(train, "doc_id long, text string")
-    tree, vocabulary = suffix_tree.fit(df, least=0.01, share=0.02)
-    assert len(tree.suffix) > 5 and vocabulary.count() == tree.distinct
-    symbols = np.arange(len(tree.root))
-    unknown = 0.5 / (tree.tokens + 0.5 * (tree.distinct + 1))
-    for state in range(len(tree.suffix)):
-        p = 10 ** tree.log10(np.full(len(symbols), state), symbols)
-        left = 10 ** tree.log10(np.array([state]), np.array([-1]))[0] * (1 - (10**tree.root).sum())
-        assert p.sum() + left == pytest.approx(1.0) and unknown > 0
-    names = {k: w for w, k in tree.symbols.words.items()}
-    spelt = {(int(k) // len(tree.root), names[int(k) % len(tree.root)]): v for k, v in zip(tree.keys, tree.logs, strict=True)}
-    single = {names[c]: int(s) for c, s in enumerate(tree.single) if s}
-    double = {(names[int(k) // tree.symbols.contexts], names[int(k) % tree.symbols.contexts]): int(s) for k, s in zip(tree.pairs, tree.pair_states, strict=True)}
-    counts = Counter(w for _, t in train for w in [*t.encode().split(), b" "])
-
-    def plain(text):
-        words, total = [*text.encode().split(), b" "], 0.0
-        for k, w in enumerate(words):
-            state = double.get(tuple(words[max(0, k - 2) : k])) or single.get(words[k - 1] if k else None, 0)
-            while state and (state, w) not in spelt:
-                total += tree.left[state]
-                state = int(tree.suffix[state])
-            total += spelt[state, w] if state else math.log10((counts[w] + 0.5) / (tree.tokens + 0.5 * (tree.distinct + 1)))
-        return total
-
-    tests = [(k, t) for k, t in train[:40]] + [(900, "a b zz a"), (901, ""), (902, "new words only")]
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark.createDataFrame(tests, "doc_id long, text string"), tree, vocabulary).collect()}
-    for k, t in tests:
-        assert got[k] == pytest.approx(plain(t))
+        while len(w) < 25:  # the next word depends on one to four words before
+            key = tuple(w[-rng.randint(1, 4) :])
+            w.append(rng.choice(after.setdefault(key, rng.sample("abcdefg", 1 + len(key) % 2))) if rng.random() < 0.8 else rng.choice(["a", "b", "x", f"r{rng.randrange(300)}"]))
+        train.append(" ".join(w))
+    plain = PlainTree(train, 4, 12, 3)
+    assert {len(c) for c in plain.kept} == {1, 2, 3, 4}
+    df = spark.createDataFrame(list(enumerate(train)), "doc_id long, text string")
+    tree = suffix_tree.fit(df, depth=4, context=12, fewest=3)
+    assert sorted((r["depth"], round(10 ** r["left"], 9)) for r in tree.states.collect()) == sorted((len(c), round(x, 9)) for c, x in plain.left.items())
+    tests = [*enumerate(train[:60]), (900, "a b zz a"), (901, ""), (902, "new words only"), (903, "A b C d " * 50)]
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark.createDataFrame(tests, "doc_id long, text string"), tree).collect()}
+    assert got == {k: pytest.approx(plain.score(t)) for k, t in tests}
+    for before in ([], [b"a"], [b"a", b"b"], *map(list, list(plain.kept)[::40])):  # a distribution over the known words and one unknown
+        assert sum(plain.probability(before, w) for w in plain.counts) + plain.probability(before, b"never seen") == pytest.approx(1.0)
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    """Twice as many contexts of one strength make twice as many states: no share of the corpus is asked for."""
+    def states(groups):
+        rows = [(g, f"g{g}a g{g}b g{g}c") for g in range(groups) for _ in range(80)]
+        return suffix_tree.fit(spark.createDataFrame(rows, "doc_id long, text string")).states.count()
+
+    assert states(200) == 2 * states(100) > 0
 
 
 # quality
