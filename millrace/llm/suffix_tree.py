@@ -13,8 +13,9 @@ aggregate with partial sums; nothing is gathered per context. Floors are absolut
 Texts are split once, into numbers of frequent words and hashes of the others, and kept in shared storage. Words
 and contexts are known by 63-bit hashes: two of n words or contexts share one with a probability of about
 n^2 / 2^64, and would then be counted as one. What reaches the driver and the workers is bounded: the words
-that make up a share SHARE of the tokens (no more than 1 / SHARE of them), and the tree or a level's candidates in
-blocks of ENTRIES, each of which is met with all texts.
+that make up a share SHARE of the tokens (no more than 1 / SHARE of them), and the tree, a level's candidates and
+the counts of other words in blocks, each of which is met with all texts. Should the other words need more than
+MOST_BLOCKS blocks, they meet the texts in a join instead.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,13 @@ from .base import slices, tune, written
 DEPTH = 3
 CONTEXT, FEWEST = 64, 8  # occurrences of a context, and of a word after it, from which they are looked at
 PULL = 5.0  # tokens by which a state's own counts are smoothed towards its suffix
-SHARE = 1e-6  # of all tokens, from which a word is sent to the workers by name and not by hash. Only speed depends on it
+SHARE = 1e-6  # of all tokens, from which a word has a number. Only speed depends on it
 ENTRIES = 2_000_000  # candidates, or states and words after them, that are sent to the workers at once
+RARE, MOST_BLOCKS = 6_000_000, 32  # counts of words without a number that are sent at once, and in how many blocks at most
+MEMO = 400_000  # words that a task knows the numbers of
 QUOTA = 2_000_000  # tokens whose pairs of context and word are counted in one task
 END = b" "  # stands for a text's end; no word has white space
-FLUSH = 200_000  # different words that a task holds before it passes their counts on
+FLUSH = 400_000  # different words that a task holds before it passes their counts on
 HELD = 4_000_000  # pairs of context and word that a task holds before it counts them
 _TOP = 1 << 63
 _ROLL = 7
@@ -58,13 +62,13 @@ END_HASH = word_hash(END) - (1 << 64)
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n, h): how often each word occurs in all texts, ends included, counted in the tasks before the shuffle, and its hash."""
+    """(h, n): the hash of each word and how often it occurs in all texts, ends included, counted in the tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(word_hash, held), dtype=np.uint64, count=len(held)).view(np.int64)), pa.array(list(held.values()), pa.int64())], ["h", "n"])
             held.clear()
             return out
 
@@ -78,20 +82,48 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
         if held:
             yield flush()
 
-    counted = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.withColumn("h", F.xxhash64("word").bitwiseOR(F.lit(-_TOP)))
+    return docs.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+class Sorted:
+    """Distinct 64-bit keys in order, and a table of flags that spares most searches for others."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.mask = np.uint64((1 << max(10, (16 * len(keys)).bit_length())) - 1)
+        self.flags = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.flags[keys & self.mask] = True
+
+    def __reduce__(self):
+        return Sorted, (self.keys,)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the wanted keys there are, and their places."""
+        maybe = np.flatnonzero(self.flags[wanted & self.mask])
+        at = np.searchsorted(self.keys, wanted[maybe])
+        at[at == len(self.keys)] = 0
+        there = self.keys[at] == wanted[maybe] if len(self.keys) else np.zeros(0, bool)
+        return maybe[there], at[there]
 
 
 @dataclass
 class Symbols:
-    """The frequent words by falling count, with their counts and hashes, and what the rest of the corpus says of all words."""
+    """The frequent words' counts and hashes by falling count, their places by hash, and the sizes of the corpus."""
 
-    words: dict[bytes, int]
     counts: np.ndarray
     hashes: np.ndarray
+    by_hash: Sorted
+    numbers: np.ndarray  # of the hashes in order
     tokens: int
     distinct: int
 
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each frequent word, and for any other its hash."""
+        out = hashes.copy()
+        k, at = self.by_hash.find(hashes)
+        out[k] = self.numbers[at].astype(np.uint64)
+        return out
+
     def root_log10(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
@@ -112,21 +144,28 @@ def encode(docs: DataFrame, shared, text: Column, own: dict[str, Column]) -> Dat
         from pyspark import TaskContext
 
         symbols: Symbols = shared.value
-        get, row = symbols.words.get, TaskContext.get().partitionId() << 40
+        memo: dict[bytes, int] = {}
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, 1):
-                codes, rare, sizes, others = [], [], [], []
-                for t in part.column(1).to_pylist():
-                    flat = words_of(t)
+                texts = [words_of(t) for t in part.column(1).to_pylist()]
+                for flat in texts:
                     flat.append(END)
-                    c = np.fromiter((get(w, -1) for w in flat), dtype=np.int32, count=len(flat))
-                    missed = [word_hash(flat[k]) for k in np.flatnonzero(c < 0).tolist()]
-                    codes.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
-                    rare += missed
+                if len(memo) > MEMO:
+                    memo.clear()
+                new = [w for w in set(chain.from_iterable(texts)) if w not in memo]
+                memo.update(zip(new, symbols.codes(np.fromiter(map(word_hash, new), dtype=np.uint64, count=len(new))).tolist(), strict=True))
+                codes, rare, sizes, others = [], [], [], []
+                for flat in texts:
+                    c = np.fromiter(map(memo.__getitem__, flat), dtype=np.uint64, count=len(flat))
+                    missed = c[c >= np.uint64(_TOP)]
+                    small = np.where(c >= np.uint64(_TOP), np.uint64(0xFFFFFF), c).astype(np.uint32)
+                    codes.append(np.ascontiguousarray(small.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
+                    rare.append(missed.tobytes())
                     sizes.append(len(flat))
                     others.append(len(missed))
                 sizes, n = np.array(sizes, dtype=np.int64), part.num_rows
-                columns = [pa.array(np.arange(row, row + n)), part.column(0), pa.array(sizes), binary(b"".join(codes), 3 * sizes), binary(np.array(rare, dtype=np.uint64).tobytes(), 8 * np.array(others, dtype=np.int64))]
+                columns = [pa.array(np.arange(row, row + n)), part.column(0), pa.array(sizes), binary(b"".join(codes), 3 * sizes), binary(b"".join(rare), 8 * np.array(others, dtype=np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "own", "tokens", "codes", "rare"])
                 row += n
 
@@ -204,13 +243,6 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(ctx, dtype=np.uint64), sym, n.view(np.int64)
 
 
-def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return k, keys[k] == wanted
-
-
 def _pairs(encoded: DataFrame, shared, level: int, known, context: int, fewest: int) -> DataFrame:
     """(ctx, sym, n): which words follow each context of `level` words, and how often, from `fewest` times on.
 
@@ -252,8 +284,10 @@ def _pairs(encoded: DataFrame, shared, level: int, known, context: int, fewest:
                     total = np.where(before >= 0, symbols.counts[np.maximum(before, 0)], 0) if len(symbols.counts) else np.zeros(len(before), np.int64)
                     fits = fits & ((total >= context) | (rare_too & (before < 0)))
                 else:
-                    at, found = _at(known.value[0], ctx)
-                    total, fits = known.value[1][at] if len(known.value[1]) else at, fits & found
+                    total = np.zeros(len(ctx), np.int64)
+                    k, at = known.value[0].find(ctx)
+                    total[k] = known.value[1][at]
+                    fits = fits & (total > 0)
                 sym = np.where(s.codes >= 0, s.codes.astype(np.uint64), s.hashes)
                 if fits.any():
                     held.append((ctx[fits], sym[fits], (1 + total[fits] // quota).astype(np.uint64)))
@@ -288,7 +322,7 @@ def _pairs(encoded: DataFrame, shared, level: int, known, context: int, fewest:
 @dataclass
 class Tree:
     """states (depth, ctx, last, left): log10 of the weight that each leaves to its suffix. spelt (depth, ctx, last, sym, log): log10 of the
-    words that it spells out. last: the hash of the context's last word. vocabulary (word, n, h): all words."""
+    words that it spells out. last: the hash of the context's last word. vocabulary (h, n): all words."""
 
     symbols: object
     vocabulary: DataFrame
@@ -299,11 +333,12 @@ class Tree:
 
 def _symbols(vocabulary: DataFrame):
     tokens, distinct = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first())
-    often = vocabulary.filter(F.col("n") >= SHARE * tokens).select("n", "word").toArrow()  # no more than 1 / SHARE rows
-    ranked = sorted(zip(often["n"].to_pylist(), often["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    words = [w.encode() for _, w in ranked]
-    hashes = np.fromiter(map(word_hash, words), dtype=np.uint64, count=len(words))
-    return vocabulary.sparkSession.sparkContext.broadcast(Symbols({w: k for k, w in enumerate(words)}, np.array([n for n, _ in ranked], dtype=np.int64), hashes, tokens, distinct))
+    often = vocabulary.filter(F.col("n") >= SHARE * tokens).toArrow()  # no more than 1 / SHARE rows
+    counts, hashes = often["n"].to_numpy(), often["h"].to_numpy().view(np.uint64)
+    order = np.lexsort((hashes, -counts))
+    counts, hashes = counts[order], hashes[order]
+    numbers = np.argsort(hashes)
+    return vocabulary.sparkSession.sparkContext.broadcast(Symbols(counts, hashes, Sorted(hashes[numbers]), numbers, tokens, distinct))
 
 
 def _blocks(rows: int) -> int:
@@ -320,7 +355,7 @@ def _counted(encoded: DataFrame, shared, level: int, candidates: DataFrame, cont
         found = candidates.filter(F.pmod(F.xxhash64("ctx"), F.lit(blocks)) == k).select("ctx", "total").toArrow()
         ctx, total = found["ctx"].to_numpy().view(np.uint64), found["total"].to_numpy()
         order = np.argsort(ctx)
-        known = encoded.sparkSession.sparkContext.broadcast((ctx[order], total[order]))
+        known = encoded.sparkSession.sparkContext.broadcast((Sorted(ctx[order]), total[order]))
         out.append(written(_pairs(encoded, shared, level, known, context, fewest), "pairs"))
     whole = out[0]
     for t in out[1:]:
@@ -335,7 +370,7 @@ def _grow(encoded: DataFrame, shared, vocabulary: DataFrame, depth: int, context
     spelt = session.createDataFrame([], "depth int, ctx long, last long, sym long, log double")
     long = lambda v: F.lit(v).cast("long")
     candidates = vocabulary.filter((F.col("n") >= context) & (F.col("h") != long(END_HASH))).select(F.col("h").alias("ctx"), long(0).alias("tail"), F.col("h").alias("last"), F.col("n").alias("total"))
-    above = vocabulary.select(F.col("h").alias("sym"), ((F.col("n") + 0.5) / (symbols.tokens + 0.5 * (symbols.distinct + 1))).alias("above"))
+    above = vocabulary.filter(F.col("n") >= fewest).select(F.col("h").alias("sym"), ((F.col("n") + 0.5) / (symbols.tokens + 0.5 * (symbols.distinct + 1))).alias("above"))
     keys = ["sym"]
     for level in range(1, depth + 1):
         if level > 1 and candidates.isEmpty():
@@ -377,10 +412,10 @@ class Block:
         column = lambda t, c: t[c].to_numpy().view(np.uint64)
         keys = _state_keys(states["depth"].to_numpy().astype(np.uint64), column(states, "ctx"))
         order = np.argsort(keys)
-        self.states, self.left = keys[order], states["left"].to_numpy()[order]
+        self.states, self.left = Sorted(keys[order]), states["left"].to_numpy()[order]
         keys = _word_keys(_state_keys(spelt["depth"].to_numpy().astype(np.uint64), column(spelt, "ctx")), column(spelt, "sym"))
         order = np.argsort(keys)
-        self.words, self.logs = keys[order], spelt["log"].to_numpy()[order]
+        self.words, self.logs = Sorted(keys[order]), spelt["log"].to_numpy()[order]
         self.root = symbols.root_log10(symbols.counts)
 
     def log10(self, s: Stretch, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -389,12 +424,13 @@ class Block:
         for level, (fits, ctx) in reversed(list(enumerate(s.contexts(depth), 1))):
             places = np.flatnonzero(fits & open_)
             state = _state_keys(np.uint64(level), ctx[places])
-            at, known = _at(self.states, state)
-            places, state, at = places[known], state[known], at[known]
-            k, spelt = _at(self.words, _word_keys(state, s.hashes[places]))
-            if len(places):
-                out[places] += np.where(spelt, self.logs[k] if len(self.logs) else 0.0, self.left[at])
-                open_[places[spelt]] = False
+            known, at = self.states.find(state)
+            places, state = places[known], state[known]
+            spelt, k = self.words.find(_word_keys(state, s.hashes[places]))
+            more = self.left[at]
+            more[spelt] = self.logs[k]
+            out[places] += more
+            open_[places[spelt]] = False
         rest = open_ & (s.codes >= 0)
         out[rest] += self.root[s.codes[rest]]
         return out, open_
@@ -414,18 +450,18 @@ def _dealt(last: np.ndarray, blocks: int) -> np.ndarray:
 
 def _score(encoded: DataFrame, tree: Tree, key: str, kept: list[str]) -> DataFrame:
     session, shared = encoded.sparkSession, tree.symbols
-    depth = tree.depth
-    blocks = _blocks(tree.states.count() + tree.spelt.count())
-    scored = None
+    symbols: Symbols = shared.value
+    depth, blocks = tree.depth, _blocks(tree.states.count() + tree.spelt.count())
+    passes = []
     for number in range(blocks):
         mine = F.pmod(F.shiftrightunsigned("last", 20), F.lit(blocks)) == number
-        block = session.sparkContext.broadcast(Block(tree.states.filter(mine).toArrow(), tree.spelt.filter(mine).toArrow(), shared.value))
+        block = session.sparkContext.broadcast(Block(tree.states.filter(mine).toArrow(), tree.spelt.filter(mine).toArrow(), symbols))
 
         def run(batches: Iterator[pa.RecordBatch], block=block, number=number) -> Iterator[pa.RecordBatch]:
             symbols, tree = shared.value, block.value
             for batch in batches:
-                for part in slices(batch, 1):
-                    s = Stretch.of(part.column(1).to_pylist(), part.column(2).to_pylist(), symbols)
+                for part in slices(batch, 3):
+                    s = Stretch.of(part.column(3).to_pylist(), part.column(4).to_pylist(), symbols)
                     logs, open_ = tree.log10(s, depth)
                     here = np.ones(len(logs), bool)
                     if blocks > 1:  # every token is scored in the block of the word before it; first ones in the first
@@ -435,35 +471,71 @@ def _score(encoded: DataFrame, tree: Tree, key: str, kept: list[str]) -> DataFra
                     root = np.where(frequent, tree.root[np.maximum(s.codes, 0)] if len(tree.root) else 0.0, 0.0)
                     rare = np.flatnonzero(~frequent & here)
                     ends = np.searchsorted(rare, np.append(s.starts[1:], len(logs)))
-                    words, times, opens, lists, lo = [], [], [], [0], 0
-                    for hi in ends.tolist():
-                        if hi > lo:
-                            own, back = np.unique(s.hashes[rare[lo:hi]], return_inverse=True)
-                            words.append(own)
-                            times.append(np.bincount(back))
-                            opens.append(np.bincount(back, weights=open_[rare[lo:hi]]).astype(np.int64))
-                            lists.append(lists[-1] + len(own))
-                        else:
-                            lists.append(lists[-1])
-                        lo = hi
-                    joined = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-                    items = [joined(words, np.uint64).view(np.int64), joined(times, np.int32), joined(opens, np.int32)]
+                    lists = pa.array(np.concatenate(([0], ends)), pa.int32())
                     sums = [np.add.reduceat(np.where(here, x, 0), s.starts) for x in (frequent.astype(np.int64), root, logs)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, sums), *(pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(x)) for x in items)], ["row", "known", "base", "log", "h", "times", "open"])
-
-        found = encoded.select("row", "codes", "rare").mapInArrow(run, "row long, known long, base double, log double, h array<long>, times array<int>, open array<int>")
-        scored = found if scored is None else scored.unionByName(found)
-    scored = written(scored, "scored")
-    # words that the workers do not know by name may still be frequent in these texts: Spark splits their share of the join
-    rare = scored.select("row", F.explode(F.arrays_zip("h", "times", "open")).alias("x")).select("row", "x.*")
-    log10 = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (shared.value.tokens + 0.5 * (shared.value.distinct + 1)))
-    sums = rare.join(tree.vocabulary.select("h", "n"), "h", "left").select(
-        "row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("long").alias("known"), (F.col("times") * log10).alias("base"), (F.col("open") * log10).alias("log")
-    )
-    whole = scored.select("row", "known", "base", "log").unionByName(sums)
-    whole = whole.groupBy("row").agg(F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("log").alias("score"))
-    names = encoded.select("row", F.col("own.key").alias(key), *[F.col(f"own.{n}").alias(n) for n in kept], F.col("tokens").alias("n_tokens"))
-    return names.join(whole, "row").select(key, *kept, "n_tokens", "n_known", F.lit(shared.value.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+                    words = [pa.array(s.hashes[rare].view(np.int64)), pa.array(open_[rare])]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, sums), *(pa.ListArray.from_arrays(lists, x) for x in words)], ["row", "own", "tokens", "known", "base", "log", "h", "open"])
+
+        kind = encoded.schema["own"].dataType.simpleString()
+        passes.append(encoded.select("row", "own", "tokens", "codes", "rare").mapInArrow(run, f"row long, own {kind}, tokens long, known long, base double, log double, h array<long>, open array<boolean>"))
+    rare = tree.vocabulary.filter(F.col("n") < SHARE * symbols.tokens)
+    parts = -(-(symbols.distinct - len(symbols.counts)) // RARE)
+    if blocks == 1 and parts <= 1:  # nothing has to be put together
+        whole = _looked_up(passes[0], rare.toArrow(), symbols)
+    else:
+        scored = [written(p, "scored") for p in passes]
+        sums = [t.select("row", "known", "base", "log") for t in scored]
+        for t in scored:
+            if parts <= MOST_BLOCKS:
+                for k in range(parts):
+                    some = rare.filter(F.pmod(F.shiftrightunsigned("h", 20), F.lit(parts)) == k).toArrow()
+                    only = F.filter(F.arrays_zip("h", "open"), lambda x: F.pmod(F.shiftrightunsigned(x["h"], 20), F.lit(parts)) == k)
+                    here = t.select("row", "own", "tokens", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("log"), only.alias("x"))
+                    sums.append(_looked_up(here.select("row", "own", "tokens", "known", "base", "log", "x.h", "x.open"), some, symbols).select("row", "known", "base", "log"))
+            else:
+                sums.append(_joined(t, rare, symbols))
+        whole = sums[0]
+        for x in sums[1:]:
+            whole = whole.unionByName(x)
+        whole = whole.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base", "log")])
+        whole = encoded.select("row", "own", "tokens").join(whole, "row")
+    return whole.select(
+        F.col("own.key").alias(key), *[F.col(f"own.{n}").alias(n) for n in kept], F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(symbols.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("log").alias("score"),
+    )
+
+
+def _looked_up(rows: DataFrame, words: pa.Table, symbols: Symbols) -> DataFrame:
+    """(row, own, tokens, known, base, log) with the shares of the words in the lists: h, and open where the root has a part in the score."""
+    h = words["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    shared = rows.sparkSession.sparkContext.broadcast((Sorted(h[order]), symbols.root_log10(words["n"].to_numpy()[order])))
+    never = float(symbols.root_log10(np.zeros(1))[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, logs = shared.value
+        for batch in batches:
+            for part in [batch.slice(k, 512) for k in range(0, batch.num_rows, 512)]:
+                lists, open_ = part.column(6), part.column(7).flatten().to_numpy(zero_copy_only=False)
+                wanted = lists.flatten().to_numpy().view(np.uint64)
+                found, at = table.find(wanted)
+                value, there = np.full(len(wanted), never), np.zeros(len(wanted), np.int64)
+                value[found], there[found] = logs[at], 1
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                sums = [np.bincount(row, weights=x, minlength=part.num_rows) for x in (there, value, np.where(open_, value, 0.0))]
+                known = part.column(3).to_numpy() + sums[0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(known), pa.array(part.column(4).to_numpy() + sums[1]), pa.array(part.column(5).to_numpy() + sums[2])], ["row", "own", "tokens", "known", "base", "log"])
+
+    kind = rows.schema["own"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row long, own {kind}, tokens long, known long, base double, log double")
+
+
+def _joined(scored: DataFrame, rare: DataFrame, symbols: Symbols) -> DataFrame:
+    """(row, known, base, log) of the words in the lists by a join; Spark splits the share of a word that is frequent in these texts alone."""
+    each = scored.select("row", F.explode(F.arrays_zip("h", "open")).alias("x")).select("row", "x.*")
+    each = each.groupBy("row", "h").agg(F.count(F.lit(1)).alias("times"), F.sum(F.col("open").cast("int")).alias("open"))
+    log10 = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (symbols.tokens + 0.5 * (symbols.distinct + 1)))
+    return each.join(rare, "h", "left").select("row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("long").alias("known"), (F.col("times") * log10).alias("base"), (F.col("open") * log10).alias("log"))
 
 
 def score(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text", kept: dict[str, Column] | None = None) -> DataFrame:

@@ -507,15 +507,18 @@ class PlainTree:
 
 
 def test_word_hash_is_sparks(spark):
-    words = ["a", "straße", " ", "x" * 100]
-    rows = spark.createDataFrame([(w,) for w in words], "word string").selectExpr("xxhash64(word) | (1L << 63) h").collect()
-    assert [r["h"] & (1 << 64) - 1 for r in rows] == [suffix_tree.word_hash(w.encode()) for w in words]
+    words = ["a", "straße", "B b", "x" * 100]
+    counted = suffix_tree.word_counts(spark.createDataFrame([(w,) for w in words], "text string"), "text")
+    got = {r["h"]: r["n"] for r in counted.collect()}
+    want = Counter(w for t in words for w in [*t.encode().lower().split(), b" "])
+    hashes = spark.createDataFrame([(w.decode(),) for w in want], "word string").selectExpr("xxhash64(word) | (1L << 63) h").collect()
+    assert got == dict(zip([r["h"] for r in hashes], want.values(), strict=True))
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [{}, {"RARE": 100}, {"RARE": 100, "MOST_BLOCKS": 1}])
 def test_tree_of_four_words_is_as_by_brute_force(spark, monkeypatch, small):
-    if small:  # blocks of the tree and of candidates, frequent contexts cut, words known by their hashes only
-        for name, value in (("ENTRIES", 100), ("QUOTA", 150), ("SHARE", 0.03), ("HELD", 500)):
+    if small:  # blocks of the tree, of candidates and of rare words or a join of these, frequent contexts cut, words known by their hashes only
+        for name, value in {"ENTRIES": 100, "QUOTA": 150, "SHARE": 0.03, "HELD": 500, "MEMO": 50, "FLUSH": 40, **small}.items():
             monkeypatch.setattr(suffix_tree, name, value)
     rng = random.Random(8)
     after = {}
