@@ -44,7 +44,7 @@ MEMO = 400_000  # words that a task knows the numbers of
 QUOTA = 2_000_000  # tokens whose pairs of context and word are counted in one task
 END = b" "  # stands for a text's end; no word has white space
 FLUSH = 400_000  # different words that a task holds before it passes their counts on
-HELD = 4_000_000  # pairs of context and word that a task holds before it counts them
+HELD = 2_000_000  # pairs of context and word that a task holds before it counts them
 _TOP = 1 << 63
 _ROLL = 7
 
@@ -124,8 +124,12 @@ class Symbols:
         out[k] = self.numbers[at].astype(np.uint64)
         return out
 
+    def root(self, counts: np.ndarray) -> np.ndarray:
+        """The probabilities of words that occur so often."""
+        return (counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
+
     def root_log10(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
+        return np.log10(self.root(counts))
 
 
 def encode(docs: DataFrame, shared, text: Column, own: dict[str, Column]) -> DataFrame:
@@ -243,11 +247,31 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(ctx, dtype=np.uint64), sym, n.view(np.int64)
 
 
+@dataclass
+class Candidates:
+    """Contexts by hash, with their counts, the hashes of all but their first words, and those of their last words."""
+
+    ctx: Sorted
+    total: np.ndarray
+    tail: np.ndarray
+    last: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Candidates:
+        ctx = rows["ctx"].to_numpy().view(np.uint64)
+        order = np.argsort(ctx)
+        return cls(Sorted(ctx[order]), *(rows[c].to_numpy()[order] for c in ("total", "tail", "last")))
+
+
+PAIRS = "ctx long, tail long, last long, total long, sym long, n long, above double"
+
+
 def _pairs(encoded: DataFrame, shared, level: int, known, context: int, fewest: int) -> DataFrame:
-    """(ctx, sym, n): which words follow each context of `level` words, and how often, from `fewest` times on.
+    """(ctx, tail, last, total, sym, n, above): which words follow each context of `level` words, and how often, from `fewest` times on.
 
-    known: the candidates' hashes, sorted, and counts; None at the first level, where each word is one that has occurred
-    `context` times or may have. Tasks count pairs and deal them out by context, a frequent context's by its words as
+    known: the Candidates; None at the first level, where each word is one that has occurred `context` times or may
+    have. There, total is 0 where the context has no number, and above (the root's probability) is null where the word
+    has none. Tasks count pairs and deal them out by context, a frequent context's by its words as
     well, into parts of about QUOTA tokens.
     """
     symbols: Symbols = shared.value
@@ -285,8 +309,8 @@ def _pairs(encoded: DataFrame, shared, level: int, known, context: int, fewest:
                     fits = fits & ((total >= context) | (rare_too & (before < 0)))
                 else:
                     total = np.zeros(len(ctx), np.int64)
-                    k, at = known.value[0].find(ctx)
-                    total[k] = known.value[1][at]
+                    k, at = known.value.ctx.find(ctx)
+                    total[k] = known.value.total[at]
                     fits = fits & (total > 0)
                 sym = np.where(s.codes >= 0, s.codes.astype(np.uint64), s.hashes)
                 if fits.any():
@@ -310,13 +334,23 @@ def _pairs(encoded: DataFrame, shared, level: int, known, context: int, fewest:
             enough = n >= fewest
             ctx, sym, n = ctx[enough], sym[enough], n[enough]
             numbered = sym < np.uint64(_TOP)
-            sym[numbered] = symbols.hashes[sym[numbered].astype(np.int64)] if len(symbols.hashes) else 0
+            number = sym[numbered].astype(np.int64)
+            tail, last, total, above = np.zeros(len(ctx), np.int64), ctx.view(np.int64), np.zeros(len(ctx), np.int64), np.zeros(len(ctx))
+            if known is None:
+                k, at = symbols.by_hash.find(ctx)
+                total[k] = symbols.counts[symbols.numbers[at]]
+                above[numbered] = symbols.root(symbols.counts[number])
+            else:
+                k, at = known.value.ctx.find(ctx)  # all there are
+                tail, last, total = known.value.tail[at], known.value.last[at], known.value.total[at]
+            sym[numbered] = symbols.hashes[number]
+            columns = [ctx.view(np.int64), tail, last, total, sym.view(np.int64), n]
             for lo in range(0, len(ctx), 1 << 16):
                 cut = slice(lo, lo + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(ctx[cut].view(np.int64)), pa.array(sym[cut].view(np.int64)), pa.array(n[cut])], ["ctx", "sym", "n"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[cut]) for x in columns), pa.array(above[cut], mask=above[cut] == 0)], [x.split()[0] for x in PAIRS.split(", ")])
 
     dealt = encoded.select("codes", "rare").mapInArrow(run, "part int, blob binary").repartition(parts, "part")
-    return dealt.mapInArrow(merge, "ctx long, sym long, n long")
+    return dealt.mapInArrow(merge, PAIRS)
 
 
 @dataclass
@@ -352,10 +386,8 @@ def _counted(encoded: DataFrame, shared, level: int, candidates: DataFrame, cont
     out = []
     blocks = _blocks(candidates.count())
     for k in range(blocks):
-        found = candidates.filter(F.pmod(F.xxhash64("ctx"), F.lit(blocks)) == k).select("ctx", "total").toArrow()
-        ctx, total = found["ctx"].to_numpy().view(np.uint64), found["total"].to_numpy()
-        order = np.argsort(ctx)
-        known = encoded.sparkSession.sparkContext.broadcast((Sorted(ctx[order]), total[order]))
+        found = candidates.filter(F.pmod(F.xxhash64("ctx"), F.lit(blocks)) == k).select("ctx", "total", "tail", "last").toArrow()
+        known = encoded.sparkSession.sparkContext.broadcast(Candidates.of(found))
         out.append(written(_pairs(encoded, shared, level, known, context, fewest), "pairs"))
     whole = out[0]
     for t in out[1:]:
@@ -368,14 +400,19 @@ def _grow(encoded: DataFrame, shared, vocabulary: DataFrame, depth: int, context
     session = vocabulary.sparkSession
     states = session.createDataFrame([], "depth int, ctx long, last long, left double")
     spelt = session.createDataFrame([], "depth int, ctx long, last long, sym long, log double")
-    long = lambda v: F.lit(v).cast("long")
-    candidates = vocabulary.filter((F.col("n") >= context) & (F.col("h") != long(END_HASH))).select(F.col("h").alias("ctx"), long(0).alias("tail"), F.col("h").alias("last"), F.col("n").alias("total"))
-    above = vocabulary.filter(F.col("n") >= fewest).select(F.col("h").alias("sym"), ((F.col("n") + 0.5) / (symbols.tokens + 0.5 * (symbols.distinct + 1))).alias("above"))
-    keys = ["sym"]
+    candidates = before = None
     for level in range(1, depth + 1):
         if level > 1 and candidates.isEmpty():
             break
-        pairs = _counted(encoded, shared, level, candidates, context, fewest).join(candidates, "ctx").join(above, keys)
+        pairs = _counted(encoded, shared, level, candidates, context, fewest)
+        if level == 1:  # what is not known of words without a number
+            unsure = F.col("above").isNull() | (F.col("total") == 0)
+            own, after = (vocabulary.filter(F.col("n") >= least).select(F.col("h").alias(c), F.col("n").alias(f"{c}_n")) for c, least in (("ctx", context), ("sym", fewest)))
+            rest = pairs.filter(unsure).drop("total", "above").join(own, "ctx").join(after, "sym")
+            root = (F.col("sym_n") + 0.5) / (symbols.tokens + 0.5 * (symbols.distinct + 1))
+            pairs = pairs.filter(~unsure).unionByName(rest.withColumn("total", F.col("ctx_n")).withColumn("above", root).drop("ctx_n", "sym_n"))
+        else:
+            pairs = pairs.drop("above").join(before, ["tail", "sym"])
         rows = written(pairs.withColumn("p", (F.col("n") + PULL * F.col("above")) / (F.col("total") + PULL)), f"level-{level}")
         each = rows.groupBy("ctx").agg(
             F.max("last").alias("last"), F.max("total").alias("total"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), (1 - F.sum("p")).alias("rest"), (1 - F.sum("above")).alias("wide"),
@@ -387,13 +424,14 @@ def _grow(encoded: DataFrame, shared, vocabulary: DataFrame, depth: int, context
         # rounded, as the last bits of a sum depend on its order
         kept = written(kept.select(F.lit(level).alias("depth"), "ctx", "last", F.round(F.log10(F.col("rest") / F.col("wide")), 12).alias("left")), f"states-{level}")
         states = states.unionByName(kept)
-        spelt = spelt.unionByName(rows.join(kept.select("ctx"), "ctx").select(F.lit(level).alias("depth"), "ctx", "last", "sym", F.log10("p").alias("log")))
-        # what the next level's contexts, whose tails are these, are held against
-        own = rows.join(kept.select("ctx", F.lit(True).alias("kept")), "ctx", "left")
-        above = own.select(F.col("ctx").alias("tail"), "sym", F.when(F.col("kept"), F.col("p")).otherwise(F.col("above")).alias("above"))
+        # a state's own probabilities, and those of its suffix where it is none: what the contexts with these tails are held against
+        judged = rows.select("ctx", "last", "sym", "p", "above").join(kept.select("ctx", F.lit(True).alias("kept")), "ctx", "left")
+        judged = written(judged.select("ctx", "last", "sym", F.col("kept").isNotNull().alias("kept"), F.coalesce(F.when(F.col("kept"), F.col("p")), F.col("above")).alias("above")), f"judged-{level}")
+        spelt = spelt.unionByName(judged.filter("kept").select(F.lit(level).alias("depth"), "ctx", "last", "sym", F.log10("above").alias("log")))
+        before = judged.select(F.col("ctx").alias("tail"), "sym", "above")
         wider = lambda c: F.col("sym").bitwiseXOR(_rolled(F.col(c)))
-        candidates = rows.filter((F.col("n") >= context) & (F.col("sym") != long(END_HASH))).select(wider("ctx").alias("ctx"), wider("tail").alias("tail"), F.col("sym").alias("last"), F.col("n").alias("total"))
-        keys = ["tail", "sym"]
+        following = rows.filter((F.col("n") >= context) & (F.col("sym") != F.lit(END_HASH).cast("long")))
+        candidates = following.select(wider("ctx").alias("ctx"), wider("tail").alias("tail"), F.col("sym").alias("last"), F.col("n").alias("total"))
     return Tree(shared, vocabulary, states, spelt, depth)
 
 
@@ -410,10 +448,10 @@ class Block:
 
     def __init__(self, states: pa.Table, spelt: pa.Table, symbols: Symbols) -> None:
         column = lambda t, c: t[c].to_numpy().view(np.uint64)
-        keys = _state_keys(states["depth"].to_numpy().astype(np.uint64), column(states, "ctx"))
+        keys = _state_keys(states["depth"].to_numpy(), column(states, "ctx"))
         order = np.argsort(keys)
         self.states, self.left = Sorted(keys[order]), states["left"].to_numpy()[order]
-        keys = _word_keys(_state_keys(spelt["depth"].to_numpy().astype(np.uint64), column(spelt, "ctx")), column(spelt, "sym"))
+        keys = _word_keys(_state_keys(spelt["depth"].to_numpy(), column(spelt, "ctx")), column(spelt, "sym"))
         order = np.argsort(keys)
         self.words, self.logs = Sorted(keys[order]), spelt["log"].to_numpy()[order]
         self.root = symbols.root_log10(symbols.counts)
@@ -423,7 +461,7 @@ class Block:
         out, open_ = np.zeros(len(s.codes)), np.ones(len(s.codes), bool)
         for level, (fits, ctx) in reversed(list(enumerate(s.contexts(depth), 1))):
             places = np.flatnonzero(fits & open_)
-            state = _state_keys(np.uint64(level), ctx[places])
+            state = _state_keys(level, ctx[places])
             known, at = self.states.find(state)
             places, state = places[known], state[known]
             spelt, k = self.words.find(_word_keys(state, s.hashes[places]))
@@ -436,8 +474,8 @@ class Block:
         return out, open_
 
 
-def _state_keys(depth: np.ndarray | np.uint64, ctx: np.ndarray) -> np.ndarray:
-    return mixed(ctx + depth * np.uint64(0x9E3779B97F4A7C15))
+def _state_keys(depth: np.ndarray | int, ctx: np.ndarray) -> np.ndarray:
+    return mixed(ctx ^ np.asarray(depth, dtype=np.uint64) << np.uint64(55))
 
 
 def _word_keys(state: np.ndarray, sym: np.ndarray) -> np.ndarray:
