@@ -1,26 +1,31 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
-A word is read as its letters with a boundary on each side; contexts do not reach over the boundary. An
-n-gram is packed into an integer of 12 bits a character, and each model keeps its n-grams and contexts in
-sorted arrays that are searched by bisection. The language with the lowest cross-entropy per character wins.
+A word is read as its letters with a boundary on each side; contexts do not reach over the boundary. An n-gram is
+known by a 64-bit hash of its characters, and each model keeps its n-grams and contexts in sorted hash arrays that
+are searched by bisection. The language with the lowest cross-entropy per character wins. N-grams are counted on
+the executors; their counts, not texts, reach the driver, for a block of languages at a time.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import map_texts, tune
+from .base import discard, map_texts, slices, tune, written
 
-ORDER, BITS = 5, 12
-PAD, UNKNOWN, EDGE, FIRST = 0, 1, 2, 3
-MEMO = 250_000
+ORDER = 5
+PAD, EDGE = "\x00", "\x01"  # no letters
+GRAMS = 4_000_000  # distinct n-grams of the languages that are sent to the workers at once, unless one alone has more
+MEMO_BYTES, CHUNK_BYTES = 48 << 20, 16 << 20  # of a task's known words, and of the words it scores at once
+MEMO = 250_000  # and words, however few the languages
+CALIBRATION = 20_000_000  # cross-entropies that calibration brings to the driver at most
 letters = regex.compile(r"\p{L}+").findall
 
 
@@ -28,28 +33,53 @@ def words_of(text: str | None) -> list[str]:
     return letters(text.lower()) if text else []
 
 
-def grams(words: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed ORDER-grams that end at each letter and at the closing edge of each word, and how many each word has."""
+def grams_of(word: str) -> list[str]:
+    """The ORDER-grams that end at each letter and at the closing edge of a word."""
+    s = PAD * (ORDER - 2) + EDGE + word + EDGE
+    return [s[k : k + ORDER] for k in range(len(word) + 1)]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits for each character, all of which depend on it."""
+    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _turned(x: np.ndarray, back: int) -> np.ndarray:
+    by = 11 * back % 64
+    return x << np.uint64(by) | x >> np.uint64(64 - by) if by else x
+
+
+def hashes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of characters: the hash of the whole row, and of all but its last character."""
+    whole = np.zeros(len(points), dtype=np.uint64)
+    for back in range(points.shape[1]):
+        whole ^= _turned(mixed(points[:, points.shape[1] - 1 - back]), back)
+    return whole, whole ^ mixed(points[:, -1])
+
+
+def keys_of(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The hashes of 1- to ORDER-grams that end at each letter and closing edge, the last characters' own, and how many of these each word has."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    text = " ".join(words) + " "
-    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    codes = ids[np.minimum(points, len(ids) - 1)].astype(np.int64)
-    ends = np.cumsum(lengths)
-    codes[ends - 1] = EDGE
-    inside = np.arange(len(codes)) - np.repeat(ends - lengths, lengths)  # letters before this one in its word
-    key = codes.copy()
+    text = EDGE.join(words) + EDGE
+    own = mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+    inside = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # letters before this one in its word
+    edge, pad = (mixed(np.array([ord(x)]))[0] for x in (EDGE, PAD))
+    keys = [own]
     for back in range(1, ORDER):
-        before = np.zeros_like(codes)
-        before[back:] = codes[:-back]
-        before[inside < back] = PAD
-        before[inside == back - 1] = EDGE
-        key |= before << (BITS * back)
-    return key, lengths
+        before = np.empty_like(own)
+        before[back:] = own[:-back]
+        before[inside < back] = pad
+        before[inside == back - 1] = edge
+        keys.append(keys[-1] ^ _turned(before, back))
+    return keys, own, lengths
 
 
 @dataclass
 class Level:
-    """One order of one model: n-grams with their counts, contexts with their totals and followers."""
+    """One order of one model: n-grams with their counts, contexts with their totals and followers, by hash."""
 
     keys: np.ndarray
     counts: np.ndarray
@@ -65,107 +95,199 @@ def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class KneserNey:
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, alphabet: int) -> None:
-        """keys: distinct ORDER-grams, at least one; counts: how often each occurs."""
+    def __init__(self, grams: list[str], counts: np.ndarray, alphabet: int) -> None:
+        """grams: distinct ORDER-grams, at least one; counts: how often each occurs; alphabet: how many characters there are."""
         self.alphabet, self.levels = alphabet, []
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(np.float64)
+        points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, ORDER)
+        counts = np.asarray(counts, dtype=np.float64)
         for m in range(ORDER, 0, -1):
+            keys, before = hashes(points)
             if m < ORDER:  # a lower order counts the different characters before it
-                keys, counts = np.unique(keys & ((1 << BITS * m) - 1), return_counts=True)
-                counts = counts.astype(np.float64)
+                keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+                points, before, counts = points[first], before[first], counts.astype(np.float64)
+            else:
+                order = np.argsort(keys)
+                keys, points, before, counts = keys[order], points[order], before[order], counts[order]
             once, twice = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
-            contexts, start = np.unique(keys >> BITS, return_index=True)
-            followers = np.diff(np.append(start, len(keys))).astype(np.float64)
-            self.levels.append(Level(keys, counts, contexts, np.add.reduceat(counts, start), followers, max(0.1, once / (once + 2 * twice)) if once else 0.1))
+            contexts, back, followers = np.unique(before, return_inverse=True, return_counts=True)
+            totals = np.bincount(back, weights=counts)
+            self.levels.append(Level(keys, counts, contexts, totals, followers.astype(np.float64), max(0.1, once / (once + 2 * twice)) if once else 0.1))
+            points = points[:, 1:]
         self.levels.reverse()
 
-    def log2(self, keys: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each ORDER-gram's last character after the others."""
-        p = np.full(len(keys), 1.0 / self.alphabet)
-        for m, x in enumerate(self.levels, 1):
-            own = keys & ((1 << BITS * m) - 1)
+    def log2(self, keys: list[np.ndarray], last: np.ndarray) -> np.ndarray:
+        """log2 of the probability of each last character after the others, from the hashes of 1- to ORDER-grams and the character's own."""
+        p = np.full(len(last), 1.0 / self.alphabet)
+        for own, x in zip(keys, self.levels, strict=True):
             k, known = _at(x.keys, own)
             c = np.where(known, x.counts[k], 0.0)
-            h, seen = _at(x.contexts, own >> BITS)
+            h, seen = _at(x.contexts, own ^ last)
             p = np.where(seen, (np.maximum(c - x.discount, 0) + x.discount * x.followers[h] * p) / x.totals[h], p)
         return np.log2(p)
 
 
 @dataclass
-class Model:
-    """Per language in sorted order: its character model and the cross-entropy above which a text is rejected."""
+class Block:
+    """Some of the languages, in sorted order, with their models."""
 
     languages: list[str]
-    ids: np.ndarray  # of code points
     models: list[KneserNey]
-    limits: np.ndarray
-    sharpness: float
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """A row for each word: its log2 probability in each language, then its characters."""
-        keys, lengths = grams(words, self.ids)
-        distinct, back = np.unique(keys, return_inverse=True)
-        each = np.stack([m.log2(distinct) for m in self.models], axis=1)
+        keys, last, lengths = keys_of(words)
+        _, first, back = np.unique(keys[-1], return_index=True, return_inverse=True)
+        each = np.stack([m.log2([k[first] for k in keys], last[first]) for m in self.models], axis=1)
         starts = np.cumsum(lengths) - lengths
         return np.concatenate([np.add.reduceat(each[back], starts), lengths[:, None]], axis=1)
 
-    def entropies(self, sums: np.ndarray) -> np.ndarray:
-        return -sums[:, :-1] / np.maximum(sums[:, -1:], 1)
 
-    def posterior(self, entropies: np.ndarray) -> np.ndarray:
-        z = -self.sharpness * (entropies - entropies.min(axis=1, keepdims=True))
-        e = np.exp(z)
-        return e / e.sum(axis=1, keepdims=True)
+def entropies(sums: np.ndarray) -> np.ndarray:
+    return -sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+
+
+def posterior(h: np.ndarray, sharpness: float) -> np.ndarray:
+    e = np.exp(-sharpness * (h - h.min(axis=1, keepdims=True)))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def summer(block: Block):
+    """A function from texts to a row each: the log2 probability in each language, and the characters (0 without letters).
+
+    Words are scored CHUNK_BYTES at a time and remembered in MEMO_BYTES, whatever the texts and however many the languages.
+    """
+    width = 8 * (len(block.languages) + 1)
+    step = max(16, CHUNK_BYTES // width)
+    memo: dict[str, int] = {}
+    table = np.zeros((max(step, min(MEMO, MEMO_BYTES // width)), len(block.languages) + 1))
+
+    def rows(words: list[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in memo]
+        if len(memo) + len(new) > len(table):
+            memo.clear()
+            new = list(dict.fromkeys(words))
+        if new:
+            start = len(memo)
+            table[start : start + len(new)] = block.score_words(new)
+            memo.update(zip(new, range(start, start + len(new)), strict=True))
+        return table[np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))]
+
+    def sums(texts: list) -> np.ndarray:
+        out = np.zeros((len(texts), table.shape[1]))
+        flat, owner = [], []
+        for k, t in enumerate(texts):
+            own = words_of(t)
+            flat += own
+            owner.append(len(own))
+        ends = np.cumsum(owner)
+        for lo in range(0, len(flat), step):
+            hi = min(lo + step, len(flat))
+            a, b = np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, hi - 1, side="right") + 1
+            cuts = np.maximum(ends[a:b] - np.array(owner[a:b]), lo)
+            some = np.flatnonzero(np.minimum(ends[a:b], hi) > cuts)
+            out[a + some] += np.add.reduceat(rows(flat[lo:hi]), cuts[some] - lo)
+        return out
+
+    return sums
+
+
+@dataclass
+class Model:
+    """Blocks of languages; per language the cross-entropy above which a text is rejected."""
+
+    blocks: list  # broadcasts of Block
+    limits: dict[str, float]
+    sharpness: float
+
+
+def _chosen(docs: DataFrame, learn: Column, per_language: int, key: str, text: str, lang: str) -> DataFrame:
+    """(l, place, t): about per_language texts of each language, by a hash of the key, numbered from 1 on."""
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), learn.alias("w")).filter("w and k is not null and t is not null and l is not null")
+    share = rows.groupBy("l").agg((F.lit(float(1 << 30)) * per_language / F.count(F.lit(1))).alias("share"))
+    spread = F.pmod(F.xxhash64("k", F.lit(6)), F.lit(1 << 30))
+    some = rows.join(written(share, "languages"), "l").filter(spread <= F.col("share"))
+    return some.select("l", "t", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k", F.lit(7)), "k", "t")).alias("place")).filter(F.col("place") <= 2 * per_language)
+
+
+def _gram_counts(rows: DataFrame) -> DataFrame:
+    """(l, gram, n): how often each ORDER-gram occurs in the texts of each language; the words are counted first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                words: dict[str, Counter] = {}
+                for l, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words.setdefault(l, Counter()).update(words_of(t))
+                for l, own in words.items():
+                    held: Counter = Counter()
+                    for w, n in own.items():
+                        for g in grams_of(w):
+                            held[g] += n
+                    if held:
+                        yield pa.RecordBatch.from_arrays([pa.array([l] * len(held)), pa.array(list(held)), pa.array(list(held.values()), pa.int64())], ["l", "gram", "n"])
 
+    return rows.select("l", "t").mapInArrow(run, "l string, gram string, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 1000, most_bytes: int = 1 << 16, most_languages: int = 400, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Train on about per_language texts, of no more than most_bytes each, of every language among the rows where learn holds.
 
-    No more than most_languages are learnt, those with the most rows: the sample is bounded by these three.
+def fit(docs: DataFrame, learn: Column, per_language: int = 1000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Train on about per_language whole texts (twice as many at most) of every language among the rows where learn holds.
 
-    The rows are chosen by a hash of the key. A fifth of them is kept apart, to choose the sharpness of the
-    posterior and each language's rejection limit (the 0.995 quantile of its texts' cross-entropy). Rows with
+    The rows are chosen by a hash of the key. Every fifth of a language is kept apart, to choose the sharpness of the
+    posterior and the language's rejection limit (the 0.995 quantile of its texts' cross-entropy); a language with
+    fewer than five has the limit of all texts that are kept apart, and where there is none nothing is rejected.
+    There is no limit to languages or characters: models are made and sent in blocks of about GRAMS n-grams. Rows with
     a null key, text or language, and texts without letters, teach nothing.
     """
-    tune(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), learn.alias("w")).filter("w and k is not null and t is not null and l is not null")
-    # the counts need no text; the most frequent languages are learnt, ties by name
-    often = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most_languages)
-    counts = {r["l"]: r["n"] for r in often.collect()}
-    if not counts:
-        raise ValueError("no row to learn a language from")
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1 << 30, int((1 << 30) * per_language / n)))])
-    spread = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(6)), F.lit(1 << 30))
-    chosen = rows.filter((F.octet_length("t") <= most_bytes) & (spread <= share[F.col("l")])).limit(2 * per_language * len(counts))
-    sample = sorted(((r["l"], r["k"], words_of(r["t"])) for r in chosen.collect()), key=lambda r: (r[0], str(r[1])))
-    sample = [(l, w) for l, _, w in sample if w]
-    languages = sorted({l for l, _ in sample})
-    if not languages:
+    spark = docs.sparkSession
+    tune(spark)
+    chosen = written(_chosen(docs, learn, per_language, key, text, lang).withColumn("apart", F.col("place") % 5 == 0), "sample")
+    counts = written(_gram_counts(chosen.filter(~F.col("apart"))), "grams")
+    sizes = [(r["l"], r["n"]) for r in counts.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy("l").collect()]
+    if not sizes:
         raise ValueError("no text with letters to learn a language from")
-    used = Counter("".join(x for _, w in sample for x in w))
-    ids = np.full(max(map(ord, used)) + 2, UNKNOWN, dtype=np.uint16)
-    for k, (c, _) in enumerate(sorted(used.most_common((1 << BITS) - FIRST), key=lambda x: x[0])):
-        ids[ord(c)] = FIRST + k
-    ids[-1] = UNKNOWN
-    models, apart = [], []
-    for l in languages:
-        own = [w for x, w in sample if x == l]
-        held = own[::5] if len(own) >= 10 else own
-        kept = [w for k, w in enumerate(own) if k % 5] if len(own) >= 10 else own
-        keys, _ = grams([x for w in kept for x in w], ids)
-        models.append(KneserNey(*np.unique(keys, return_counts=True), len(used) + FIRST))
-        apart += [(len(models) - 1, w) for w in held]
-    model = Model(languages, ids, models, np.zeros(len(languages)), 1.0)
-    truth = np.array([k for k, _ in apart])
-    h = model.entropies(np.stack([model.score_words(w).sum(axis=0) for _, w in apart]))
-    losses = {}
-    for sharp in (1, 2, 4, 8, 16, 32, 64):
-        model.sharpness = float(sharp)
-        losses[sharp] = -np.log(np.maximum(model.posterior(h)[np.arange(len(h)), truth], 1e-12)).mean()
-    model.sharpness = float(min(losses, key=losses.get))
-    model.limits = np.array([np.quantile(h[truth == k, k], 0.995) for k in range(len(languages))])
-    return model
+    used = counts.select(F.explode(F.split("gram", "")).alias("c")).agg(F.count_distinct("c")).first()[0] + 1
+    groups: list[list[str]] = [[]]
+    held = 0
+    for l, n in sizes:
+        if groups[-1] and held + n > GRAMS:
+            groups.append([])
+            held = 0
+        groups[-1].append(l)
+        held += n
+    blocks = []
+    for own in groups:
+        found = counts.filter(F.col("l").isin(own)).orderBy("l", "gram").toArrow()
+        names, grams, n = found["l"].to_numpy(zero_copy_only=False), found["gram"].to_pylist(), found["n"].to_numpy()
+        cuts = np.flatnonzero(np.append(names[1:] != names[:-1], True)) + 1
+        models = [KneserNey(grams[a:b], n[a:b], used) for a, b in zip([0, *cuts], cuts, strict=False)]
+        blocks.append(spark.sparkContext.broadcast(Block([str(names[b - 1]) for b in cuts], models)))
+    languages = [l for own in groups for l in own]
+    # cross-entropies in every language of the texts that were kept apart, of so many as stay within CALIBRATION
+    most = max(1, min(2 * per_language // 5, CALIBRATION // len(languages) ** 2))
+    apart = chosen.filter(F.col("apart") & (F.col("place") <= 5 * most) & F.col("l").isin(languages)).select(F.struct("l", "place").alias("k"), "t")
+    parts = [map_texts(apart, lambda b=b: _lists(b.value), "h array<double>, n long", "k", "t").filter("n > 0").toPandas().sort_values("k", key=lambda c: c.map(tuple)) for b in blocks]
+    limits = dict.fromkeys(languages, np.inf)
+    sharpness = 1.0
+    if len(parts[0]):
+        h = np.concatenate([np.array(p["h"].tolist()) for p in parts], axis=1)
+        place = {l: k for k, l in enumerate(languages)}
+        truth = np.array([place[k["l"]] for k in parts[0]["k"]])
+        mine = h[np.arange(len(h)), truth]
+        losses = {sharp: -np.log(np.maximum(posterior(h, sharp)[np.arange(len(h)), truth], 1e-12)).mean() for sharp in (1, 2, 4, 8, 16, 32, 64)}
+        sharpness = float(min(losses, key=losses.get))
+        limits = {l: float(np.quantile(mine[truth == k] if (truth == k).any() else mine, 0.995)) for k, l in enumerate(languages)}
+    discard(chosen, counts)
+    return Model(blocks, limits, sharpness)
+
+
+def _lists(block: Block):
+    sums = summer(block)
+
+    def step(texts: list) -> list:
+        s = sums(texts)
+        return [entropies(s).tolist(), pa.array(s[:, -1].astype(np.int64))]
+
+    return step
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,51 +297,45 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     Otherwise lang_pred is the language of lowest cross-entropy in bits per character (on a tie the first by
     name), score its posterior among the languages, and rejected says that the entropy is above the
     language's calibrated limit. Null keys and repeated rows are kept; an empty table gives an empty one.
+    With more than one block of languages, each is met with all texts, and a text's bests are put together.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-
-    def build():
-        model: Model = shared.value
-        memo: dict[str, int] = {}
-        table = np.zeros((1 << 12, len(model.languages) + 1))
-
-        def step(texts: list) -> list:
-            nonlocal table
-            if len(memo) > MEMO:
-                memo.clear()
-            own = [words_of(t) for t in texts]
-            flat = [w for ws in own for w in ws]
-            new = [w for w in set(flat) if w not in memo]
-            if new:
-                start = len(memo)
-                while start + len(new) > len(table):
-                    table = np.concatenate([table, np.zeros_like(table)])
-                for lo in range(0, len(new), 1 << 15):
-                    part = new[lo : lo + (1 << 15)]
-                    table[start + lo : start + lo + len(part)] = model.score_words(part)
-                memo.update(zip(new, range(start, start + len(new)), strict=True))
-            sums = np.zeros((len(texts), table.shape[1]))
-            filled = [k for k, ws in enumerate(own) if ws]
-            if filled:
-                at = np.fromiter(map(memo.__getitem__, flat), dtype=np.int64, count=len(flat))
-                starts = np.cumsum([0] + [len(own[k]) for k in filled])
-                step_rows = 1 << 18
-                for k, lo, hi in zip(filled, starts, starts[1:], strict=False):
-                    for x in range(lo, hi, step_rows):
-                        sums[k] += table[at[x : min(x + step_rows, hi)]].sum(axis=0)
-            h = model.entropies(sums)
-            best = h.argmin(axis=1)
-            lowest = h[np.arange(len(h)), best]
-            sure = model.posterior(h)[np.arange(len(h)), best]
-            some = sums[:, -1] > 0
-            names = [model.languages[b] if s else "und" for b, s in zip(best, some, strict=True)]
-            return [
-                names,
-                pa.array(np.where(some, sure, 0.0)),
-                pa.array(lowest, mask=~some),
-                pa.array(~some | (lowest > model.limits[best])),
-            ]
-
-        return step
-
-    return map_texts(docs, build, "lang_pred string, score double, entropy double, rejected boolean", key, text)
+    sharpness, limits = model.sharpness, model.limits
+
+    def build(shared):
+        def make():
+            block: Block = shared.value
+            sums = summer(block)
+
+            def step(texts: list) -> list:
+                s = sums(texts)
+                h = entropies(s)
+                best = h.argmin(axis=1)
+                lowest = h[np.arange(len(h)), best]
+                wide = np.exp(-sharpness * (h - lowest[:, None])).sum(axis=1)
+                some = s[:, -1] > 0
+                top = np.array([limits[l] for l in block.languages])[best]
+                return [[block.languages[b] for b in best], pa.array(lowest, mask=~some), pa.array(wide), pa.array(lowest > top)]
+
+            return step
+
+        return make
+
+    outputs = "lang string, entropy double, wide double, over boolean"
+    if len(model.blocks) == 1:
+        found = map_texts(docs, build(model.blocks[0]), outputs, key, text)
+        total = F.col("wide")
+    else:
+        rows = written(docs.select(F.col(key).alias("key"), F.col(text).alias("t")).withColumn("row", F.monotonically_increasing_id()), "numbered")
+        found = None
+        for shared in model.blocks:
+            part = map_texts(rows.select(F.struct("row", "key").alias("own"), "t"), build(shared), outputs, "own", "t")
+            part = part.select("own.row", "own.key", F.struct("entropy", "lang", "wide", "over").alias("x"))
+            found = part if found is None else found.unionByName(part)
+        found = written(found, "languages").groupBy("row").agg(F.first("key").alias(key), F.min("x").alias("best"), F.collect_list("x").alias("all"))  # as many as there are blocks
+        total = F.aggregate("all", F.lit(0.0), lambda a, x: a + x["wide"] * F.exp(-sharpness * (x["entropy"] - F.col("best.entropy"))))
+        found = found.select(key, "best.lang", "best.entropy", total.alias("total"), "best.over")
+        total = F.col("total")
+    some = F.col("entropy").isNotNull()
+    return found.select(
+        key, F.when(some, F.col("lang")).otherwise("und").alias("lang_pred"), F.when(some, 1 / total).otherwise(0.0).alias("score"), "entropy", (~some | F.col("over")).alias("rejected")
+    )
