@@ -1,6 +1,7 @@
 """Quality classification from trusted positives and unlabelled text (non-negative PU learning).
 
-A small network over statistics of a text is trained to minimise the non-negative unbiased risk
+A small network over statistics of a text and a bag of its words, hashed into BAG places, is trained to minimise the
+non-negative unbiased risk
     prior * E_pos[l(g)] + max(0, E_unl[l(-g)] - prior * E_pos[l(-g)])
 with the logistic loss l. The class prior is estimated from the data: the least ratio, over thresholds of a
 first scorer, of the shares of unlabelled and of positive rows above the threshold.
@@ -26,16 +27,33 @@ _UPPER, _LOWER, _DIGIT = (bytes(range(ord(a), ord(b) + 1)) for a, b in ("AZ", "a
 _STOPS, _SPACES = b".,;:!?'\"()-", b" \t\n\r\x0b\x0c"
 _HIGH = bytes(range(128, 256))
 _SYMBOLS = bytes(sorted(set(range(33, 127)) - set(_UPPER + _LOWER + _DIGIT + _STOPS)))
-FEATURES = 19
-
-
-def features(text: str | None) -> list[float]:
-    """Statistics of a whole text; all zero where it has no word."""
+STATS, BAG = 19, 256
+FEATURES = STATS + BAG
+MEMO = 200_000  # words whose places a worker remembers
+_PLACES: dict[bytes, int] = {}
+
+
+def bag(words: list[bytes]) -> np.ndarray:
+    """The square roots of the shares of the words, in lower case, that each place has; they are one vector of length 1."""
+    if len(_PLACES) > MEMO:
+        _PLACES.clear()
+    get = _PLACES.get
+    at = list(map(get, words))
+    if None in at:
+        for w in set(words):
+            if w not in _PLACES:
+                _PLACES[w] = zlib.crc32(w.lower()) % BAG
+        at = list(map(_PLACES.__getitem__, words))
+    return np.sqrt(np.bincount(at, minlength=BAG) / len(words))
+
+
+def features(text: str | None) -> np.ndarray:
+    """Statistics of a whole text, then the bag of its words; all zero where it has no word."""
     raw = (text or "").encode()
     words = raw.split()
     n, k = len(raw), len(words)
     if not k:
-        return [0.0] * FEATURES
+        return np.zeros(FEATURES)
     upper, lower, digit, stops, symbols, high = (n - len(raw.translate(None, x)) for x in (_UPPER, _LOWER, _DIGIT, _STOPS, _SYMBOLS, _HIGH))
     lines = [x for x in raw.split(b"\n") if x]
     distinct = len(set(words))
@@ -43,12 +61,13 @@ def features(text: str | None) -> list[float]:
     again2 = sum(map(eq, words, islice(words, 2, None)))
     again3 = sum(map(eq, words, islice(words, 3, None)))
     letters = max(1, upper + lower + high)
-    return [
+    stats = [
         np.log1p(n), np.log1p(k), n / k, distinct / k, distinct / k**0.7, again / k, again2 / k, again3 / k,
         len(zlib.compress(raw, 1)) / (n + 20), upper / letters, digit / n, stops / n, symbols / n, high / n,
         raw.count(b"|") / k, np.log1p(len(lines)), len(set(lines)) / max(1, len(lines)), (lower + high) / n,
         symbols / k,
     ]
+    return np.concatenate([stats, bag(words)])
 
 
 @dataclass
@@ -79,14 +98,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(pos: np.ndarray, unl: np.ndarray, prior: float | None, units: int = 24, steps: int = 800, rate: float = 0.02, decay: float = 1e-4) -> Network:
-    """Full-batch Adam on the PU risk; with prior None on the plain risk of positives against unlabelled rows."""
-    rng = np.random.default_rng(9)
-    both = np.concatenate([pos, unl])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (pos, unl))
-    w = [rng.normal(0, 0.3, (p.shape[1], units)), np.zeros(units), rng.normal(0, 0.3, units), np.zeros(1)]
-    m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
+def pu_risk(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float | None) -> tuple[float, float, list[np.ndarray]]:
+    """The non-negative risk of weights w on positives p and unlabelled rows u, its negative part, and the step's gradients.
+
+    With prior None: the plain risk of positives against unlabelled rows. Where the negative part is below zero it is
+    over-fitted; the gradients are then those that bring it back, as the method has it.
+    """
 
     def forward(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.tanh(x @ w[0] + w[1])
@@ -96,32 +113,54 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float | None, units: int = 24
         dh = d[:, None] * w[2] * (1 - h * h)
         return [x.T @ dh, dh.sum(axis=0), h.T @ d, np.array([d.sum()])]
 
-    for t in range(1, steps + 1):
-        hp, gp = forward(p)
-        hu, gu = forward(u)
-        if prior is None:
-            dp, du = -_sigmoid(-gp) / len(p), _sigmoid(gu) / len(u)
+    hp, gp = forward(p)
+    hu, gu = forward(u)
+    if prior is None:
+        negative = np.logaddexp(0, gu).mean()
+        value = np.logaddexp(0, -gp).mean() + negative
+        dp, du = -_sigmoid(-gp) / len(p), _sigmoid(gu) / len(u)
+    else:
+        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        value = prior * np.logaddexp(0, -gp).mean() + max(0.0, negative)
+        back_p, back_u = -prior * _sigmoid(gp) / len(p), _sigmoid(gu) / len(u)
+        if negative >= 0:
+            dp, du = -prior * _sigmoid(-gp) / len(p) + back_p, back_u
         else:
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            back_p, back_u = -prior * _sigmoid(gp) / len(p), _sigmoid(gu) / len(u)
-            if negative >= 0:
-                dp, du = -prior * _sigmoid(-gp) / len(p) + back_p, back_u
-            else:  # the negative part is over-fitted: step the other way until it is not
-                dp, du = -back_p, -back_u
-        grads = [a + b for a, b in zip(backward(p, hp, dp), backward(u, hu, du), strict=True)]
-        for k, g in enumerate(grads):
-            g = g + decay * w[k]
+            dp, du = -back_p, -back_u
+    return float(value), float(negative), [a + b for a, b in zip(backward(p, hp, dp), backward(u, hu, du), strict=True)]
+
+
+def train(pos: np.ndarray, unl: np.ndarray, prior: float | None, units: int = 24, steps: int = 800, rate: float = 0.02, decay: float = 1e-4, bag_decay: float = 3e-3) -> Network:
+    """Full-batch Adam on the PU risk; with prior None on the plain risk. Statistics are standardised, a bag's weights decay faster."""
+    rng = np.random.default_rng(9)
+    both = np.concatenate([pos, unl])
+    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
+    scale[STATS:] = 0.1
+    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (pos, unl))
+    w = [rng.normal(0, 0.3, (p.shape[1], units)), np.zeros(units), rng.normal(0, 0.3, units), np.zeros(1)]
+    w[0][STATS:] = 0.0
+    pull = [np.full(w[0].shape, decay), decay, decay, decay]
+    pull[0][STATS:] = bag_decay
+    m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
+    for t in range(1, steps + 1):
+        for k, g in enumerate(pu_risk(w, p, u, prior)[2]):
+            g = g + pull[k] * w[k]
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             w[k] = w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     return Network(mean, scale, w[0], w[1], w[2], float(w[3][0]), prior or 0.5)
 
 
+DOUBT = 10
+
+
 def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     """The share of positives among unlabelled rows, from two scorers that each judge the rows the other learnt from.
 
     Each gives the least, over thresholds, of the lower 95 % bound of the unlabelled share above the threshold
     to the positive share above it. A prior that is a little low costs no row; one that is high hides negatives.
+    The estimate counts as much as the rows that it comes from, against DOUBT rows that speak for one half: with few
+    rows the prior stays near that, with thousands they do not matter.
     """
 
     def least(p: np.ndarray, u: np.ndarray) -> float:
@@ -129,22 +168,22 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
         above_p, above_u = (np.array([(x >= t).mean() for t in grid]) for x in (p, u))
         return ((above_u - 1.65 * np.sqrt(above_u * (1 - above_u) / len(u))) / above_p).min()
 
-    if min(len(pos), len(unl)) < 20:
-        return 0.5
-    scorers = [train(pos[k::2], unl[k::2], None) for k in (0, 1)]
-    return float(np.clip(np.mean([least(scorers[k].margin(pos[1 - k :: 2]), scorers[k].margin(unl[1 - k :: 2])) for k in (0, 1)]), 0.05, 0.98))
+    halves = [(pos[k::2], unl[k::2]) for k in (0, 1)]
+    found = [least(s.margin(p), s.margin(u)) for (a, b), (p, u) in (halves, halves[::-1]) if min(map(len, (a, b, p, u))) for s in [train(a, b, None)]]
+    n = min(len(pos), len(unl)) if found else 0
+    return float(np.clip((n * float(np.mean(found or [0.5])) + DOUBT * 0.5) / (n + DOUBT), 0.05, 0.98))
 
 
 def feature_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, x array<double>): the statistics of every whole text; zeros where it is null, empty or blank."""
-    return map_texts(docs, lambda: lambda texts: [[features(t) for t in texts]], "x array<double>", key, text)
+    """(key, x array<double>): the statistics and the bag of every whole text; zeros where it is null, empty or blank."""
+    return map_texts(docs, lambda: lambda texts: [[features(t).tolist() for t in texts]], "x array<double>", key, text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 4000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
     """Train on at most about `sample` trusted positives and `sample` unlabelled rows, among keys where learn holds.
 
     Both are chosen by a hash of the key. A positive is a key that some row of labels marks 1. Negative labels
-    are not used, nor any other column. Only the rows' statistics reach the driver. Without any positive, every
+    are not used, nor any other column. Only these rows' features reach the driver. Without any positive, every
     text scores 0.5.
     """
     trusted = bounded_sample(labels.filter((F.col(label) == 1) & learn).select(F.col(key).alias("k")).distinct(), "k", sample, 90)

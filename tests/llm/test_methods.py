@@ -18,6 +18,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import base, bpe, decontaminate, gif, language, quality, secrets, simhash, suffix_tree, token_counts, warc
@@ -368,18 +369,56 @@ def test_plain_words_share_rows():
 
 
 # language
-def test_kneser_ney_sums_to_one():
-    words = ["banana", "bandana", "cabana", "nab", "ban"]
-    used = sorted(set("".join(words)))
-    ids = np.full(200, language.UNKNOWN, dtype=np.uint16)
-    for k, c in enumerate(used):
-        ids[ord(c)] = language.FIRST + k
-    keys, lengths = language.grams(words, ids)
-    assert lengths.tolist() == [len(w) + 1 for w in words] and len(keys) == sum(lengths)
-    model = language.KneserNey(*np.unique(keys, return_counts=True), len(used) + language.FIRST)
-    for h in np.unique(keys >> language.BITS):
-        each = (h << language.BITS) | np.arange(len(used) + language.FIRST)
-        assert 2.0 ** model.log2(each) @ np.ones(len(each)) == pytest.approx(1.0)
+class PlainKneserNey:
+    """Interpolated Kneser-Ney with tuples and dictionaries."""
+
+    def __init__(self, words, alphabet):
+        self.alphabet, self.counts = alphabet, {language.ORDER: Counter(g for w in words for g in language.grams_of(w))}
+        for m in range(language.ORDER - 1, 0, -1):
+            self.counts[m] = Counter(g[1:] for g in self.counts[m + 1])
+        self.discounts = {}
+        for m, c in self.counts.items():
+            once, twice = (sum(n == k for n in c.values()) for k in (1, 2))
+            self.discounts[m] = max(0.1, once / (once + 2 * twice)) if once else 0.1
+
+    def probability(self, gram):
+        p = 1 / self.alphabet
+        for m in range(1, language.ORDER + 1):
+            own, c, d = gram[-m:], self.counts[m], self.discounts[m]
+            after = [n for g, n in c.items() if g[:-1] == own[:-1]]
+            if after:
+                p = (max(c[own] - d, 0) + d * len(after) * p) / sum(after)
+        return p
+
+
+def test_kneser_ney_is_as_by_brute_force():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcäß字😀") for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    plain = PlainKneserNey(words, 9)
+    counts = plain.counts[language.ORDER]
+    block = language.Block(["x"], [language.KneserNey(list(counts), np.array(list(counts.values())), 9)])
+    tests = [*words[:30], "zzz", "aqa", "字"]
+    for w, (log2, n) in zip(tests, block.score_words(tests), strict=True):
+        assert n == len(w) + 1 and log2 == pytest.approx(sum(math.log2(plain.probability(g)) for g in language.grams_of(w)))
+    for before in ("\0\0\0\1", "\0\0\1a", "\1abc", "zzzz"):
+        assert sum(plain.probability(before + c) for c in "abcäß字😀\1?") == pytest.approx(1.0)
+
+
+def test_language_blocks_chunks_and_small_memos_change_nothing(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = {l: ["".join(rng.choice(f"{l}{l}aeiou") for _ in range(rng.randint(2, 7))) for _ in range(40)] for l in "bcdfgh"}
+    rows = [(k, " ".join(rng.choice(vocabulary[l]) for _ in range(rng.randint(0, 30))), l) for k, l in enumerate("bcdfgh" * 20)] + [(900, "xx yy", "z"), (901, None, "b"), (902, "...", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = language.predict(docs, language.fit(docs, F.lit(True))).collect()
+    for name, value in (("GRAMS", 300), ("MEMO_BYTES", 1000), ("CHUNK_BYTES", 500)):
+        monkeypatch.setattr(language, name, value)
+    model = language.fit(docs, F.lit(True))
+    assert len(model.blocks) > 2 and set(model.limits) == set("bcdfghz")
+    cut = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+    assert len(cut) == len(rows) and {r["lang_pred"] for r in whole} == {*"bcdfghz", "und"}
+    for r in whole:
+        assert (cut[r["doc_id"]]["lang_pred"], cut[r["doc_id"]]["rejected"]) == (r["lang_pred"], r["rejected"])
+        assert cut[r["doc_id"]]["score"] == pytest.approx(r["score"]) and cut[r["doc_id"]]["entropy"] == pytest.approx(r["entropy"])
 
 
 @needs_data
@@ -562,6 +601,53 @@ def test_quality_held_out(spark):
     assert np.mean([s >= 0.3 for s in good]) > 0.9
 
 
+def test_pu_risk_and_gradients_by_brute_force():
+    rng = np.random.default_rng(4)
+    for prior, shift in ((0.4, 0.0), (0.9, 4.0), (None, 0.0)):
+        p, u = rng.normal(shift, 1, (7, 5)), rng.normal(0, 1, (9, 5))
+        w = [rng.normal(0, 0.5, (5, 3)), rng.normal(0, 0.5, 3), np.abs(rng.normal(0, 1, 3)) * (1 + shift), rng.normal(0, 0.5, 1)]
+        margin = lambda x, w: [sum(w[2][j] * math.tanh(sum(r[i] * w[0][i, j] for i in range(5)) + w[1][j]) for j in range(3)) + w[3][0] for r in x]
+        loss = lambda z: math.log1p(math.exp(-z))
+        mean = lambda xs: sum(xs) / len(xs)
+
+        def parts(w):
+            a, b = margin(p, w), margin(u, w)
+            if prior is None:
+                return mean([loss(z) for z in a]), mean([loss(-z) for z in b])
+            return prior * mean([loss(z) for z in a]), mean([loss(-z) for z in b]) - prior * mean([loss(-z) for z in a])
+
+        value, negative, grads = quality.pu_risk(w, p, u, prior)
+        first, second = parts(w)
+        assert value == pytest.approx(first + max(0, second)) and negative == pytest.approx(second)
+        target = (lambda w: sum(parts(w))) if second >= 0 else (lambda w: -parts(w)[1])
+        for k, g in enumerate(grads):
+            for at in np.ndindex(g.shape):
+                lo, hi = ([x.copy() for x in w] for _ in range(2))
+                lo[k][at] -= 1e-6
+                hi[k][at] += 1e-6
+                assert g[at] == pytest.approx((target(hi) - target(lo)) / 2e-6, abs=1e-6)
+
+
+def test_prior_has_no_switch_at_small_samples():
+    rng = np.random.default_rng(5)
+    pos, unl = np.zeros((400, quality.FEATURES)), np.zeros((400, quality.FEATURES))
+    pos[:, 0], unl[:, 0] = rng.normal(2, 0.3, 400), np.where(rng.random(400) < 0.3, rng.normal(2, 0.3, 400), rng.normal(-2, 0.3, 400))
+    found = [quality.estimate_prior(pos[:n], unl[:n]) for n in (1, 2, 16, 19, 20, 60, 400)]
+    assert found[0] == 0.5 and 0.1 < found[-1] < 0.35 and abs(found[3] - found[4]) < 0.15 and all(0.05 <= x <= 0.6 for x in found)
+
+
+def test_words_tell_fluent_spam_from_prose():
+    rng = random.Random(3)
+    common = [f"w{k}" for k in range(300)]
+    write = lambda own: " ".join(rng.choice(own if rng.random() < 0.3 else common) for _ in range(rng.randint(80, 120)))
+    good, bad = [f"g{k}" for k in range(20)], [f"b{k}" for k in range(20)]
+    pos = np.array([quality.features(write(good)) for _ in range(200)])
+    unl = np.array([quality.features(write(good if k % 2 else bad)) for k in range(400)])
+    model = quality.train(pos, unl, 0.5)
+    scores = [model.score(np.array([quality.features(write(x)) for _ in range(100)])) for x in (good, bad)]
+    assert (scores[0] > 0.3).mean() > 0.95 and (scores[1] < 0.3).mean() > 0.95
+
+
 def test_pu_risk_recovers_the_split():
     rng = np.random.default_rng(9)
     pos = rng.normal(2, 1, (800, quality.FEATURES))
