@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 B, I, O = range(3)
-MEMO = 150_000
+MEMO, LONGEST = 150_000, 1024  # tokens that a worker remembers, and the characters of the longest of these
+PIECE = 1 << 20  # characters of a text that are tagged at once
+LEAST = 6  # characters of a span that the field adds
 Span = tuple[int, str, int]  # start, kind, end
 
 
@@ -73,7 +76,7 @@ def shape(token: str) -> tuple[list[int], list[int]]:
     digits, upper, lower = sum(map(str.isdigit, core)), core != core.lower(), core != core.upper()
     # runs and entropy of the whole token, but for short ones without digits, which are words
     varied = digits > 0 or n >= LONG
-    mixed = len(_RUNS.findall(core)) if varied else 0
+    mixed = sum(1 for _ in islice(_RUNS.finditer(core), 8)) if varied else 0
     bits = -sum(c / n * math.log2(c / n) for c in Counter(core).values()) if varied else 0.0
     keyword = bool(_NAMES(low)) or low.strip(_EDGE + ":=") in _NAMED
     assigns = token.endswith(("=", ":"))
@@ -144,10 +147,13 @@ class Crf:
             tags.append(int(k[tags[-1]]))
         return tags[::-1]
 
+    def uncertain(self, scores: np.ndarray) -> np.ndarray:
+        """The tokens whose best tag may not be O, whatever the tags of their neighbours."""
+        return np.flatnonzero(scores[:, O] - np.maximum(scores[:, B], scores[:, I]) <= self.slack())
+
     def tag(self, scores: np.ndarray) -> Iterator[tuple[int, int]]:
         """(token, tag) for tokens whose best tag is not O."""
-        certain = scores[:, O] - np.maximum(scores[:, B], scores[:, I]) > self.slack()
-        open_ = np.flatnonzero(~certain)
+        open_ = self.uncertain(scores)
         if not len(open_):
             return
         for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
@@ -166,40 +172,116 @@ def chain_scores(rows: np.ndarray, file: np.ndarray) -> np.ndarray:
     return s
 
 
-_TOKENS = re.compile(r"\S+")
+_TOKENS, _SOLID = re.compile(r"\S+"), re.compile(r"\S")
+_SPACE = re.compile(r"\s")
 
 
-def added_spans(text: str, tags: list[tuple[int, int]], base: list[Span]) -> list[Span]:
-    """Spans of tagged tokens, an I joined to the tag before it; those that touch a base span are left out."""
-    wanted = dict(tags)
-    last = max(wanted)
-    out: list[Span] = []
-    prev = -2
-    for k, m in enumerate(_TOKENS.finditer(text)):
-        if k > last:
-            break
-        if k not in wanted:
+def pieces(text: str) -> Iterator[tuple[int, str]]:
+    """(place, piece): the text in pieces of about PIECE characters, cut at white space."""
+    at = 0
+    while at < len(text):
+        m = _SPACE.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = m.start() if m else len(text)
+        yield at, text[at:end] if at or m else text
+        at = end
+
+
+def tagged(text: str, model: Crf, rows_of) -> Iterator[tuple[int, int, int, str]]:
+    """(number, tag, place, token) of each token whose best tag is not O, a piece of the text at a time.
+
+    rows_of gives the model's rows of a list of tokens. From piece to piece go the rows of the last three tokens, as a
+    token's score needs two tokens before and one after it, and a run of uncertain tokens that may go on.
+    """
+    file = file_features(text) @ model.file
+    kept, number = np.empty((0, 4, 3)), 0  # rows of the last tokens; how many tokens there have been
+    run: list[tuple[int, np.ndarray, int, str]] = []  # number, score, place and token of uncertain tokens side by side
+
+    def decoded(after: bool) -> Iterator[tuple[int, int, int, str]]:
+        if run:
+            tags = model.viterbi(np.array([r[1] for r in run]), run[0][0] > 0, after)
+            yield from ((r[0], t, r[2], r[3]) for r, t in zip(run, tags, strict=True) if t != O)
+            run.clear()
+
+    waiting: tuple[int, str] | None = None  # place and text of the last token, whose score wants the one after it
+    for place, piece in pieces(text):
+        tokens = piece.split()
+        if not tokens:
             continue
-        a, b = inner(m[0])
-        if b - a < 6:
+        rows = np.concatenate([kept, rows_of(tokens)])
+        last = not _SOLID.search(text, place + len(piece))
+        scores = chain_scores(rows, file)
+        lo, hi = max(0, len(kept) - 1), len(rows) if last else len(rows) - 1
+        open_ = lo + model.uncertain(scores[lo:hi]) if hi > lo else []
+        first = number - len(kept)
+        if len(open_):
+            places = None
+            for k in open_:
+                k = int(k)
+                if run and run[-1][0] != first + k - 1:
+                    yield from decoded(True)
+                if k < len(kept):
+                    at, token = waiting
+                else:
+                    places = places or [place + m.start() for m in _TOKENS.finditer(piece)]
+                    at, token = places[k - len(kept)], tokens[k - len(kept)]
+                run.append((first + k, scores[k], at, token))
+            if run[-1][0] != first + hi - 1:
+                yield from decoded(True)
+        elif run and hi > lo:
+            yield from decoded(True)
+        number += len(tokens)
+        if not last:
+            waiting = (place + piece.rindex(tokens[-1]), tokens[-1])
+        kept = rows[-3:].copy()
+        if last:
+            break
+    yield from decoded(False)
+
+
+def added_spans(tags: list[tuple[int, int, int, str]], base: list[Span]) -> list[Span]:
+    """Spans of tagged tokens, an I joined to the tag before it, without what base spans cover; stretches of LEAST characters or more are left."""
+    found: list[list[int]] = []
+    chars: list[str] = []
+    prev = -2
+    for number, tag, place, token in tags:
+        a, b = inner(token)
+        if b - a < LEAST:
             continue
-        if wanted[k] == I and prev == k - 1 and out:
-            out[-1] = (out[-1][0], "crf", m.start() + b)
+        if tag == I and prev == number - 1 and found:
+            found[-1][1] = place + b
+            chars[-1] += " " * (place + a - (found[-1][0] + len(chars[-1]))) + token[a:b]
         else:
-            out.append((m.start() + a, "crf", m.start() + b))
-        prev = k
-    return [s for s in out if not any(x[0] < s[2] and s[0] < x[2] for x in base)]
+            found.append([place + a, place + b])
+            chars.append(token[a:b])
+        prev = number
+    out: list[Span] = []
+    for (a, b), own in zip(found, chars, strict=True):
+        at = a
+        for start, _, end in [*(s for s in base if s[0] < b and a < s[2]), (b, "", b)]:
+            lo, hi = at, max(at, start)
+            if hi - lo < b - a:  # a stretch beside a base span, without the marks at its ends
+                part = own[lo - a : hi - a]
+                lo += len(part) - len(part.lstrip(_EDGE + " "))
+                hi -= len(part) - len(part.rstrip(_EDGE + " "))
+            if hi - lo >= LEAST:
+                out.append((lo, "crf", hi))
+            at = max(at, end)
+    return out
 
 
-def _synthetic(rng: random.Random) -> str:
-    """A made-up secret of one of the usual forms."""
-    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    of = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    return rng.choice([
-        lambda: of("0123456789abcdef", rng.choice((32, 40, 64))), lambda: of("0123456789ABCDEF", rng.choice((32, 40))), lambda: of(abc + "+/", 40), lambda: of(abc, rng.randint(20, 44)),
-        lambda: "AKIA" + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: f"{of('abcdefghijklmnopqrstuvwxyz', 3)}_{of(abc, 36)}", lambda: f"{of('abcdefgh', 2)}-{of(abc, 20)}-{of(abc, 12)}",
-        lambda: f"ey{of(abc, 18)}.ey{of(abc, 30)}.{of(abc + '_-', 43)}", lambda: of(abc[:52], rng.randint(20, 44)), lambda: f"{of(abc[26:52], 3)}_{of(abc[:52], 36)}",
-    ])()
+_ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _of(rng: random.Random, chars: str, n: int) -> str:
+    return "".join(rng.choice(chars) for _ in range(n))
+
+
+#: Made-up secrets of the usual forms.
+FORMS = (
+    lambda r: _of(r, "0123456789abcdef", r.choice((32, 40, 64))), lambda r: _of(r, "0123456789ABCDEF", r.choice((32, 40))), lambda r: _of(r, _ABC + "+/", 40), lambda r: _of(r, _ABC, r.randint(20, 44)),
+    lambda r: "AKIA" + _of(r, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda r: f"{_of(r, 'abcdefghijklmnopqrstuvwxyz', 3)}_{_of(r, _ABC, 36)}", lambda r: f"{_of(r, 'abcdefgh', 2)}-{_of(r, _ABC, 20)}-{_of(r, _ABC, 12)}",
+    lambda r: f"ey{_of(r, _ABC, 18)}.ey{_of(r, _ABC, 30)}.{_of(r, _ABC + '_-', 43)}", lambda r: _of(r, _ABC[:52], r.randint(20, 44)), lambda r: f"{_of(r, _ABC[26:52], 3)}_{_of(r, _ABC[:52], 36)}",
+)
 
 
 def _harmless(rng: random.Random, word: str) -> str:
@@ -213,7 +295,7 @@ def _harmless(rng: random.Random, word: str) -> str:
     ])()
 
 
-def examples(texts: list[str], window: int = 16, seed: int = 3) -> list[tuple[list[str], list[int], np.ndarray]]:
+def examples(texts: list[str], window: int = 16, seed: int = 3, forms: tuple = FORMS) -> list[tuple[list[str], list[int], np.ndarray]]:
     """Windows of tokens with their tags: base matches, made-up secrets put into half of the texts, and plain stretches."""
     rng = random.Random(seed)
     out = []
@@ -224,7 +306,7 @@ def examples(texts: list[str], window: int = 16, seed: int = 3) -> list[tuple[li
             t = " ".join([*lines[:at], _harmless(rng, lines[at - 1]), *lines[at:]])
         if rng.random() < 0.5:
             lines = t.split(" ")
-            value = _synthetic(rng)
+            value = rng.choice(forms)(rng)
             form = rng.choice(['{k} = "{v}"', "{k}={v}", "{k}: {v}", '"{v}"', "{v}", "'{v}'"]).format(k=rng.choice(("token", "password", "secret", "key", "auth", "API_KEY", "TOKEN")), v=value)
             at = rng.randint(0, len(lines))
             t = " ".join([*lines[:at], form, *lines[at:]])
@@ -249,9 +331,9 @@ def examples(texts: list[str], window: int = 16, seed: int = 3) -> list[tuple[li
     return out
 
 
-def train(texts: list[str], rounds: int = 150, rate: float = 0.1, decay: float = 2e-3) -> Crf:
+def train(texts: list[str], rounds: int = 150, rate: float = 0.1, decay: float = 2e-3, forms: tuple = FORMS) -> Crf:
     """Maximise the windows' conditional log-likelihood by gradient steps over exact forward-backward sums."""
-    data = examples(texts)
+    data = examples(texts, forms=forms)
     width = OWN + 3 * NEAR + FILE
     if not data:
         data = examples(["plain words without any secret in this text at all to learn from it now then more"] * 8)
@@ -313,29 +395,32 @@ def scanner(model: Crf):
     memo: dict[str, int] = {}
     table = np.zeros((1 << 12, 4, 3))
 
-    def scan(texts: list) -> list[tuple[list[Span], list[Span]]]:
+    def rows_of(tokens: list[str]) -> np.ndarray:
         nonlocal table
-        if len(memo) > MEMO:
-            memo.clear()
+        at = list(map(memo.get, tokens))
+        if None in at:
+            if len(memo) > MEMO:
+                memo.clear()
+            new = [w for w in dict.fromkeys(tokens) if w not in memo and len(w) <= LONGEST]
+            while len(memo) + len(new) + 1 > len(table):
+                table = np.concatenate([table, np.zeros_like(table)])
+            for w in new:
+                table[len(memo)] = model.row(w)
+                memo[w] = len(memo)
+            at = [memo.get(w, -1) for w in tokens]
+        rows = table[at]
+        if -1 in at:
+            for k, w in enumerate(tokens):
+                if len(w) > LONGEST:
+                    rows[k] = model.row(w)
+        return rows
+
+    def scan(texts: list) -> list[tuple[list[Span], list[Span]]]:
         out = []
         for t in texts:
             base = base_spans(t) if t else []
-            tokens = t.split() if t else []
-            both = base
-            if tokens:
-                at = list(map(memo.get, tokens))
-                if None in at:
-                    new = [w for w in dict.fromkeys(tokens) if w not in memo]
-                    while len(memo) + len(new) > len(table):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    for w in new:
-                        table[len(memo)] = model.row(w)
-                        memo[w] = len(memo)
-                    at = list(map(memo.__getitem__, tokens))
-                tags = list(model.tag(chain_scores(table[at], file_features(t) @ model.file)))
-                if tags:
-                    both = sorted(base + added_spans(t, tags, base), key=lambda s: (s[0], KINDS.index(s[1])))
-            out.append((base, both))
+            tags = list(tagged(t, model, rows_of)) if t else []
+            out.append((base, sorted(base + added_spans(tags, base), key=lambda s: (s[0], KINDS.index(s[1]))) if tags else base))
         return out
 
     return scan
