@@ -11,7 +11,9 @@ from functools import cache
 from pathlib import Path
 from weakref import WeakKeyDictionary
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -138,3 +140,36 @@ def map_texts(docs: DataFrame, build: Callable[[], Callable[[list], list]], outp
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+class Sorted:
+    """Distinct 64-bit keys in order, and a table of flags that spares most searches for others."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.mask = np.uint64((1 << max(10, (8 * len(keys)).bit_length())) - 1)
+        self.flags = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.flags[keys & self.mask] = True
+
+    def __reduce__(self):
+        return Sorted, (self.keys,)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the wanted keys there are, and their places."""
+        maybe = np.flatnonzero(self.flags[wanted & self.mask])
+        at = np.searchsorted(self.keys, wanted[maybe])
+        at[at == len(self.keys)] = 0
+        there = self.keys[at] == wanted[maybe] if len(self.keys) else np.zeros(0, bool)
+        return maybe[there], at[there]
+
+
+def packed(first: np.ndarray, *others: np.ndarray) -> bytes:
+    """64-bit columns, the first in order: its differences and the others in planes of bytes, most of which are empty."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(first), -1).T).tobytes() for x in (np.diff(first, prepend=np.uint64(0)), *others)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(8 * columns, -1)
+    first, *others = (np.ascontiguousarray(planes[8 * k : 8 * k + 8].T).reshape(-1).view(np.uint64) for k in range(columns))
+    return [np.cumsum(first, dtype=np.uint64), *others]

@@ -13,7 +13,7 @@ aggregate with partial sums; nothing is gathered per context. Floors are absolut
 Texts are split once, into numbers of frequent words and hashes of the others, and kept in shared storage. Words
 and contexts are known by 63-bit hashes: two of n words or contexts share one with a probability of about
 n^2 / 2^64, and would then be counted as one. What reaches the driver and the workers is bounded: the words
-that make up a share SHARE of the tokens (no more than 1 / SHARE of them), and the tree, a level's candidates and
+with numbers (no more than WORDS), and the tree, a level's candidates and
 the counts of other words in blocks, each of which is met with all texts. Should the other words need more than
 MOST_BLOCKS blocks, they meet the texts in a join instead.
 """
@@ -28,16 +28,15 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import slices, tune, written
+from .base import Sorted, packed, slices, tune, unpacked, written
 
 DEPTH = 3
 CONTEXT, FEWEST = 64, 8  # occurrences of a context, and of a word after it, from which they are looked at
 PULL = 5.0  # tokens by which a state's own counts are smoothed towards its suffix
-SHARE = 1e-6  # of all tokens, from which a word has a number. Only speed depends on it
+WORDS = 1_000_000  # the most frequent words, so many at most, have numbers. Only speed depends on it
 ENTRIES = 2_000_000  # candidates, or states and words after them, that are sent to the workers at once
 RARE, MOST_BLOCKS = 6_000_000, 32  # counts of words without a number that are sent at once, and in how many blocks at most
 MEMO = 400_000  # words that a task knows the numbers of
@@ -85,27 +84,6 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-class Sorted:
-    """Distinct 64-bit keys in order, and a table of flags that spares most searches for others."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = keys
-        self.mask = np.uint64((1 << max(10, (16 * len(keys)).bit_length())) - 1)
-        self.flags = np.zeros(int(self.mask) + 1, dtype=bool)
-        self.flags[keys & self.mask] = True
-
-    def __reduce__(self):
-        return Sorted, (self.keys,)
-
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the wanted keys there are, and their places."""
-        maybe = np.flatnonzero(self.flags[wanted & self.mask])
-        at = np.searchsorted(self.keys, wanted[maybe])
-        at[at == len(self.keys)] = 0
-        there = self.keys[at] == wanted[maybe] if len(self.keys) else np.zeros(0, bool)
-        return maybe[there], at[there]
-
-
 @dataclass
 class Symbols:
     """The frequent words' counts and hashes by falling count, their places by hash, and the sizes of the corpus."""
@@ -116,6 +94,7 @@ class Symbols:
     numbers: np.ndarray  # of the hashes in order
     tokens: int
     distinct: int
+    least: int  # every word that occurs so often has a number
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each frequent word, and for any other its hash."""
@@ -193,7 +172,7 @@ class Stretch:
         for c, n in zip(codes, sizes.tolist(), strict=True):
             flat[at : at + n, :3] = np.frombuffer(c, dtype=np.uint8).reshape(3, n).T
             at += n
-        flat[:, 3] = np.where(flat[:, 2] == 255, 255, 0)  # numbers stay below 0xff0000, as SHARE admits no more words
+        flat[:, 3] = np.where(flat[:, 2] == 255, 255, 0)  # numbers stay below 0xff0000, as there are no more than WORDS
         numbers = flat.reshape(-1).view(np.int32).astype(np.int64)
         hashes = symbols.hashes[np.maximum(numbers, 0)] if len(symbols.hashes) else np.zeros(len(numbers), np.uint64)
         hashes[numbers < 0] = np.frombuffer(b"".join(rare), dtype=np.uint64)
@@ -235,18 +214,6 @@ def _summed(ctx: np.ndarray, sym: np.ndarray, n: np.ndarray | None) -> tuple[np.
     return ctx[fresh], sym[fresh], total.astype(np.int64)
 
 
-def _packed(ctx: np.ndarray, sym: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted pairs: differences of contexts, words and counts in planes of bytes, most of which are empty."""
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(ctx), -1).T).tobytes() for x in (np.diff(ctx, prepend=np.uint64(0)), sym, n)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(24, -1)
-    ctx, sym, n = (np.ascontiguousarray(planes[k : k + 8].T).reshape(-1).view(np.uint64) for k in (0, 8, 16))
-    return np.cumsum(ctx, dtype=np.uint64), sym, n.view(np.int64)
-
-
 @dataclass
 class Candidates:
     """Contexts by hash, with their counts, the hashes of all but their first words, and those of their last words."""
@@ -277,7 +244,7 @@ def _pairs(encoded: DataFrame, shared, level: int, known, context: int, fewest:
     symbols: Symbols = shared.value
     session = encoded.sparkSession
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 1 + symbols.tokens // QUOTA)
-    rare_too = context < SHARE * symbols.tokens
+    rare_too = context < symbols.least
     quota = QUOTA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +263,7 @@ def _pairs(encoded: DataFrame, shared, level: int, known, context: int, fewest:
             cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
             for a, b in zip(cuts, cuts[1:], strict=False):
                 own = order[a:b]
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[own[0]])], pa.int32()), pa.array([_packed(ctx[own], sym[own], n[own])], pa.binary())], ["part", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[own[0]])], pa.int32()), pa.array([packed(ctx[own], sym[own], n[own])], pa.binary())], ["part", "blob"])
 
         for batch in batches:
             for piece in slices(batch, 0):
@@ -329,8 +296,8 @@ def _pairs(encoded: DataFrame, shared, level: int, known, context: int, fewest:
             for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 blobs.setdefault(part, []).append(blob)
         while blobs:
-            ctx, sym, n = (np.concatenate(x) for x in zip(*map(_unpacked, blobs.popitem()[1]), strict=True))
-            ctx, sym, n = _summed(ctx, sym, n)
+            ctx, sym, n = (np.concatenate(x) for x in zip(*(unpacked(b, 3) for b in blobs.popitem()[1]), strict=True))
+            ctx, sym, n = _summed(ctx, sym, n.view(np.int64))
             enough = n >= fewest
             ctx, sym, n = ctx[enough], sym[enough], n[enough]
             numbered = sym < np.uint64(_TOP)
@@ -367,12 +334,20 @@ class Tree:
 
 def _symbols(vocabulary: DataFrame):
     tokens, distinct = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first())
-    often = vocabulary.filter(F.col("n") >= SHARE * tokens).toArrow()  # no more than 1 / SHARE rows
+    # how many words there are of each magnitude, four to an octave: a few hundred rows
+    sizes = vocabulary.groupBy(F.floor(4 * F.log2("n")).alias("k")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("k")).collect()
+    held, least = 0, 1 << 62
+    for r in sizes:
+        held += r["words"]
+        if held > WORDS:
+            break
+        least = r["least"]
+    often = vocabulary.filter(F.col("n") >= least).toArrow()  # no more than WORDS rows
     counts, hashes = often["n"].to_numpy(), often["h"].to_numpy().view(np.uint64)
     order = np.lexsort((hashes, -counts))
     counts, hashes = counts[order], hashes[order]
     numbers = np.argsort(hashes)
-    return vocabulary.sparkSession.sparkContext.broadcast(Symbols(counts, hashes, Sorted(hashes[numbers]), numbers, tokens, distinct))
+    return vocabulary.sparkSession.sparkContext.broadcast(Symbols(counts, hashes, Sorted(hashes[numbers]), numbers.astype(np.int32), tokens, distinct, least))
 
 
 def _blocks(rows: int) -> int:
@@ -516,7 +491,7 @@ def _score(encoded: DataFrame, tree: Tree, key: str, kept: list[str]) -> DataFra
 
         kind = encoded.schema["own"].dataType.simpleString()
         passes.append(encoded.select("row", "own", "tokens", "codes", "rare").mapInArrow(run, f"row long, own {kind}, tokens long, known long, base double, log double, h array<long>, open array<boolean>"))
-    rare = tree.vocabulary.filter(F.col("n") < SHARE * symbols.tokens)
+    rare = tree.vocabulary.filter(F.col("n") < symbols.least)
     parts = -(-(symbols.distinct - len(symbols.counts)) // RARE)
     if blocks == 1 and parts <= 1:  # nothing has to be put together
         whole = _looked_up(passes[0], rare.toArrow(), symbols)
