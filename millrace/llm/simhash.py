@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_sample, discard, map_texts, tune, written
+from .base import Sorted, bounded_sample, discard, map_texts, packed, tune, unpacked, written
 from .components import stars
 
 SHINGLE, SEED, DISTANCE, FANOUT = 3, 42, 3, 8
@@ -295,26 +295,105 @@ def prefix(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarra
     return h[np.lexsort((h, rank))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]]
 
 
-def similar(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+SKETCH = 1024  # bits of a set's parity sketch
+SHARED = 8_000_000  # shingles that are sent to the workers at once
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """For each of SKETCH classes of hashes, whether the set has an odd number of them, as 64-bit words.
+
+    A hash that only one of two sets has changes one bit, so their sketches differ in no more bits than the sets in elements.
+    """
+    odd = (np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def repeated(prefixes: DataFrame) -> DataFrame:
+    """(s): the shingles that stand in more than one prefix. Tasks send theirs as packed columns, cut by value."""
+    parts = max(1, int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            s, n = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(s, np.array([(k << 64) // parts for k in range(parts)], dtype=np.uint64))
+            for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(s)], strict=True)):
+                if b > a:
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(s[a:b], n[a:b])], pa.binary())], ["part", "blob"])
+
+        for b in batches:
+            held.append(b.column(0).flatten().to_numpy().view(np.uint64))
+            size += len(held[-1])
+            if size > 1 << 22:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                blobs.setdefault(part, []).append(blob)
+        while blobs:
+            s, n = (np.concatenate(x) for x in zip(*(unpacked(b, 2) for b in blobs.popitem()[1]), strict=True))
+            s, back = np.unique(s, return_inverse=True)
+            s = s[np.bincount(back, weights=n.astype(np.float64)) > 1].view(np.int64)
+            for lo in range(0, len(s), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(s[lo : lo + (1 << 16)])], ["s"])
+
+    return prefixes.select("prefix").mapInArrow(deal, "part int, blob binary").repartition(parts, "part").mapInArrow(merge, "s long")
+
+
+def shared_places(prefixes: DataFrame) -> DataFrame:
+    """(node, size, pos, s): the places of shingles that stand in more than one prefix. The others, by far the most, link nothing.
+
+    Up to SHARED of them are sent to the workers; more are met in a join.
+    """
+    several = written(repeated(prefixes), "repeated")
+    if several.count() > SHARED:
+        return prefixes.select("node", "size", F.posexplode("prefix").alias("pos", "s")).join(several, "s", "left_semi").select("node", "size", "pos", "s")
+    table = prefixes.sparkSession.sparkContext.broadcast(Sorted(np.sort(several.toArrow()["s"].to_numpy().view(np.uint64))))
+    discard(several)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            s, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+            k, _ = table.value.find(s.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[k])), b.column(1).take(pa.array(row[k])), pa.array(pos[k].astype(np.int32)), pa.array(s[k])], ["node", "size", "pos", "s"])
+
+    return prefixes.select("node", "size", "prefix").mapInArrow(run, "node long, size int, pos int, s long")
+
+
+def similar(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, repeats: bool = True) -> DataFrame:
     """(a, b): those of the pairs of nodes whose sets of shingles have this Jaccard similarity or more, compared exactly.
 
-    rows: (doc, digest, t); nodes: (node, digest, least), one for each distinct text, `least` being a document that has it.
-    Only the texts of pairs are read again.
+    rows: (doc, digest, t); nodes: (node, digest, least, size, sketch), one for each distinct text, `least` being a document that
+    has it. Pairs whose sketches differ in more bits than similar sets can in shingles are left out first; only the texts
+    of the others are read again. repeats: whether rows may hold a document and text twice.
     """
+    of = lambda c, x: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
+    bits = F.aggregate(F.zip_with("xs", "ys", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+    near = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").filter(bits <= (F.col("xn") + F.col("yn")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    pairs = written(near.select("a", "b"), "near")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("digest").alias("d"), "least"), "node")
     ends = written(ends, "ends")
     found = rows.join(ends, F.col("doc").eqNullSafe(F.col("least")) & (F.col("digest") == F.col("d"))).select("node", "t")
     sets = map_texts(found, lambda: lambda texts: [[shingle_hashes(t, width).view(np.int64) for t in texts]], "s array<long>", "node", "t")
-    sets = written(sets.dropDuplicates(["node"]), "shingles")
+    sets = written(sets.dropDuplicates(["node"]) if repeats else sets, "shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     # written, so that nothing downstream keeps Spark from splitting the partitions of a text with many near copies
     out = written(both.filter(common + 1e-9 >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
-    discard(ends, sets)
+    discard(ends, sets, pairs)
     return out
 
 
-def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linked: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linked: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, repeats: bool = True) -> DataFrame:
     """(u, v) as from `stars`: the components of the nodes over the links and over all pairs of the similarity.
 
     prefixes: (node, size, prefix); linked: pairs of nodes that are together in any case.
@@ -324,15 +403,16 @@ def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linke
     only if its ends are connected already by checked pairs, its sizes or places in the order rule it out, or it fails
     the check. Groups of near copies are connected by their first hubs, at a row for each node; hubs grow by GROWTH.
     """
-    dealt = prefixes.select("node", "size", F.posexplode("prefix").alias("pos", "s"))
-    roots, tested, hubs, placed_before = stars(linked), [], 1, None
+    dealt = written(shared_places(prefixes), "places")
+    nodes = nodes.join(prefixes.select("node", "size", "sketch"), "node")
+    roots, tested, hubs, placed_before = stars(linked), [], 1, dealt
     chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     while True:
         placed = dealt.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
         each = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(F.struct(chance, "node")).alias("first"))
         open_ = written(each.filter("lo < hi").select("s", "m", F.col("first.node").alias("first")), "buckets")
         if open_.isEmpty():
-            discard(open_, *tested, *([placed_before] if placed_before is not None else []))
+            discard(open_, *tested, placed_before)
             return roots
         hub = (F.col("m") <= ROWS) | (F.col("node") == F.col("first")) | (chance * F.col("m") < F.lit(hubs << 30))
         last, placed = placed_before, written(placed.join(open_, "s").select("s", "node", "size", "pos", "root", hub.alias("hub")), "open")
@@ -347,10 +427,10 @@ def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linke
         pairs = written(pairs, "candidates")
         tested.append(pairs)
         if not pairs.isEmpty():
-            near, old = similar(rows, pairs, nodes, similarity, width), roots
+            near, old = similar(rows, pairs, nodes, similarity, width, repeats), roots
             roots = stars(old.toDF("a", "b").unionByName(near))
             discard(near, old)
-        discard(open_, *([last] if last is not None else []))
+        discard(open_, last)
         placed_before = placed
         dealt, hubs = placed.filter("not hub").select("node", "size", "pos", "s"), hubs * GROWTH
 
@@ -377,26 +457,26 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
         def step(texts: list) -> list:
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
             sets = [shingle_hashes(t) for t in texts]
-            return [pa.array(fps), list(map(len, sets)), [prefix(h, similarity, common).view(np.int64) for h in sets]]
+            return [pa.array(fps), list(map(len, sets)), [prefix(h, similarity, common).view(np.int64) for h in sets], list(map(parities, sets))]
 
         return step
 
-    found = map_texts(rows.select(F.struct("doc", "digest").alias("own"), "t"), build, "fp long, size int, prefix array<long>", "own", "t")
-    marked = written(found.select("own.doc", "own.digest", "fp", "size", "prefix"), "marked")
+    found = map_texts(rows.select(F.struct("doc", "digest").alias("own"), "t"), build, "fp long, size int, prefix array<long>, sketch array<long>", "own", "t")
+    marked = written(found.select("own.doc", "own.digest", "fp", "size", "prefix", "sketch"), "marked")
     again = written(marked.groupBy("doc", "digest").count().filter("count > 1").select(F.col("doc").alias("doc2"), F.col("digest").alias("digest2")), "again")
     repeats = not again.isEmpty()
     # equal texts have equal marks, so any of them will do
     each = marked.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"), F.max("fp").alias("fp"))
     nodes = written(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    own = marked.select("doc", F.col("digest").alias("d"), "size", "prefix")
-    prefixes = nodes.join(own, (F.col("digest") == F.col("d")) & F.col("least").eqNullSafe(F.col("doc"))).select("node", "size", "prefix")
+    own = marked.select("doc", F.col("digest").alias("d"), "size", "prefix", "sketch")
+    prefixes = nodes.join(own, (F.col("digest") == F.col("d")) & F.col("least").eqNullSafe(F.col("doc"))).select("node", "size", "prefix", "sketch")
     prefixes = written(prefixes.dropDuplicates(["node"]) if repeats else prefixes, "prefixes")
 
     star = stars(links(nodes.select("fp").distinct()))
     rooted = nodes.select("node", "fp").join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
     heads = written(rooted.groupBy("root").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "heads")
     by_fingerprint = rooted.join(heads, "root").filter("node <> b").select(F.col("node").alias("a"), "b")
-    joined = joined_similar(rows, nodes, prefixes, by_fingerprint, similarity)
+    joined = joined_similar(rows, nodes, prefixes, by_fingerprint, similarity, repeats=repeats)
 
     placed = nodes.select("node", "digest", "least", "n").join(joined.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = written(placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "digest")).alias("kept")), "first")

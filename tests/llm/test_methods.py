@@ -273,6 +273,25 @@ def test_blocks_of_new_words_do_not_hide_copies(spark):
     assert len(_components(rows, 0.8)) == 30
 
 
+def test_sketches_never_differ_in_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(14)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(0, 3000), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(0, 400), dtype=np.uint64)]))
+        bits = int(np.bitwise_count((simhash.parities(a) ^ simhash.parities(b)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_places_of_repeated_shingles(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "SHARED", most)
+    rng = random.Random(15)
+    rows = [(k, n, rng.sample([x << 55 for x in range(-250, 250)], n)) for k in range(60) for n in [rng.randint(0, 20)]]
+    counts = Counter(s for _, _, p in rows for s in p)
+    got = simhash.shared_places(spark.createDataFrame(rows, "node long, size int, prefix array<long>").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted((k, n, j, s) for k, n, p in rows for j, s in enumerate(p) if counts[s] > 1)
+
+
 def test_rows_are_judged_not_keys(spark):
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
     kept = simhash.deduplicated(spark.createDataFrame([(1, a), (5, a), (5, b), (6, c), (6, d)], "doc_id long, text string")).collect()
@@ -646,7 +665,7 @@ def test_word_hash_is_sparks(spark):
 @pytest.mark.parametrize("small", [{}, {"RARE": 100}, {"RARE": 100, "MOST_BLOCKS": 1}])
 def test_tree_of_four_words_is_as_by_brute_force(spark, monkeypatch, small):
     if small:  # blocks of the tree, of candidates and of rare words or a join of these, frequent contexts cut, words known by their hashes only
-        for name, value in {"ENTRIES": 100, "QUOTA": 150, "SHARE": 0.03, "HELD": 500, "MEMO": 50, "FLUSH": 40, **small}.items():
+        for name, value in {"ENTRIES": 100, "QUOTA": 150, "WORDS": 8, "HELD": 500, "MEMO": 50, "FLUSH": 40, **small}.items():
             monkeypatch.setattr(suffix_tree, name, value)
     rng = random.Random(8)
     after = {}
