@@ -142,6 +142,19 @@ def map_texts(docs: DataFrame, build: Callable[[], Callable[[list], list]], outp
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of a table that is broadcast at once, what a row takes besides its key, and how many such blocks there may be.
+BROADCAST, ROW, MOST_BROADCASTS = 64 << 20, 64, 16
+
+
+def broadcasts(table: DataFrame, key: str) -> list[DataFrame] | None:
+    """The table in parts that can be broadcast, by their measured size; None where there would be more than MOST_BROADCASTS of them."""
+    n, size = table.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(key).cast("string")))).first()
+    parts = max(1, -(-(ROW * n + (size or 0)) // BROADCAST))
+    if parts > MOST_BROADCASTS:
+        return None
+    return [F.broadcast(table.filter(F.pmod(F.xxhash64(*table.columns), F.lit(parts)) == k) if parts > 1 else table) for k in range(parts)]
+
+
 class Sorted:
     """Distinct 64-bit keys in order, and a table of flags that spares most searches for others."""
 

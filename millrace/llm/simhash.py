@@ -11,6 +11,7 @@ whole group as soon as they exceed k.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Sorted, bounded_sample, discard, map_texts, packed, tune, unpacked, written
+from .base import Sorted, bounded_sample, broadcasts, discard, map_texts, packed, tune, unpacked, written
 from .components import stars
 
 SHINGLE, SEED, DISTANCE, FANOUT = 3, 42, 3, 8
@@ -295,16 +296,16 @@ def prefix(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarra
     return h[np.lexsort((h, rank))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]]
 
 
-SKETCH = 1024  # bits of a set's parity sketch
+SKETCH, WIDE, LARGE = 1 << 10, 1 << 14, 1500  # bits of a set's parity sketch, of the wider one that large sets have as well, and their least size
 SHARED = 8_000_000  # shingles that are sent to the workers at once
 
 
-def parities(h: np.ndarray) -> np.ndarray:
-    """For each of SKETCH classes of hashes, whether the set has an odd number of them, as 64-bit words.
+def parities(h: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """For each of so many classes of hashes, whether the set has an odd number of them, as 64-bit words.
 
     A hash that only one of two sets has changes one bit, so their sketches differ in no more bits than the sets in elements.
     """
-    odd = (np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)
+    odd = (np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
@@ -372,17 +373,20 @@ def shared_places(prefixes: DataFrame) -> DataFrame:
 def similar(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, repeats: bool = True) -> DataFrame:
     """(a, b): those of the pairs of nodes whose sets of shingles have this Jaccard similarity or more, compared exactly.
 
-    rows: (doc, digest, t); nodes: (node, digest, least, size, sketch), one for each distinct text, `least` being a document that
+    rows: (doc, digest, t); nodes: (node, digest, least, size, sketch, wide), one for each distinct text, `least` being a document that
     has it. Pairs whose sketches differ in more bits than similar sets can in shingles are left out first; only the texts
     of the others are read again. repeats: whether rows may hold a document and text twice.
     """
-    of = lambda c, x: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
-    bits = F.aggregate(F.zip_with("xs", "ys", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+    of = lambda c, x: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"), F.col("wide").alias(f"{x}w"))
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+    bits = F.coalesce(differ("xw", "yw"), differ("xs", "ys"))
     near = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").filter(bits <= (F.col("xn") + F.col("yn")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
     pairs = written(near.select("a", "b"), "near")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("digest").alias("d"), "least"), "node")
     ends = written(ends, "ends")
-    found = rows.join(ends, F.col("doc").eqNullSafe(F.col("least")) & (F.col("digest") == F.col("d"))).select("node", "t")
+    # the texts stay where they are: a block of the nodes is sent to them, and they meet in a shuffle only beyond all blocks
+    met = lambda x: rows.join(x, F.col("doc").eqNullSafe(F.col("least")) & (F.col("digest") == F.col("d"))).select("node", "t")
+    found = reduce(DataFrame.unionByName, map(met, broadcasts(ends, "least") or [ends]))
     sets = map_texts(found, lambda: lambda texts: [[shingle_hashes(t, width).view(np.int64) for t in texts]], "s array<long>", "node", "t")
     sets = written(sets.dropDuplicates(["node"]) if repeats else sets, "shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
@@ -404,7 +408,7 @@ def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linke
     the check. Groups of near copies are connected by their first hubs, at a row for each node; hubs grow by GROWTH.
     """
     dealt = written(shared_places(prefixes), "places")
-    nodes = nodes.join(prefixes.select("node", "size", "sketch"), "node")
+    nodes = nodes.join(prefixes.select("node", "size", "sketch", "wide"), "node")
     roots, tested, hubs, placed_before = stars(linked), [], 1, dealt
     chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     while True:
@@ -446,7 +450,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     as empty. An empty table stays empty.
     """
     tune(docs.sparkSession)
-    digest = lambda t: F.sha2(F.coalesce(t, F.lit("")).cast("binary"), 256)
+    digest = lambda t: F.unhex(F.substring(F.sha2(F.coalesce(t, F.lit("")).cast("binary"), 256), 1, 32))
     rows = docs.select(F.col(key).alias("doc"), digest(F.col(text)).alias("digest"), F.col(text).alias("t"))
 
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
@@ -457,19 +461,19 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
         def step(texts: list) -> list:
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
             sets = [shingle_hashes(t) for t in texts]
-            return [pa.array(fps), list(map(len, sets)), [prefix(h, similarity, common).view(np.int64) for h in sets], list(map(parities, sets))]
+            return [pa.array(fps), list(map(len, sets)), [prefix(h, similarity, common).view(np.int64) for h in sets], list(map(parities, sets)), [parities(h, WIDE) if len(h) >= LARGE else None for h in sets]]
 
         return step
 
-    found = map_texts(rows.select(F.struct("doc", "digest").alias("own"), "t"), build, "fp long, size int, prefix array<long>, sketch array<long>", "own", "t")
-    marked = written(found.select("own.doc", "own.digest", "fp", "size", "prefix", "sketch"), "marked")
+    found = map_texts(rows.select(F.struct("doc", "digest").alias("own"), "t"), build, "fp long, size int, prefix array<long>, sketch array<long>, wide array<long>", "own", "t")
+    marked = written(found.select("own.doc", "own.digest", "fp", "size", "prefix", "sketch", "wide"), "marked")
     again = written(marked.groupBy("doc", "digest").count().filter("count > 1").select(F.col("doc").alias("doc2"), F.col("digest").alias("digest2")), "again")
     repeats = not again.isEmpty()
     # equal texts have equal marks, so any of them will do
     each = marked.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"), F.max("fp").alias("fp"))
     nodes = written(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    own = marked.select("doc", F.col("digest").alias("d"), "size", "prefix", "sketch")
-    prefixes = nodes.join(own, (F.col("digest") == F.col("d")) & F.col("least").eqNullSafe(F.col("doc"))).select("node", "size", "prefix", "sketch")
+    own = marked.select("doc", F.col("digest").alias("d"), "size", "prefix", "sketch", "wide")
+    prefixes = nodes.join(own, (F.col("digest") == F.col("d")) & F.col("least").eqNullSafe(F.col("doc"))).select("node", "size", "prefix", "sketch", "wide")
     prefixes = written(prefixes.dropDuplicates(["node"]) if repeats else prefixes, "prefixes")
 
     star = stars(links(nodes.select("fp").distinct()))
@@ -487,8 +491,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     discard(marked, nodes, prefixes, star, heads, joined, first)
 
     same = F.col(f"own.{key}").eqNullSafe(F.col("doc2")) & (F.col("digest") == F.col("digest2"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), digest(F.col(text)).alias("digest"))
-    out = packed.join(copies, same, "left_anti")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), digest(F.col(text)).alias("digest"))
+    out = whole
+    for part in broadcasts(copies, "doc2") or [copies]:
+        out = out.join(part, same, "left_anti")
     if repeats:
         once = out.join(again, same, "left_semi").groupBy(F.col(f"own.{key}").alias("k"), "digest").agg(F.min_by("own", F.to_json("own")).alias("own"))
         out = out.join(again, same, "left_anti").select("own").unionByName(once.select("own"))

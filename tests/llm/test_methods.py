@@ -292,7 +292,10 @@ def test_places_of_repeated_shingles(spark, monkeypatch, most):
     assert sorted(map(tuple, got)) == sorted((k, n, j, s) for k, n, p in rows for j, s in enumerate(p) if counts[s] > 1)
 
 
-def test_rows_are_judged_not_keys(spark):
+@pytest.mark.parametrize("most", [(64 << 20, 16), (300, 16), (300, 1)])
+def test_rows_are_judged_not_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(base, "BROADCAST", most[0])  # one block, several, a join without blocks
+    monkeypatch.setattr(base, "MOST_BROADCASTS", most[1])
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
     kept = simhash.deduplicated(spark.createDataFrame([(1, a), (5, a), (5, b), (6, c), (6, d)], "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == [(1, a), (5, b), (6, c), (6, d)]
