@@ -17,13 +17,13 @@ from .plans.session import EngineSession
 from .sources.csv import read_csv
 
 HELP = ".mode table|csv|json   .timer on|off   .tables   .mem   .help   .quit"
-SHOWN = 1000  # rows that are printed
+SHOWN = 1000  # rows of a table that are printed
 
 
 def render(df: DataFrame, mode: str) -> str:
     if mode == "table":
         return Frame(df).text(SHOWN)
-    rows = [r.asDict() for r in df.limit(SHOWN).collect()]
+    rows = (r.asDict() for r in df.toLocalIterator())  # all of them: csv and json are read by programs
     if mode == "json":
         return "\n".join(json.dumps(r, default=str) for r in rows)
     out = io.StringIO()

@@ -12,8 +12,11 @@ from .registry import frame, table
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share; of our own only where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/{uuid.uuid4().hex}"
+    """A folder that driver and executors share; of our own only where none is set and all is one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{top or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/{uuid.uuid4().hex}"
 
 
 # sources
@@ -36,6 +39,20 @@ def csv_quoted_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, types=["bigint", "bigint", "string"])
 
 
+@frame("SELECT o_orderkey, CASE WHEN o_orderkey > 150 THEN o_totalprice ELSE CAST(o_custkey AS DOUBLE) END AS late_double, CASE WHEN o_orderkey > 150 THEN 'two' || chr(10) || 'lines, ' || o_orderpriority ELSE '7' END AS late_text FROM orders")
+def csv_late_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles, text and line ends in fields that come long after the first rows."""
+    from ..sources.csv import read_csv, write_csv
+
+    path, late = _folder(spark), F.col("o_orderkey") > 150
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(late, F.col("o_totalprice").cast("string")).otherwise(F.col("o_custkey").cast("string")).alias("late_double"),
+        F.when(late, F.concat(F.lit("two\nlines, "), "o_orderpriority")).otherwise("7").alias("late_text"),
+    )
+    write_csv(rows.orderBy("o_orderkey"), path)
+    return read_csv(spark, path)
+
+
 @frame('SELECT n_nationkey AS "V1", n_name AS "V2" FROM nation')
 def csv_headerless_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.csv import read_csv, write_csv

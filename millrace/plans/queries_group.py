@@ -54,8 +54,7 @@ def product_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _name in ("stddev_samp", "stddev_pop", "var_samp", "var_pop", "stddev", "variance"):
     sql(f"agg_{_name}" if _name in ("stddev", "variance") else _name, f"SELECT l_returnflag, ROUND({_name}(l_quantity), 6) AS v FROM {{lineitem}} GROUP BY l_returnflag")
-sql("stddev_single_row", "SELECT o_orderkey, STDDEV_SAMP(o_totalprice) AS v, VAR_POP(o_totalprice) AS p FROM {orders} WHERE o_orderkey < 50 GROUP BY o_orderkey")
-sql("stddev_single_row_all", "SELECT o_orderkey, STDDEV_SAMP(o_totalprice) AS v, VAR_POP(o_totalprice) AS p FROM {orders} GROUP BY o_orderkey")
+sql("stddev_single_row", "SELECT o_orderkey, STDDEV_SAMP(o_totalprice) AS v, VAR_POP(o_totalprice) AS p FROM {orders} GROUP BY o_orderkey")
 sql("agg_filter_sum", "SELECT o_orderstatus, ROUND(SUM(o_totalprice) FILTER (WHERE o_custkey < 300), 2) AS v FROM {orders} GROUP BY o_orderstatus")
 sql("agg_filter_count", "SELECT o_orderstatus, COUNT(*) FILTER (WHERE o_totalprice > 100000.0) AS n FROM {orders} GROUP BY o_orderstatus")
 sql("agg_filter_count_float_compat", "SELECT o_orderstatus, CAST(COUNT(*) FILTER (WHERE o_totalprice > 100000.0) AS DOUBLE) AS n FROM {orders} GROUP BY o_orderstatus")
@@ -76,7 +75,7 @@ sql("h2o_q6", "SELECT l_partkey, MAX(l_quantity) AS v1_max, MIN(l_linenumber) AS
 _KEYS = "l_returnflag, l_linestatus, l_partkey, l_suppkey, l_linenumber, l_orderkey"
 sql("h2o_q7", f"SELECT {_KEYS}, ROUND(SUM(l_extendedprice), 2) AS v3_sum, COUNT(l_quantity) AS v1_count FROM {{lineitem}} GROUP BY {_KEYS}")
 for _name, _by in {"h2o_s1": "l_returnflag", "h2o_s2": "l_partkey", "h2o_s3": "l_suppkey", "h2o_s4": "l_extendedprice DESC", "h2o_s5": "l_returnflag, l_linestatus", "h2o_s6": "l_returnflag, l_linestatus, l_partkey"}.items():
-    sql(_name, f"SELECT l_orderkey, {', '.join(dict.fromkeys(_by.replace(' DESC', '').split(', ')))} FROM {{lineitem}} ORDER BY {_by}")
+    sql(_name, f"SELECT l_orderkey, {', '.join(dict.fromkeys(_by.replace(' DESC', '').split(', ')))} FROM {{lineitem}} ORDER BY {_by}, l_orderkey, l_linenumber")
 _ON = "l.l_returnflag = r.l_returnflag AND l.l_partkey = r.l_partkey AND l.l_suppkey = r.l_suppkey"
 _RIGHT = "(SELECT l_returnflag, l_partkey, l_suppkey, MAX(l_extendedprice) AS price FROM {lineitem} WHERE l_quantity > 25 GROUP BY l_returnflag, l_partkey, l_suppkey)"
 sql("h2o_j1", f"SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, r.price FROM {{lineitem}} l JOIN {_RIGHT} r ON {_ON}")

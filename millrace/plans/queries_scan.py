@@ -85,21 +85,13 @@ sql("cte_chain", "WITH big AS (SELECT * FROM {orders} WHERE o_totalprice > 15000
 sql("sort_asc", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice ASC NULLS LAST")
 sql("sort_desc", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC NULLS FIRST")
 sql("sort_multi", "SELECT o_orderstatus, o_totalprice, o_orderkey FROM {orders} ORDER BY o_orderstatus ASC NULLS LAST, o_totalprice DESC NULLS FIRST")
-sql("sort_expr", "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY o_custkey % 10, o_orderkey LIMIT 50")
-sql("sort_position", "SELECT o_custkey, o_orderkey FROM {orders} ORDER BY 1, 2 LIMIT 50")
-sql("sort_alias", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM {orders} ORDER BY twice DESC, o_orderkey LIMIT 50")
-sql("sort_hidden_col", "SELECT o_orderkey FROM {orders} ORDER BY o_totalprice, o_orderkey LIMIT 50")
-sql("sort_nulls_first", "SELECT o_orderkey, NULLIF(o_custkey, 1) AS k FROM {orders} ORDER BY k ASC NULLS FIRST, o_orderkey LIMIT 30")
-sql("sort_nulls_last", "SELECT o_orderkey, NULLIF(o_custkey, 1) AS k FROM {orders} ORDER BY k DESC NULLS LAST, o_orderkey DESC LIMIT 30")
-sql("sort_agg_input", "SELECT o_orderstatus, ROUND(AVG(o_totalprice), 3) AS mean FROM {orders} GROUP BY o_orderstatus ORDER BY AVG(o_totalprice) DESC LIMIT 2")
-# the same sorts over all rows
-sql("sort_expr_all", "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY o_custkey % 10, o_orderkey")
-sql("sort_position_all", "SELECT o_custkey, o_orderkey FROM {orders} ORDER BY 1, 2")
-sql("sort_alias_all", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM {orders} ORDER BY twice DESC, o_orderkey")
-sql("sort_hidden_col_all", "SELECT o_orderkey FROM {orders} ORDER BY o_totalprice, o_orderkey")
-sql("sort_nulls_first_all", "SELECT o_orderkey, NULLIF(o_custkey, 1) AS k FROM {orders} ORDER BY k ASC NULLS FIRST, o_orderkey")
-sql("sort_nulls_last_all", "SELECT o_orderkey, NULLIF(o_custkey, 1) AS k FROM {orders} ORDER BY k DESC NULLS LAST, o_orderkey DESC")
-sql("sort_agg_input_all", "SELECT o_orderstatus, ROUND(AVG(o_totalprice), 3) AS mean FROM {orders} GROUP BY o_orderstatus ORDER BY AVG(o_totalprice) DESC")
+sql("sort_expr", "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY o_custkey % 10, o_orderkey")
+sql("sort_position", "SELECT o_custkey, o_orderkey FROM {orders} ORDER BY 1, 2")
+sql("sort_alias", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM {orders} ORDER BY twice DESC, o_orderkey")
+sql("sort_hidden_col", "SELECT o_orderkey FROM {orders} ORDER BY o_totalprice, o_orderkey")
+sql("sort_nulls_first", "SELECT o_orderkey, NULLIF(o_custkey, 1) AS k FROM {orders} ORDER BY k ASC NULLS FIRST, o_orderkey")
+sql("sort_nulls_last", "SELECT o_orderkey, NULLIF(o_custkey, 1) AS k FROM {orders} ORDER BY k DESC NULLS LAST, o_orderkey DESC")
+sql("sort_agg_input", "SELECT o_orderstatus, ROUND(AVG(o_totalprice), 3) AS mean FROM {orders} GROUP BY o_orderstatus ORDER BY AVG(o_totalprice) DESC")
 sql("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100")
 
 # set operations

@@ -1,14 +1,15 @@
-"""Delimited text: types inferred from the first rows, then read in one parallel pass with a fixed schema."""
+"""Delimited text: types inferred from all rows in one distributed pass, then read in parallel with a fixed schema."""
 
 from __future__ import annotations
 
 import csv
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SNIFFED = 100  # rows that types are inferred from
+HEAD = 100  # lines that the delimiter and the header are looked for in
 _TESTS = (
     ("boolean", re.compile(r"true|false|TRUE|FALSE")),
     ("bigint", re.compile(r"[+-]?\d{1,19}")),
@@ -25,19 +26,34 @@ def kind_of(value: str) -> str:
     return next((k for k, test in _TESTS if test.fullmatch(value)), "string")
 
 
-def infer(rows: list[list[str]], width: int) -> list[str]:
-    """The kind of each column; empty values say nothing, and a column of none is text."""
-    kinds: list[str | None] = [None] * width
-    for row in rows:
-        for k, value in enumerate(row[:width]):
-            if value:
-                new, old = kind_of(value), kinds[k]
-                kinds[k] = new if old in (None, new) else _JOINED.get(frozenset((old, new)), "string")
-    return [k or "string" for k in kinds]
+def joined(kinds: list[str]) -> str:
+    """The kind of a column whose values are of these kinds; a column without any is text."""
+    return reduce(lambda a, b: a if a == b else _JOINED.get(frozenset((a, b)), "string"), sorted(kinds)) if kinds else "string"
 
 
-def _typed(name: str, kind: str) -> Column:
+def _kind(name: str) -> Column:
+    """The kind of each value, null for empty ones. What only looks like a number, day or time of its kind is of the next that fits."""
     c = F.col(f"`{name}`")
+    out = F.lit("string")
+    for kind, test in reversed(_TESTS):
+        fits = c.rlike(f"^(?:{test.pattern})\\z")
+        if kind in ("bigint", "date", "timestamp"):
+            fits = fits & c.try_cast("timestamp_ntz" if kind == "timestamp" else kind).isNotNull()
+        out = F.when(fits, kind).otherwise(out)
+    return F.when(c != "", out)
+
+
+def infer(text: DataFrame) -> list[list[str]]:
+    """The kinds of values that each column has, over all rows."""
+    found = text.agg(*[F.collect_set(_kind(n)).alias(f"k{k}") for k, n in enumerate(text.columns)]).first()
+    return [list(x) for x in found]
+
+
+def _typed(name: str, kind: str, flags: bool = False) -> Column:
+    """flags: whether true and false stand among a column of numbers, as 1 and 0."""
+    c = F.col(f"`{name}`")
+    if flags and kind in ("bigint", "double"):
+        c = F.when(F.lower(c) == "true", "1").when(F.lower(c) == "false", "0").otherwise(c)
     if kind == "time":  # microseconds of the day
         parts = F.split(c, ":")
         seconds = parts.getItem(0).try_cast("bigint") * 3600 + parts.getItem(1).try_cast("bigint") * 60
@@ -51,26 +67,29 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, heade
     """A table from delimited text.
 
     delimiter: a comma, or a tab if the first line has more of these. types: a Spark type, or `time`, for each
-    column; otherwise they are inferred from the first rows. Without a header columns are V1, V2, ... Empty and
-    unreadable values are null, with zero_fill 0 or the empty string. Quoted fields may hold delimiters and
-    doubled quotes; line ends too if multiline, which by default is found out from the first rows. A file with
-    line ends in fields can't be split between tasks.
+    column; otherwise they are inferred from all rows, in a pass of its own, so that every value fits: a column whose
+    values have no kind in common is text. Without a header columns are V1, V2, ... Empty values are null, as are those
+    that do not fit given types; with zero_fill they are 0 or the empty string. Quoted fields may hold delimiters and
+    doubled quotes; line ends too if multiline, which by default is found out from all lines. A file with line ends
+    in fields can't be split between tasks.
     """
-    lines = [r["value"] for r in spark.read.text(path).limit(SNIFFED + 1).collect()]
+    raw = spark.read.text(path)
+    lines = [r["value"] for r in raw.limit(HEAD).collect()]
     if not lines:
         raise ValueError(f"{path} is empty")
     if delimiter is None:
         delimiter = "\t" if lines[0].count("\t") > lines[0].count(",") else ","
     if multiline is None:
-        multiline = any(line.count('"') % 2 for line in lines)
-    parsed = list(csv.reader(lines if not multiline else iter("\n".join(lines).splitlines(keepends=True)), delimiter=delimiter))
-    names = parsed[0] if header else [f"V{k + 1}" for k in range(len(parsed[0]))]
-    body = [row for row in parsed[1:] if row != names] if header else parsed  # each file of a directory begins with the header
-    kinds = types or infer(body[:-1] if multiline and len(body) > 1 else body, len(names))
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = not raw.filter(quotes % 2 == 1).isEmpty()
+    first = next(csv.reader(iter("\n".join(lines).splitlines(keepends=True)) if multiline else lines, delimiter=delimiter))
+    names = first if header else [f"V{k + 1}" for k in range(len(first))]
+    text = spark.read.csv(path, schema=", ".join(f"`{n}` string" for n in names), sep=delimiter, header=header, quote='"', escape='"', multiLine=multiline, enforceSchema=True)
+    seen = [[]] * len(names) if types else infer(text)
+    kinds = types or list(map(joined, seen))
     if len(kinds) != len(names):
         raise ValueError(f"{len(kinds)} types for {len(names)} columns")
-    text = spark.read.csv(path, schema=", ".join(f"`{n}` string" for n in names), sep=delimiter, header=header, quote='"', escape='"', multiLine=multiline, enforceSchema=True)
-    df = text.select(*[_typed(n, k) for n, k in zip(names, kinds, strict=True)])
+    df = text.select(*[_typed(n, k, "boolean" in own) for n, k, own in zip(names, kinds, seen, strict=True)])
     if zero_fill:
         df = df.fillna(0).fillna("").fillna(False)
     return df

@@ -17,9 +17,9 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_parted(df: DataFrame, root: str, table: str, key: str = "date") -> None:
-    """One directory for each value of the key. Rows are dealt by key first, a busy key over several tasks, so files stay few and none grows without bound."""
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-    df.repartition(F.col(key), spread).write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).partitionBy(key).parquet(f"{root}/{table}")
+    """One directory for each value of the key. Rows are dealt by key, and Spark splits a busy key's by their size, so files stay few and none grows without bound."""
+    dealt = df.sparkSession.sql(f"SELECT /*+ REBALANCE(`{key}`) */ * FROM {{rows}}", rows=df)
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).partitionBy(key).parquet(f"{root}/{table}")
 
 
 def _children(spark: SparkSession, path: str) -> list[str]:
@@ -30,6 +30,13 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def _matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of any store that match a pattern."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return [s.getPath().toString() for s in found or []]
+
+
 def read_parted(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A partitioned table with its key as first column, so that filters on the key prune directories.
 
@@ -41,18 +48,19 @@ def read_parted(spark: SparkSession, root: str, table: str) -> DataFrame:
         key = keyed[0].partition("=")[0]
         df = spark.read.option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
         return df.select(key, *[c for c in df.columns if c != key])
-    values = [n for n in _children(spark, root) if not n.startswith((".", "_")) and _children(spark, f"{root}/{n}/{table}")]
+    found = _matching(spark, f"{root}/*/{table}")
+    values = sorted(p.rstrip("/").split("/")[-2] for p in found)
+    values = [v for v in values if not v.startswith((".", "_"))]
     if not values:
         raise ValueError(f"{root} has no partitions of {table}")
     days = all(re.fullmatch(r"\d{4}\.\d\d\.\d\d", v) for v in values)
     whole = all(re.fullmatch(r"-?\d+", v) for v in values)
     name = "date" if days else "part"
-    out = None
-    for v in values:  # a filter on the literal drops whole branches of the union
-        mark = F.lit(v.replace(".", "-")).cast("date") if days else F.lit(int(v)).cast("bigint") if whole else F.lit(v)
-        part = spark.read.parquet(f"{root}/{v}/{table}").select(mark.alias(name), "*")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    # one scan over all partitions; a filter on the key is one on files' paths, which drops files before they are read
+    df = spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{v}/{table}" for v in values])
+    value = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), f"/([^/]+)/{re.escape(table)}/[^/]*$", 1)
+    mark = F.to_date(value, "yyyy.MM.dd") if days else value.cast("bigint") if whole else value
+    return df.select(mark.alias(name), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def load_parts(spark: SparkSession, root: str, table: str) -> DataFrame:

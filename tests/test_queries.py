@@ -51,7 +51,7 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("name", ["sort_expr", "sort_position", "sort_alias", "sort_hidden_col", "sort_nulls_first", "sort_nulls_last", "sort_agg_input"])
 def test_whole_sorts_hold_all_rows_in_order(name, spark, duck):
-    got = [tuple(r) for r in QUERIES[f"{name}_all"](spark, SF).collect()]
-    want = duck.execute(ORACLES[f"{name}_all"]).fetchall()
+    got = [tuple(r) for r in QUERIES[name](spark, SF).collect()]
+    want = duck.execute(ORACLES[name]).fetchall()
     assert len(got) == duck.execute(f"SELECT COUNT({'DISTINCT o_orderstatus' if name == 'sort_agg_input' else '*'}) FROM orders").fetchone()[0]
     assert [r[0] for r in got] == [r[0] for r in want]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pytest
 
 from millrace.plans.session import EngineSession, SqlError
@@ -119,3 +121,37 @@ def test_sessions_do_not_share_tables(spark, session):
 def test_read_csv_function(session, tmp_path):
     (tmp_path / "f.csv").write_text("k,v\na,1\nb,2\n")
     assert got(session, f"SELECT k, v FROM read_csv('{tmp_path}/f.csv') ORDER BY k") == [("a", 1), ("b", 2)]
+
+
+GOLDEN = [
+    ("SELECT CAST(x AS NUMERIC(10,2)) AS v FROM t WHERE k = 1", [1.25]),
+    ("SELECT x::VARCHAR(10) AS v FROM t WHERE k = 1", ["1.25"]),
+    ("SELECT g FROM t GROUP BY g HAVING SUM(k) > 0 ORDER BY g", ["a", "b"]),
+    ("SELECT g, SUM(k) FROM t GROUP BY g HAVING SUM(k) > 0 ORDER BY k DESC", ["b", "a"]),
+    ("SELECT TRIM(BOTH 'x' FROM 'xxaxx') AS v", ["a"]),
+    ("SELECT TRIM(LEADING 'x' FROM 'xxaxx') AS v", ["axx"]),
+    ("SELECT BTRIM('xyaxy', 'xy') AS v", ["a"]),
+    ("SELECT TRIM('  a ') AS v", ["a"]),
+    ("SELECT CHAR_LENGTH('é') AS v", [1]),
+    ("SELECT LENGTH('é') AS v", [2]),
+    ("SELECT DATE_DIFF('month', DATE '2024-01-31', DATE '2024-03-01') AS v", [2]),
+    ("SELECT 1 AS v; SELECT 2 AS v", [2]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), GOLDEN)
+def test_golden_statements(spark, text, want):
+    s = EngineSession(spark)
+    s.script("CREATE TABLE t (k BIGINT, g VARCHAR, x DOUBLE); INSERT INTO t VALUES (1, 'a', 1.25), (2, 'b', 2.5), (3, 'b', NULL)")
+    assert [float(r[0]) if isinstance(r[0], Decimal) else r[0] for r in s.execute(text).collect()] == want
+
+
+def test_statements_that_are_refused(spark):
+    s = EngineSession(spark)
+    s.script("CREATE TABLE t (k BIGINT, g VARCHAR)")
+    for bad in ("INSERT INTO t VALUES ('zz', 'a')", "SELECT DATE_DIFF('week', DATE '2024-01-01', DATE '2024-02-01')", ";"):
+        with pytest.raises(SqlError):
+            s.execute(bad)
+    assert s.execute("SELECT COUNT(*) FROM t").first()[0] == 0
+    s.execute("INSERT INTO t VALUES ('7', 'a')")
+    assert s.execute("SELECT k FROM t").first()[0] == 7

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.sources.csv import infer, kind_of, read_csv, write_csv
+from millrace.sources.csv import joined, kind_of, read_csv, write_csv
 from millrace.sources.tables import load_parts, read_parted, save_parted
 
 
@@ -18,7 +18,19 @@ def test_kinds(value, kind):
 
 
 def test_lattice():
-    assert infer([["1", "2024-01-01", "true", "", "1"], ["2.5", "2024-01-01 00:00:00", "3", "", "x"]], 5) == ["double", "timestamp", "bigint", "string", "string"]
+    assert [joined(x) for x in (["bigint", "double"], ["timestamp", "date"], ["bigint", "boolean"], [], ["string", "bigint"], ["date", "bigint"])] == ["double", "timestamp", "bigint", "string", "string", "string"]
+
+
+def test_types_fit_every_row(spark, tmp_path):
+    rows = [f"{k},{k},{k},true,2024-01-01" for k in range(150)]
+    rows += ['1.5,x,99999999999999999999,7,2024-13-45', '2,"two\nlines",3,false,2024-01-02']
+    (tmp_path / "late.csv").write_text("a,b,c,d,e\n" + "\n".join(rows) + "\n")
+    df = read_csv(spark, str(tmp_path / "late.csv"))
+    assert [k for _, k in df.dtypes] == ["double", "string", "double", "bigint", "string"] and df.count() == 152
+    assert df.filter("a = 1.5").first()[1:] == ("x", 1e20, 7, "2024-13-45") and df.filter("b like 'two%'").first()[:4] == (2.0, "two\nlines", 3.0, 0)
+    assert df.filter(" or ".join(f"{c} is null" for c in df.columns)).count() == 0
+    (tmp_path / "only.csv").write_text("a,b\n")
+    assert read_csv(spark, str(tmp_path / "only.csv")).count() == 0
 
 
 def test_dates_and_times(spark, tmp_path):
