@@ -402,7 +402,7 @@ def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linke
 
     prefixes: (node, size, prefix); linked: pairs of nodes that are together in any case.
     A bucket holds the nodes that have one shingle in their prefixes, and every pair of the similarity meets in one.
-    In each round some of a bucket's nodes, its hubs, are compared exactly with all others there that are not in
+    Buckets with the same nodes, known by two hashes of these, are one. In each round some of a bucket's nodes, its hubs, are compared exactly with all others there that are not in
     their component yet, and then leave it. Buckets whose nodes are all in one component are done. So a pair is left out
     only if its ends are connected already by checked pairs, its sizes or places in the order rule it out, or it fails
     the check. Groups of near copies are connected by their first hubs, at a row for each node; hubs grow by GROWTH.
@@ -413,8 +413,13 @@ def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linke
     chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     while True:
         placed = dealt.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        each = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(F.struct(chance, "node")).alias("first"))
-        open_ = written(each.filter("lo < hi").select("s", "m", F.col("first.node").alias("first")), "buckets")
+        each = placed.groupBy("s").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(F.struct(chance, "node", "pos")).alias("first"),
+            F.bit_xor(F.xxhash64("node")).alias("own"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("own2"),
+        )
+        # of the buckets with the same nodes the first in the order stands for all: places in it are the least for every pair
+        alone = each.filter("lo < hi").groupBy("m", "own", "own2").agg(F.min(F.struct("first.pos", "s", F.col("first.node").alias("node"))).alias("x"))
+        open_ = written(alone.select("x.s", "m", F.col("x.node").alias("first")), "buckets")
         if open_.isEmpty():
             discard(open_, *tested, placed_before)
             return roots
