@@ -135,7 +135,7 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float | None, units: int = 24
     rng = np.random.default_rng(9)
     both = np.concatenate([pos, unl])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    scale[STATS:] = 0.1
+    scale[STATS:] = 0.2
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (pos, unl))
     w = [rng.normal(0, 0.3, (p.shape[1], units)), np.zeros(units), rng.normal(0, 0.3, units), np.zeros(1)]
     w[0][STATS:] = 0.0
