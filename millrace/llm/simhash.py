@@ -268,7 +268,7 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(first, last, strict=True)), dtype=np.uint64, count=len(first)))
 
 
-ROWS, GROWTH = 16, 8  # nodes up to which a bucket is compared at once, and the growth of hubs from round to round in larger ones
+ROWS, GROWTH = 16, 8  # nodes up to which a bucket is compared at once after the first round, and the growth of hubs from round to round in larger ones
 
 
 def common_shingles(rows: DataFrame, width: int = WIDTH, sample: int = 4000, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -404,13 +404,16 @@ def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linke
     A bucket holds the nodes that have one shingle in their prefixes, and every pair of the similarity meets in one.
     Buckets with the same nodes, known by two hashes of these, are one. In each round some of a bucket's nodes, its hubs, are compared exactly with all others there that are not in
     their component yet, and then leave it. Buckets whose nodes are all in one component are done. So a pair is left out
-    only if its ends are connected already by checked pairs, its sizes or places in the order rule it out, or it fails
-    the check. Groups of near copies are connected by their first hubs, at a row for each node; hubs grow by GROWTH.
+    only if its ends are connected already by checked pairs, its sizes, places in the order or sketches rule it out, or
+    it fails the check. The first round has one hub a bucket: it connects groups of near copies, at a row for each place, so that
+    all pairs of a small bucket are met only where that was not enough. Hubs then grow by GROWTH.
     """
     dealt = written(shared_places(prefixes), "places")
     nodes = nodes.join(prefixes.select("node", "size", "sketch", "wide"), "node")
     roots, tested, hubs, placed_before = stars(linked), [], 1, dealt
     chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    words = [f"w{j}_" for j in range(SKETCH // 64)]  # of the sketch, which goes with each place of an open bucket
+    short = prefixes.select("node", *[F.col("sketch")[j].alias(w) for j, w in enumerate(words)])
     while True:
         placed = dealt.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
         each = placed.groupBy("s").agg(
@@ -423,13 +426,19 @@ def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linke
         if open_.isEmpty():
             discard(open_, *tested, placed_before)
             return roots
-        hub = (F.col("m") <= ROWS) | (F.col("node") == F.col("first")) | (chance * F.col("m") < F.lit(hubs << 30))
-        last, placed = placed_before, written(placed.join(open_, "s").select("s", "node", "size", "pos", "root", hub.alias("hub")), "open")
-        other = placed.filter("hub").select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "root")])
+        hub = F.col("node") == F.col("first")
+        if tested:
+            hub = hub | (F.col("m") <= ROWS) | (chance * F.col("m") < F.lit(hubs << 30))
+        placed = placed.join(open_, "s").withColumn("hub", hub)
+        placed = placed if words[0] in placed.columns else placed.join(short, "node")
+        last, placed = placed_before, written(placed.select("s", "node", "size", "pos", "root", "hub", *words), "open")
+        other = placed.filter("hub").select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "root", *words)])
         # at the first shingle that two sets share, no more than what follows can be shared as well
         most = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2"))
         met = placed.join(other, "s").filter(F.col("root") != F.col("root2")).filter(~F.col("hub") | (F.col("node") < F.col("node2")))
         met = met.filter(most + 1e-9 >= (F.col("size") + F.col("size2")) * (similarity / (1 + similarity)))
+        bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in words])
+        met = met.filter(bits <= (F.col("size") + F.col("size2")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
         pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
@@ -441,7 +450,7 @@ def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linke
             discard(near, old)
         discard(open_, last)
         placed_before = placed
-        dealt, hubs = placed.filter("not hub").select("node", "size", "pos", "s"), hubs * GROWTH
+        dealt, hubs = placed.filter("not hub").select("node", "size", "pos", "s", *words), hubs * GROWTH
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
