@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import cache
 from pathlib import Path
 from weakref import WeakKeyDictionary
@@ -14,6 +16,7 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 import zstandard
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -76,6 +79,24 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def trim(spark: SparkSession) -> None:
+    """Give memory that the driver has freed back to the system.
+
+    Each query's threads free native memory that the C library keeps for them, so a driver that has run many queries
+    holds far more than it uses. Where a JVM or C library has no such call, nothing is given back.
+    """
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    context = spark.sparkContext
+    lang = context._jvm.java.lang
+    with suppress(Py4JError):  # by reflection, as the server's own class is not open to callers
+        call = next(m for m in lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = context._gateway.new_array(lang.Object, 4)
+        given[0], given[1] = context._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     tune(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Sorted, bounded_sample, broadcasts, discard, map_texts, packed, tune, unpacked, written
+from .base import Sorted, bounded_sample, broadcasts, discard, map_texts, packed, trim, tune, unpacked, written
 from .components import stars
 
 SHINGLE, SEED, DISTANCE, FANOUT = 3, 42, 3, 8
@@ -415,6 +415,7 @@ def joined_similar(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, linke
     words = [f"w{j}_" for j in range(SKETCH // 64)]  # of the sketch, which goes with each place of an open bucket
     short = prefixes.select("node", *[F.col("sketch")[j].alias(w) for j, w in enumerate(words)])
     while True:
+        trim(rows.sparkSession)
         placed = dealt.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
         each = placed.groupBy("s").agg(
             F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(F.struct(chance, "node", "pos")).alias("first"),
@@ -464,6 +465,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     as empty. An empty table stays empty.
     """
     tune(docs.sparkSession)
+    trim(docs.sparkSession)
     digest = lambda t: F.unhex(F.substring(F.sha2(F.coalesce(t, F.lit("")).cast("binary"), 256), 1, 32))
     rows = docs.select(F.col(key).alias("doc"), digest(F.col(text)).alias("digest"), F.col(text).alias("t"))
 
@@ -490,6 +492,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     prefixes = nodes.join(own, (F.col("digest") == F.col("d")) & F.col("least").eqNullSafe(F.col("doc"))).select("node", "size", "prefix", "sketch", "wide")
     prefixes = written(prefixes.dropDuplicates(["node"]) if repeats else prefixes, "prefixes")
 
+    trim(docs.sparkSession)
     star = stars(links(nodes.select("fp").distinct()))
     rooted = nodes.select("node", "fp").join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
     heads = written(rooted.groupBy("root").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "heads")
@@ -503,6 +506,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     copies = marked.select("doc", "digest").join(grouped, "digest").filter(~F.col("stays") | ~F.col("doc").eqNullSafe(F.col("kept")))
     copies = written(copies.select(F.col("doc").alias("doc2"), F.col("digest").alias("digest2")).distinct(), "copies")
     discard(marked, nodes, prefixes, star, heads, joined, first)
+    trim(docs.sparkSession)
 
     same = F.col(f"own.{key}").eqNullSafe(F.col("doc2")) & (F.col("digest") == F.col("digest2"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), digest(F.col(text)).alias("digest"))

@@ -234,6 +234,45 @@ def test_chain_of_links(spark):
     assert found == {**{k: 0 for k in range(1, 201)}, 501: 500}
 
 
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    from millrace.llm import components
+
+    names = []
+    monkeypatch.setattr(components, "written", lambda df, name: names.append(name) or base.written(df, name))
+    star = [(k, k % 3) for k in range(3, 60)] + [(2, 62)]
+    assert {r["u"]: r["v"] for r in components.stars(spark.createDataFrame(star, "a long, b long")).collect()} == {**{k: k % 3 for k in range(3, 60)}, 62: 2}
+    assert names == ["links"]
+    for more, root in (([(59, 58)], {1: 1, 2: 1}), ([(1, 0)], {0: 0, 1: 0}), ([(2, 3)], {0: 0, 2: 0})):  # two lower nodes; a lower node that is an upper one as well
+        found = {r["u"]: r["v"] for r in components.stars(spark.createDataFrame(star + more, "a long, b long")).collect()}
+        least = {k: root.get(k, k) for k in range(3)}
+        assert found == {k: v for k, v in {**{k: least[k % 3] for k in range(60)}, 62: least[2]}.items() if k != v}
+
+
+def test_freed_memory_of_the_driver_goes_back(spark):
+    def held(pid) -> float:
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+
+    jvm = spark.sparkContext._jvm
+    other = jvm.java.lang.ProcessHandle.current().pid()
+    # a few that stay keep the C library from giving the others' memory back by itself
+    own = [np.ones(1 << 11) for _ in range(6000)][::100]
+    native = [jvm.java.util.zip.Deflater() for _ in range(400)]
+    for k, d in enumerate(native):
+        if k % 50 < 49:
+            d.end()
+    before = held(os.getpid()), held(other)
+    base.trim(spark)
+    after = held(os.getpid()), held(other)
+    assert len(own) == 60 and before[0] - after[0] > 40 and before[1] - after[1] > 25, (before, after)
+
+
+def test_near_duplicates_give_freed_memory_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(simhash, "trim", calls.append, raising=False)
+    assert _kept(spark, ["a b c", "a b c", "d"]) == {0, 2}
+    assert len(calls) >= 3
+
+
 def _components(rows: list[str], similarity: float) -> set[int]:
     """The least number in each group of texts whose shingles have the similarity or whose fingerprints are near, by brute force."""
     sets, fps = [set(simhash.shingle_hashes(t).tolist()) for t in rows], [simhash.fingerprint(t) for t in rows]
