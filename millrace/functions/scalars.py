@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 MICROS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
 
@@ -18,6 +20,24 @@ def safe_mod(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.when(a.isNotNull(), F.lit(0))).otherwise(F.try_mod(a, b))
 
 
+def exp(c: Column) -> Column:
+    """e to the power of c by the C library, whose last bit is not always that of the JVM's own; infinite where it is too large."""
+
+    def by_batch(c: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        return pc.exp(c)
+
+    return F.arrow_udf(by_batch, DoubleType())(c.cast("double"))
+
+
+def round_double(c: Column, digits: int) -> Column:
+    """A double scaled, rounded to a whole number, half away from zero, and scaled back, all in doubles; itself where that is too large."""
+    scaled = c.cast("double") * F.lit(10.0**digits)
+    whole = F.when(F.abs(scaled) < F.lit(2.0**52), F.round(scaled)).otherwise(scaled) / F.lit(10.0**digits)
+    return F.when(F.isnan(whole) | (F.abs(whole) == F.lit(float("inf"))), c).otherwise(whole)
+
+
 def trim_ws(s: Column) -> Column:
     """s without white space of any kind at either end."""
     return F.regexp_replace(s, r"^[\s\x0B]+|[\s\x0B]+$", "")

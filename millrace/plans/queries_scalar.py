@@ -34,7 +34,7 @@ _orders("fn_neg", "-o_totalprice")
 _orders("fn_abs", "ABS(o_custkey - 700)")
 _orders("fn_sqrt", "ROUND(SQRT(o_totalprice), 9)")
 _orders("fn_ln", "ROUND(LN(o_totalprice), 9)")
-_orders("fn_exp", "ROUND(EXP(o_custkey / 1000.0), 9)", "ROUND(EXP(o_custkey / 1000), 9)")
+_column("fn_exp", "orders", _K, lambda: S.round_double(S.exp(F.col("o_custkey") / 1000), 9), "ROUND(EXP(o_custkey / 1000), 9)")
 _orders("fn_ceil", "CAST(CEIL(o_totalprice / 7) AS DOUBLE)", "CEIL(o_totalprice / 7)")
 _orders("fn_floor", "CAST(FLOOR(o_totalprice / 7) AS DOUBLE)", "FLOOR(o_totalprice / 7)")
 _orders("fn_round", "ROUND(o_totalprice)")

@@ -55,3 +55,10 @@ def test_whole_sorts_hold_all_rows_in_order(name, spark, duck):
     want = duck.execute(ORACLES[name]).fetchall()
     assert len(got) == duck.execute(f"SELECT COUNT({'DISTINCT o_orderstatus' if name == 'sort_agg_input' else '*'}) FROM orders").fetchone()[0]
     assert [r[0] for r in got] == [r[0] for r in want]
+
+
+def test_exp_of_large_keys_is_the_sql_result_to_the_last_bit(spark, tmp_path):
+    keys = [None, -900_000, -1, 0, 1, *range(8_000, 60_000, 7), *range(700_000, 720_000, 11), 899_999]
+    pd.DataFrame({"o_orderkey": range(len(keys)), "o_custkey": pd.array(keys, "Int64")}).to_parquet(tmp_path / "orders.parquet")
+    want = duckdb.sql(ORACLES["fn_exp"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet'")).fetchall()
+    assert sorted(map(tuple, QUERIES["fn_exp"](spark, str(tmp_path)).collect())) == sorted(want)
