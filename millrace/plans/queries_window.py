@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import frame, sql, table
+from ..functions import windows
+from .registry import ORACLES, QUERIES, frame, sql, table
 
 _BY = "PARTITION BY o_custkey ORDER BY o_orderkey"
 _TIES = "PARTITION BY o_custkey ORDER BY o_orderpriority"
@@ -13,7 +14,6 @@ _ROWS = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 _WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 for _name, _expr in {
     "win_row_number": f"CAST(ROW_NUMBER() OVER ({_BY}) AS BIGINT)",
-    "win_row_number_global": "CAST(ROW_NUMBER() OVER (ORDER BY o_orderkey) AS BIGINT)",
     "win_rank": f"CAST(RANK() OVER ({_TIES}) AS BIGINT)",
     "win_dense_rank": f"CAST(DENSE_RANK() OVER ({_TIES}) AS BIGINT)",
     "win_percent_rank": f"ROUND(PERCENT_RANK() OVER ({_TIES}), 9)",
@@ -57,18 +57,30 @@ sql("distinct_on", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_order
 sql("window_subquery_filter", "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS rn FROM {orders}) t WHERE o_custkey = 7")
 # the window benchmark: id1 is the order's status, id4 its customer, v1 its price; keys are made unique
 for _name, _expr in {
-    "h2o_w1": "CAST(ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS BIGINT)",
-    "h2o_w2": "CAST(RANK() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS BIGINT)",
     "h2o_w3": "ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2)",
     "h2o_w4": "LAG(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)",
     "h2o_w5": "ROUND(AVG(o_totalprice) OVER (PARTITION BY o_orderstatus), 4)",
-    "h2o_w6": "CAST(ROW_NUMBER() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_totalprice, o_orderkey) AS BIGINT)",
 }.items():
     sql(_name, f"SELECT o_orderkey, {_expr} AS w FROM {{orders}}")
 
 
+def _numbered(name: str, number: str, partition: list[str], order: list[str], column: str) -> None:
+    """A number over few partitions, any of which may be too large for one task."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = table(spark, sf_dir, "orders").select(*dict.fromkeys(("o_orderkey", *partition, *order)))
+        return windows.numbered(orders, partition, order, column, number).select("o_orderkey", column)
+
+    by = f"PARTITION BY {', '.join(partition)} " if partition else ""
+    QUERIES[name], ORACLES[name] = run, f"SELECT o_orderkey, CAST({number.upper()}() OVER ({by}ORDER BY {', '.join(order)}) AS BIGINT) AS {column} FROM orders"
+
+
+_numbered("win_row_number_global", "row_number", [], ["o_orderkey"], "v")
+_numbered("h2o_w1", "row_number", ["o_orderstatus"], ["o_totalprice", "o_orderkey"], "w")
+_numbered("h2o_w2", "rank", ["o_orderstatus"], ["o_custkey"], "w")
+_numbered("h2o_w6", "row_number", ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_orderkey"], "w")
+
+
 @frame("SELECT o_orderkey, ((rn - 1) * 4) // n + 1 AS v FROM (SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, COUNT(*) OVER (PARTITION BY o_custkey) AS n FROM orders)")
 def win_ntile_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.windows import ntile_compat
-
-    return table(spark, sf_dir, "orders").select("o_orderkey", ntile_compat(4, ["o_custkey"], [F.col("o_orderkey")]).alias("v"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", windows.ntile_compat(4, ["o_custkey"], [F.col("o_orderkey")]).alias("v"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 from pathlib import Path
 
 import duckdb
@@ -62,3 +63,19 @@ def test_exp_of_large_keys_is_the_sql_result_to_the_last_bit(spark, tmp_path):
     pd.DataFrame({"o_orderkey": range(len(keys)), "o_custkey": pd.array(keys, "Int64")}).to_parquet(tmp_path / "orders.parquet")
     want = duckdb.sql(ORACLES["fn_exp"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet'")).fetchall()
     assert sorted(map(tuple, QUERIES["fn_exp"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["win_row_number_global", "h2o_w1", "h2o_w2", "h2o_w6"])
+def test_numbers_over_few_partitions_are_counted_in_pieces(name, spark, tmp_path, monkeypatch):
+    from millrace.functions import windows
+
+    draw = random.Random(name)
+    pick = lambda *of: [draw.choice(of) for _ in range(3000)]
+    keys = [None if k % 500 == 0 else k for k in draw.sample(range(10_000), 3000)]
+    made = {"o_orderkey": pd.array(keys, "Int64"), "o_custkey": pd.array(pick(None, *range(40)), "Int64"), "o_orderstatus": pick(None, "F", "O", "O", "O"), "o_orderpriority": pick(None, "1", "2"), "o_totalprice": pick(None, -0.5, *map(float, range(900)))}
+    pd.DataFrame(made).to_parquet(tmp_path / "orders.parquet")
+    want = duckdb.sql(ORACLES[name].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet'")).fetchdf()
+    monkeypatch.setattr(windows, "PIECE", 100, raising=False)
+    got = QUERIES[name](spark, str(tmp_path))
+    assert rows(got.toPandas()) == rows(want)
+    assert "__piece" in got._jdf.queryExecution().executedPlan().toString()
