@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
+#: Rows of one table that a task joins, about, where tables are dealt out by their sizes.
+DEALT = 1 << 19
+
+
+def dealt(tables: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, DataFrame]:
+    """Tables, each with its keys, dealt out by hash of these to as many tasks as the largest needs; as they are if that is one.
+
+    For joins whose result is grouped by the same keys. The number of tasks that Spark takes is the session's or comes from
+    compressed bytes, so that what a task sorts grows with the input, and where a grouping follows it splits no partition.
+    """
+    tasks = -(-max(df.count() for df, _ in tables.values()) // DEALT)
+    if tasks < 2:
+        return {name: df for name, (df, _) in tables.items()}
+    tasks = max(tasks, next(iter(tables.values()))[0].sparkSession.sparkContext.defaultParallelism)
+    return {name: df.repartition(tasks, *keys) for name, (df, keys) in tables.items()}
+
 
 def equi_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, each key once in the result. Other columns of right whose names left has too are left out.

@@ -12,6 +12,7 @@ sql(
     "join_inner_multikey",
     """SELECT a.l_orderkey, a.l_linenumber, COUNT(*) AS n FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber
     GROUP BY a.l_orderkey, a.l_linenumber""",
+    by={"lineitem": ["l_orderkey", "l_linenumber"]},
 )
 _F = "(SELECT * FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 200000.0)"
 sql("join_left", f"SELECT c.c_custkey, o.o_orderkey FROM {{customer}} c LEFT JOIN {_F} o ON c.c_custkey = o.o_custkey")
@@ -35,7 +36,7 @@ sql(
 )
 sql("join_string_payload", "SELECT s.s_name, n.n_name FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey")
 sql("join_string_key", "SELECT a.n_name, b.n_regionkey FROM {nation} a JOIN {nation} b ON a.n_name = b.n_name")
-sql("join_using", "SELECT l_orderkey, COUNT(*) AS n FROM {lineitem} JOIN (SELECT o_orderkey AS l_orderkey FROM {orders} WHERE o_orderstatus = 'P') p USING (l_orderkey) GROUP BY l_orderkey")
+sql("join_using", "SELECT l_orderkey, COUNT(*) AS n FROM {lineitem} JOIN (SELECT o_orderkey AS l_orderkey FROM {orders} WHERE o_orderstatus = 'P') p USING (l_orderkey) GROUP BY l_orderkey", by={"lineitem": ["l_orderkey"], "orders": ["o_orderkey"]})
 sql("join_theta", "SELECT a.n_name AS low, b.n_name AS high FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 sql("join_semi", "SELECT c_custkey FROM {customer} c LEFT SEMI JOIN {orders} o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000.0", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000.0)")
 sql("join_anti", "SELECT c_custkey FROM {customer} c LEFT ANTI JOIN {orders} o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 100000.0", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000.0)")

@@ -79,3 +79,24 @@ def test_numbers_over_few_partitions_are_counted_in_pieces(name, spark, tmp_path
     got = QUERIES[name](spark, str(tmp_path))
     assert rows(got.toPandas()) == rows(want)
     assert "__piece" in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name, largest", [("join_inner_multikey", "lineitem"), ("join_using", "lineitem")])
+def test_joins_that_are_grouped_by_their_keys_get_tasks_by_their_rows(name, largest, spark, tmp_path, monkeypatch):
+    from millrace.operators import joins
+
+    keys = [None, *range(400)]
+    lines = pd.DataFrame([(k, n, n) for k in keys for n in (1, 2, 2, None)], columns=["l_orderkey", "l_linenumber", "l_suppkey"])
+    lines.astype({"l_orderkey": "Int64", "l_linenumber": "Int32"}).to_parquet(tmp_path / "lineitem.parquet")
+    pd.DataFrame({"o_orderkey": pd.array(keys + keys[:9], "Int64"), "o_orderstatus": [*"PFO"] * 136 + ["P"] * 2}).to_parquet(tmp_path / "orders.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    monkeypatch.setattr(joins, "DEALT", 100, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = QUERIES[name](spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() == -(-len(lines) // 100)
+        assert rows(got.toPandas()) == rows(con.execute(ORACLES[name]).fetchdf())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
